@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ def blocking_chains(
     session it points to, so a chain of depth d closes in log2(d) joins instead
     of d.  Sessions in a cycle, or whose blocker is gone, never reach a root
     and do not appear; the loop ends when a round reaches no new root.  Only
-    ids travel through the rounds, and each round is checkpointed.
+    ids travel through the rounds; each round writes the sessions still open, which
+    cuts the lineage.
     """
     scope = list(scope)
     ident = F.col(session).cast("long")
@@ -42,10 +44,10 @@ def blocking_chains(
         F.when(is_root, "").otherwise(F.concat(F.lit(ARROW), ident.cast("string"))).alias("tail"),
     )
     state = reliable_checkpoint(state)
-    rooted, total = _progress(state)
-    while rooted < total:
-        open_ = state.where(F.col("root").isNull())
-        target = state.select(
+    rooted = [state.where(F.col("root").isNotNull())]
+    open_ = state.where(F.col("root").isNull())
+    while not open_.isEmpty():
+        target = reduce(DataFrame.unionByName, [*rooted, open_]).select(
             *scope,
             F.col("id").alias("pointer"),
             F.col("root").alias("t_root"),
@@ -62,12 +64,13 @@ def blocking_chains(
             (F.col("t_level") + F.col("level")).alias("level"),
             F.concat("t_tail", "tail").alias("tail"),
         )
-        state = reliable_checkpoint(state.where(F.col("root").isNotNull()).unionByName(stepped))
-        before = rooted
-        rooted, total = _progress(state)
-        if rooted == before:
+        stepped = reliable_checkpoint(stepped)
+        arrived = stepped.where(F.col("root").isNotNull())
+        if arrived.isEmpty():
             break
-    return state.where(F.col("root").isNotNull()).select(
+        rooted.append(arrived)
+        open_ = stepped.where(F.col("root").isNull())
+    return reduce(DataFrame.unionByName, rooted).select(
         *scope,
         F.col("id").alias(session),
         F.col("blocker").alias(blocker),
@@ -77,11 +80,6 @@ def blocking_chains(
     )
 
 
-def _progress(state: DataFrame) -> tuple[int, int]:
-    row = state.agg(F.count("root").alias("rooted"), F.count(F.lit(1)).alias("total")).first()
-    return row["rooted"], row["total"]
-
-
 def blocking_report(
     chains: DataFrame,
     sessions: DataFrame | None = None,

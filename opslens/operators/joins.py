@@ -34,3 +34,19 @@ def lookup(
     for i, (expr, _) in enumerate(keys):
         condition = condition & (expr == F.col(f"__l{i}"))
     return df.join(renamed, condition, "left").drop(*[f"__l{i}" for i in range(len(keys))])
+
+
+def left_join_hot(
+    left: DataFrame, right: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """Left join for a right side in which one key may hold a large part of the rows.
+
+    Adaptive execution cannot split the right side of an outer join, but it can
+    split both sides of an inner one.  So matches come from an inner join, and
+    the rest from an anti-join against the distinct keys, which combine before
+    they are shuffled.
+    """
+    keys = list(keys)
+    matched = left.join(right, keys)
+    rest = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    return matched.unionByName(rest, allowMissingColumns=True)

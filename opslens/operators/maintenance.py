@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.functions import concat_nullsafe, holds, quotename
@@ -331,6 +331,13 @@ def is_partition(number: str = "partition_number", count: str = "partition_count
     return F.when(F.col(number).isNull() | (F.col(count) == 1), False).otherwise(True)
 
 
+def with_partition_count(index_partitions: DataFrame, index_keys: Sequence[str]) -> DataFrame:
+    """Number of partitions on each partition row; an index has at most 15,000 of them."""
+    return index_partitions.withColumn(
+        "partition_count", F.count(F.lit(1)).over(Window.partitionBy(*index_keys))
+    )
+
+
 def fragmentation(physical: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Worst fragmentation and page total per index partition, in-row leaf level only."""
     return (

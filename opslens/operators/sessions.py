@@ -19,7 +19,7 @@ from opslens.functions import (
     time_of_day,
     ts,
 )
-from opslens.operators.joins import lookup, spread_nulls
+from opslens.operators.joins import left_join_hot, lookup, spread_nulls
 from opslens.operators.selection import (
     commands_like,
     contains_filters,
@@ -156,12 +156,12 @@ def with_child_tasks(
     wait_keys: Sequence[str] = ("session_id", "exec_context_id"),
 ) -> DataFrame:
     """One row per task of a request, with the wait of that task."""
-    columns = [c for c in tasks.columns if c not in keys]
-    expanded = requests.join(
-        tasks.select(*keys, *[F.col(c).alias(f"task_{c}" if c in requests.columns else c) for c in columns]),
-        list(keys),
-        "left",
-    )
+    columns = [
+        F.col(c).alias(f"task_{c}" if c in requests.columns else c)
+        for c in tasks.columns
+        if c not in keys
+    ]
+    expanded = left_join_hot(requests, tasks.select(*keys, *columns), keys)
     if waits is None:
         return expanded
     classified = classify_page(waits).select(
@@ -170,7 +170,7 @@ def with_child_tasks(
         F.col("wait_resource_text").alias("task_wait_resource"),
         _or_null(waits, "blocking_session_id", "long").alias("task_blocking_session_id"),
     )
-    return expanded.join(classified, list(wait_keys), "left")
+    return left_join_hot(expanded, classified, wait_keys)
 
 
 # ---------------------------------------------------------------- activity report
@@ -230,17 +230,16 @@ def who(
         _or_null(s, "group_id", "int"),
     )
 
-    # A filter on session columns is never true for a request without a session row.
-    out = requests.join(s, by_session, "inner" if restricted else "left")
+    # Sessions and connections have one row per session, so they meet first and the requests,
+    # where a busy session repeats, are joined only once.  A filter on session columns is
+    # never true for a request without a session row.
     if connections is not None:
-        out = out.join(
-            connections.select(
-                *by_session, "client_net_address", "net_transport", "auth_scheme",
-                _or_null(connections, "connect_time", "timestamp_ntz"),
-            ),
-            by_session,
-            "left",
+        c = connections.select(
+            *by_session, "client_net_address", "net_transport", "auth_scheme",
+            _or_null(connections, "connect_time", "timestamp_ntz"),
         )
+        s = s.join(c, by_session, "left" if restricted else "full")
+    out = requests.join(s, by_session, "inner" if restricted else "left")
     if batches is not None:
         out = with_batch_text(out, batches, "left", scope).withColumn(
             "executing_statement",
@@ -284,15 +283,15 @@ def sessions_all(
     """Session-driven view: idle sessions stay, with no request columns and blocker 0."""
     by_session = [*scope, "session_id"]
     shared = [c for c in requests.columns if c in sessions.columns and c not in by_session]
-    out = sessions.join(
+    if connections is not None:
+        sessions = sessions.join(connections, by_session, "left")
+    out = left_join_hot(
+        sessions,
         requests.select(
             *[F.col(c).alias(f"request_{c}") if c in shared else F.col(c) for c in requests.columns]
         ),
         by_session,
-        "left",
     )
-    if connections is not None:
-        out = out.join(connections, by_session, "left")
     blocker = "blocking_session_id"
     return out.withColumn(blocker, F.coalesce(F.col(blocker), F.lit(0).cast("long")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.functions import any_of, concat_nullsafe, holds, quotename
@@ -65,12 +65,17 @@ def apply_changes(changes: DataFrame, keys: Sequence[str], measures: Sequence[st
 
 
 def index_inventory(index_stats: DataFrame, index_keys: Sequence[str]) -> DataFrame:
-    """Uncompressed index partitions with the page and partition totals of their index."""
-    whole = index_stats.groupBy(*index_keys).agg(
-        F.count(F.lit(1)).alias("partition_count"),
-        F.sum("page_count").alias("index_page_count"),
+    """Uncompressed index partitions with the page and partition totals of their index.
+
+    One row per partition comes in, and an index has at most 15,000 partitions,
+    so a window over an index is bounded.
+    """
+    index = Window.partitionBy(*index_keys)
+    return (
+        index_stats.withColumn("partition_count", F.count(F.lit(1)).over(index))
+        .withColumn("index_page_count", F.sum("page_count").over(index))
+        .where(F.col("data_compression") == "NONE")
     )
-    return index_stats.where(F.col("data_compression") == "NONE").join(whole, list(index_keys))
 
 
 def mark_done(

@@ -20,6 +20,7 @@ from opslens.operators.maintenance import (
     is_partition,
     stats_command,
     stats_mode,
+    with_partition_count,
 )
 from opslens.operators.selection import select_by_spec
 from opslens.operators.state import (
@@ -131,9 +132,7 @@ def q_fragmentation(t: Inputs) -> DataFrame:
 
 
 def _with_partitions(t: Inputs) -> DataFrame:
-    rows = t.index_cur
-    counts = rows.groupBy(*INDEX_KEYS).agg(F.count(F.lit(1)).alias("partition_count"))
-    return rows.join(counts, INDEX_KEYS).withColumn("is_partition", is_partition())
+    return with_partition_count(t.index_cur, INDEX_KEYS).withColumn("is_partition", is_partition())
 
 
 _PARTS = """parts AS (SELECT database_id, object_id, count(*) AS partition_count FROM v_index_cur GROUP BY 1, 2)"""

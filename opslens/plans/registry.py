@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DecimalType, IntegerType, ShortType
 
 from opslens.plans.inputs import VIEWS, Inputs, oracle_view
+from opslens.session import tune
 
 Build = Callable[[Inputs], DataFrame]
 
@@ -73,7 +74,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
 
     def bind(build: Build) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: plain(build(Inputs(spark, sf_dir)))
+        return lambda spark, sf_dir: plain(build(Inputs(tune(spark), sf_dir)))
 
     return {name: bind(build) for name, build in _PLANS.items()}
 
