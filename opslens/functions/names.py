@@ -22,8 +22,9 @@ __all__ = [
 # Characters a file name must not hold.
 ILLEGAL_FILE_CHARS = '\\/:*?"<>|'
 
-# Byte order in which an agent program name prints a job id.
-GUID_BYTE_ORDER = (3, 2, 1, 0, 5, 4, 7, 6, 8, 9, 10, 11, 12, 13, 14, 15)
+# A GUID, and the byte order in which an agent program name prints it.
+GUID = "^(..)(..)(..)(..)-(..)(..)-(..)(..)-(....)-(.{12})$"
+GUID_SWAPPED = "$4$3$2$1$6$5$8$7$9$10"
 
 
 def quotename(c: Column | str) -> Column:
@@ -66,6 +67,6 @@ def extract_statement(text: Column | str, start: Column | str, end: Column | str
 
 
 def swapped_guid_hex(guid: Column | str) -> Column:
-    """32 hex digits of a GUID in the byte order agent program names use."""
-    digits = F.replace(F.upper(_col(guid)), F.lit("-"), F.lit(""))
-    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in GUID_BYTE_ORDER])
+    """32 hex digits of a GUID in the byte order agent program names use; never NULL."""
+    swapped = F.regexp_replace(F.upper(_col(guid)), GUID, GUID_SWAPPED)
+    return F.coalesce(swapped, F.lit("?"))

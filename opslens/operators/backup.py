@@ -345,8 +345,9 @@ def _text(value: Column | str) -> Column:
 def _drop_empty_tokens(template: Column | str, tokens: Mapping[str, Column | str]) -> Column:
     out = _text(template)
     for token, value in tokens.items():
+        # The choice sits in the search text, so that ``out`` is named only once per token.
         empty = F.coalesce(_text(value), F.lit("")) == ""
-        out = F.when(empty, F.replace(out, F.lit("{" + token + "}"), F.lit(""))).otherwise(out)
+        out = F.replace(out, F.when(empty, F.lit("{" + token + "}")).otherwise(_MARK), F.lit(""))
     return out
 
 
@@ -423,9 +424,14 @@ def backup_names(
         file_tokens["FileNumber"] = ""
     name = render_file_name(chosen(group_file_template, file_template), file_tokens, at)
     digits = 0 if number_of_files == 1 else 1 if number_of_files <= 9 else 2
-    return databases.withColumn(
-        "directory_path", F.concat(F.lit(root), F.lit(separator), folder)
-    ).withColumn("file_name", fit_database_name(name, F.col("directory_path"), fs_name, digits))
+    return (
+        databases.withColumn("directory_path", F.concat(F.lit(root), F.lit(separator), folder))
+        .withColumn("file_name", name)
+        .withColumn(
+            "file_name",
+            fit_database_name(F.col("file_name"), F.col("directory_path"), fs_name, digits),
+        )
+    )
 
 
 # ---------------------------------------------------------------- stripes

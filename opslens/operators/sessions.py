@@ -111,36 +111,22 @@ def with_memory(requests: DataFrame, grants: DataFrame, scope: Sequence[str] = (
     return requests.join(mb, [*scope, "session_id", "request_id"], "left")
 
 
-def page_class(wait_type: str = "wait_type", resource: str = "resource_description") -> Column:
-    """Struct of page id and allocation-page class for page latch waits; first match wins."""
-    page = F.when(
-        like_ci(wait_type, "PAGE%LATCH_%"),
-        F.try_element_at(F.split(resource, ":"), F.lit(3)).cast("long"),
-    )
+def classify_page(waits: DataFrame) -> DataFrame:
+    """Page id and allocation-page class of page latch waits; the first matching class wins."""
+    page = F.col("page_id")
     kind = (
         F.when((page == 1) | (page % 8088 == 0), "Is PFS Page")
         .when((page == 2) | (page % 511232 == 0), "Is GAM Page")
         .when((page == 3) | ((page - 1) % 511232 == 0), "Is SGAM Page")
     )
-    return F.struct(page.alias("page_id"), kind.alias("page_class"))
-
-
-def classify_page(waits: DataFrame) -> DataFrame:
-    out = waits.withColumn("__page", page_class())
+    third = F.try_element_at(F.split("resource_description", ":"), F.lit(3)).try_cast("long")
+    suffix = F.when(
+        F.col("page_class").isNotNull(), F.concat(F.lit("("), F.col("page_class"), F.lit(")"))
+    ).otherwise("")
     return (
-        out.withColumn("page_id", F.col("__page.page_id"))
-        .withColumn("page_class", F.col("__page.page_class"))
-        .withColumn(
-            "wait_resource_text",
-            F.concat(
-                F.col("resource_description"),
-                F.when(
-                    F.col("page_class").isNotNull(),
-                    F.concat(F.lit("("), F.col("page_class"), F.lit(")")),
-                ).otherwise(""),
-            ),
-        )
-        .drop("__page")
+        waits.withColumn("page_id", F.when(like_ci("wait_type", "PAGE%LATCH_%"), third))
+        .withColumn("page_class", kind)
+        .withColumn("wait_resource_text", F.concat(F.col("resource_description"), suffix))
     )
 
 
@@ -155,13 +141,26 @@ def with_child_tasks(
     keys: Sequence[str] = ("session_id", "request_id"),
     wait_keys: Sequence[str] = ("session_id", "exec_context_id"),
 ) -> DataFrame:
-    """One row per task of a request, with the wait of that task."""
+    """One row per task of a request, with the wait of that task.
+
+    The task count tells which requests have no task, so the tasks themselves
+    meet the requests in an inner join, whose hot keys can be split on both sides.
+    """
     columns = [
         F.col(c).alias(f"task_{c}" if c in requests.columns else c)
         for c in tasks.columns
         if c not in keys
     ]
-    expanded = left_join_hot(requests, tasks.select(*keys, *columns), keys)
+    counted = requests.join(task_count(tasks, keys), list(keys), "left")
+    idle = F.col("task_count").isNull()
+    expanded = (
+        counted.where(~idle)
+        .join(tasks.select(*keys, *columns), list(keys))
+        .unionByName(
+            counted.where(idle).withColumn("task_count", F.lit(0).cast("long")),
+            allowMissingColumns=True,
+        )
+    )
     if waits is None:
         return expanded
     classified = classify_page(waits).select(
@@ -251,15 +250,14 @@ def who(
         out = out.join(groups.select("group_id", F.col("name").alias("resource_pool")), "group_id", "left")
 
     by_request = [*scope, "session_id", "request_id"]
-    if tasks is not None:
-        counts = task_count(tasks, by_request)
-        out = out.join(counts, by_request, "left").withColumn(
-            "task_count", F.coalesce("task_count", F.lit(0))
-        )
     if child_tasks:
         if tasks is None:
             raise ValueError("child_tasks needs the tasks table")
         out = with_child_tasks(out, tasks, waits, by_request, [*by_session, "exec_context_id"])
+    elif tasks is not None:
+        out = out.join(task_count(tasks, by_request), by_request, "left").withColumn(
+            "task_count", F.coalesce("task_count", F.lit(0))
+        )
 
     out = (
         out.withColumn("elapsed_text", fmt_duration("total_elapsed_ms"))
@@ -299,30 +297,35 @@ def sessions_all(
 # ---------------------------------------------------------------- wait resources
 
 
-def parse_wait_resource(column: str = "wait_resource") -> Column:
-    """Struct for ``KEY: db:hobt (hash)``, ``OBJECT: db:obj:..``, ``PAGE: db:file:page``
-    and ``RID: db:file:page:row``; other texts give NULL fields."""
-    text = F.upper(F.col(column))
-    kind = F.nullif(F.regexp_extract(text, r"^(KEY|OBJECT|PAGE|RID): ", 1), F.lit(""))
-    body = F.regexp_extract(text, r"^(?:KEY|OBJECT|PAGE|RID): ([0-9:]+)", 1)
-
-    def number(n: int, *kinds: str) -> Column:
-        value = F.try_element_at(F.split(body, ":"), F.lit(n))
-        return F.when(kind.isin(*kinds), F.nullif(value, F.lit("")).cast("long"))
-
-    return F.struct(
-        kind.alias("resource_kind"),
-        number(1, "KEY", "OBJECT", "PAGE", "RID").alias("wait_database_id"),
-        number(2, "KEY").alias("hobt_id"),
-        number(2, "OBJECT").alias("wait_object_id"),
-        number(2, "PAGE", "RID").alias("file_id"),
-        number(3, "PAGE", "RID").alias("page_id"),
-        number(4, "RID").alias("row_id"),
-    )
+def with_wait_resource(df: DataFrame, column: str = "wait_resource") -> DataFrame:
+    """Columns for ``KEY: db:hobt (hash)``, ``OBJECT: db:obj:..``, ``PAGE: db:file:page`` and
+    ``RID: db:file:page:row``; other texts give NULLs.
 
+    The text is split once; everything else reads the parts.
+    """
+    kinds = ("KEY", "OBJECT", "PAGE", "RID")
+    parts = F.col("__parts")
+    kind = F.col("resource_kind")
 
-def with_wait_resource(df: DataFrame, column: str = "wait_resource") -> DataFrame:
-    return df.withColumn("__r", parse_wait_resource(column)).select(*df.columns, "__r.*")
+    def number(n: int, *of: str) -> Column:
+        value = F.try_element_at(parts, F.lit(n + 1)).try_cast("long")
+        return F.when(kind.isin(*of), value)
+
+    first = F.try_element_at(parts, F.lit(1))
+    return (
+        df.withColumn("__parts", F.split(F.upper(F.col(column)), "[: ()]+"))
+        .withColumn("resource_kind", F.when(first.isin(*kinds), first))
+        .select(
+            *df.columns,
+            "resource_kind",
+            number(1, *kinds).alias("wait_database_id"),
+            number(2, "KEY").alias("hobt_id"),
+            number(2, "OBJECT").alias("wait_object_id"),
+            number(2, "PAGE", "RID").alias("file_id"),
+            number(3, "PAGE", "RID").alias("page_id"),
+            number(4, "RID").alias("row_id"),
+        )
+    )
 
 
 def resolve_wait_resource(

@@ -12,7 +12,6 @@ from opslens.operators.sessions import (
     executer,
     resolve_agent_job,
     resolve_wait_resource,
-    task_count,
     who,
     with_batch_text,
     with_child_tasks,
@@ -156,14 +155,12 @@ _CLASSIFIED = f"""SELECT *, CASE WHEN p = 1 OR p % 8088 = 0 THEN 'Is PFS Page'
     LEFT JOIN classified w ON w.request_id = r.request_id AND w.exec_context_id = k.exec_context_id""",
 )
 def q_who_tasks(t: Inputs) -> DataFrame:
-    by_request = ["request_id"]
-    requests = t.request.select("request_id", "session_id", "command").join(
-        task_count(t.task, by_request), by_request, "left"
+    requests = t.request.select("request_id", "session_id", "command")
+    out = with_child_tasks(
+        requests, t.task, t.wait, ["request_id"], ["request_id", "exec_context_id"]
     )
-    out = with_child_tasks(requests, t.task, t.wait, by_request, ["request_id", "exec_context_id"])
     return out.select(
-        "request_id", "session_id", "command", F.coalesce("task_count", F.lit(0)).alias("task_count"),
-        "exec_context_id", "task_state", "task_wait_type",
+        "request_id", "session_id", "command", "task_count", "exec_context_id", "task_state", "task_wait_type",
         F.coalesce("task_wait_resource", F.lit("")).alias("task_wait_resource"),
     )
 
