@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslens.functions import all_of
+
 NULL_SPREAD = 4096
 
 
@@ -37,16 +39,22 @@ def lookup(
 
 
 def left_join_hot(
-    left: DataFrame, right: DataFrame, keys: Sequence[str]
+    left: DataFrame, right: DataFrame, keys: Sequence[str], null_keys: bool = True
 ) -> DataFrame:
     """Left join for a right side in which one key may hold a large part of the rows.
 
     Adaptive execution cannot split the right side of an outer join, but it can
     split both sides of an inner one.  So matches come from an inner join, and
     the rest from an anti-join against the distinct keys, which combine before
-    they are shuffled.
+    they are shuffled.  Both read the same filtered left side, so its shuffle is
+    made once and reused.  Pass ``null_keys=False`` when no left key can be NULL.
     """
     keys = list(keys)
-    matched = left.join(right, keys)
-    rest = left.join(right.select(*keys).distinct(), keys, "left_anti")
-    return matched.unionByName(rest, allowMissingColumns=True)
+    complete = all_of(F.col(k).isNotNull() for k in keys)
+    keyed = left.where(complete)
+    matched = keyed.join(right, keys)
+    rest = keyed.join(right.select(*keys).distinct(), keys, "left_anti")
+    out = matched.unionByName(rest, allowMissingColumns=True)
+    if null_keys:
+        out = out.unionByName(left.where(~complete), allowMissingColumns=True)
+    return out

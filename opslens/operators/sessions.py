@@ -152,24 +152,18 @@ def with_child_tasks(
         if c not in keys
     ]
     counted = requests.join(task_count(tasks, keys), list(keys), "left")
-    idle = F.col("task_count").isNull()
-    expanded = (
-        counted.where(~idle)
-        .join(tasks.select(*keys, *columns), list(keys))
-        .unionByName(
-            counted.where(idle).withColumn("task_count", F.lit(0).cast("long")),
-            allowMissingColumns=True,
+    is_idle = F.col("task_count").isNull()
+    idle = counted.where(is_idle).withColumn("task_count", F.lit(0).cast("long"))
+    expanded = counted.where(~is_idle).join(tasks.select(*keys, *columns), list(keys))
+    if waits is not None:
+        classified = classify_page(waits).select(
+            *wait_keys,
+            F.col("wait_type").alias("task_wait_type"),
+            F.col("wait_resource_text").alias("task_wait_resource"),
+            _or_null(waits, "blocking_session_id", "long").alias("task_blocking_session_id"),
         )
-    )
-    if waits is None:
-        return expanded
-    classified = classify_page(waits).select(
-        *wait_keys,
-        F.col("wait_type").alias("task_wait_type"),
-        F.col("wait_resource_text").alias("task_wait_resource"),
-        _or_null(waits, "blocking_session_id", "long").alias("task_blocking_session_id"),
-    )
-    return left_join_hot(expanded, classified, wait_keys)
+        expanded = left_join_hot(expanded, classified, wait_keys, null_keys=False)
+    return expanded.unionByName(idle, allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------- activity report
@@ -289,6 +283,7 @@ def sessions_all(
             *[F.col(c).alias(f"request_{c}") if c in shared else F.col(c) for c in requests.columns]
         ),
         by_session,
+        null_keys=False,
     )
     blocker = "blocking_session_id"
     return out.withColumn(blocker, F.coalesce(F.col(blocker), F.lit(0).cast("long")))

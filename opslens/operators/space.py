@@ -78,10 +78,6 @@ def _used_perc(used: Column, total_or_one: Column) -> Column:
     return (used / total_or_one * 100).cast("decimal(12,2)")
 
 
-# A file of size zero counts as one MB in the denominator, as in the single-file ratio.
-_TOTAL_OR_ONE = F.when(F.col("total_mb") == 0, F.lit(1)).otherwise(F.col("total_mb"))
-
-
 def space_by_database(space: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Drive x database totals.  Volume figures are maxima, file figures are sums."""
     total, free = F.sum("disk_bytes_total"), F.sum("disk_bytes_free")
@@ -150,7 +146,10 @@ def space_report(
         blank.alias(c)
         for c in ("group_name", "file_type", "file_name", "shrink_command", "expand_command", "physical_name")
     ]
-    base = space.withColumn("total_or_one", _TOTAL_OR_ONE)
+    # A file of size zero counts as one MB in the denominator, as in the single-file ratio.
+    base = space.withColumn(
+        "total_or_one", F.when(F.col("total_mb") == 0, F.lit(1)).otherwise(F.col("total_mb"))
+    )
 
     database_keys = ["database_name", "drive_letter"] if by_drive else ["database_name"]
     per_database = (

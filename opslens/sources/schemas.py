@@ -5,8 +5,6 @@ Every table also carries the fleet columns: which server, which poll.
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 FLEET = "server_id string, snapshot_ts timestamp_ntz, snapshot_date date"
 
 _KINDS = {
@@ -79,6 +77,6 @@ _KINDS = {
         request_id long, request_start_time timestamp_ntz""",
 }
 
-SCHEMAS: dict[str, StructType] = {
-    kind: StructType.fromDDL(f"{FLEET}, {' '.join(ddl.split())}") for kind, ddl in _KINDS.items()
+SCHEMAS: dict[str, str] = {
+    kind: f"{FLEET}, {' '.join(ddl.split())}" for kind, ddl in _KINDS.items()
 }
