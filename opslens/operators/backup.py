@@ -13,6 +13,8 @@ from opslens.functions import (
     holds,
     least_or_null,
     minus_hours,
+    quote_literal,
+    quotename,
     safe_name,
     seconds_between,
     ts,
@@ -391,8 +393,11 @@ def backup_names(
     group_file_template: str = GROUP_FILE_TEMPLATE,
     description: str | None = None,
 ) -> DataFrame:
-    """Directory and file name per database (columns server_name, instance_name,
-    cluster_name, availability_group, name, backup_type); ``{FileNumber}`` stays."""
+    """Folder, directory and file name per database (columns server_name, instance_name,
+    cluster_name, availability_group, name, backup_type); ``{FileNumber}`` stays.
+
+    With several directories pass the longest as ``root``: it decides the path length.
+    """
     fs_name = safe_name("name")
     in_group = F.col("availability_group").isNotNull()
     extension = F.lit(None).cast("string")
@@ -423,9 +428,10 @@ def backup_names(
     if number_of_files == 1:
         file_tokens["FileNumber"] = ""
     name = render_file_name(chosen(group_file_template, file_template), file_tokens, at)
-    digits = 0 if number_of_files == 1 else 1 if number_of_files <= 9 else 2
+    digits = _number_size(number_of_files)
     return (
-        databases.withColumn("directory_path", F.concat(F.lit(root), F.lit(separator), folder))
+        databases.withColumn("folder", folder)
+        .withColumn("directory_path", F.concat(F.lit(root), F.lit(separator), F.col("folder")))
         .withColumn("file_name", name)
         .withColumn(
             "file_name",
@@ -437,6 +443,22 @@ def backup_names(
 # ---------------------------------------------------------------- stripes
 
 
+def _number_size(number_of_files: int) -> int:
+    return 0 if number_of_files == 1 else 1 if number_of_files <= 9 else 2
+
+
+def _check_stripes(
+    number_of_files: int, directories: Sequence[str], mirror_directories: Sequence[str]
+) -> None:
+    for dirs in (directories, mirror_directories):
+        if dirs and (number_of_files < len(dirs) or number_of_files % len(dirs)):
+            raise ValueError("the number of files must be a multiple of the directories")
+    if not 1 <= number_of_files <= MAX_FILES or not directories:
+        raise ValueError("the number of files must be 1 to 64, with at least one directory")
+    if mirror_directories and len(mirror_directories) != len(directories):
+        raise ValueError("mirror and primary need the same number of directories")
+
+
 def stripe_plan(
     databases: DataFrame,
     number_of_files: int,
@@ -448,16 +470,9 @@ def stripe_plan(
     Which directory holds a file is arithmetic on the file number, so there is
     no range join.  Every database yields at most 2 x 64 rows.
     """
-    for dirs in (directories, mirror_directories):
-        if dirs and (number_of_files < len(dirs) or number_of_files % len(dirs)):
-            raise ValueError("the number of files must be a multiple of the directories")
-    if not 1 <= number_of_files <= MAX_FILES or not directories:
-        raise ValueError("the number of files must be 1 to 64, with at least one directory")
-    if mirror_directories and len(mirror_directories) != len(directories):
-        raise ValueError("mirror and primary need the same number of directories")
-
+    _check_stripes(number_of_files, directories, mirror_directories)
     per_directory = number_of_files // len(directories)
-    digits = 0 if number_of_files == 1 else 1 if number_of_files <= 9 else 2
+    digits = _number_size(number_of_files)
     files = databases.withColumn(
         "file_number", F.explode(F.sequence(F.lit(1), F.lit(number_of_files)))
     ).withColumn(
@@ -476,6 +491,101 @@ def stripe_plan(
     return files.withColumn("directory", directory).withColumn("file_number_text", number)
 
 
+def backup_commands(
+    named: DataFrame,
+    number_of_files: int,
+    directories: Sequence[str],
+    mirror_directories: Sequence[str] = (),
+    *,
+    checksum: bool = False,
+    compress: bool = False,
+    copy_only: bool = False,
+    read_write_groups: bool = False,
+    no_recovery: bool = False,
+    init: bool = False,
+    block_size: int | None = None,
+    buffer_count: int | None = None,
+    max_transfer_size: int | None = None,
+    description: str | None = None,
+    separator: str = "\\",
+) -> DataFrame:
+    """Backup and verify commands of databases that :func:`backup_names` has named.
+
+    The files of a command are an array built in the row (at most 64), so
+    nothing is exploded or grouped.
+    """
+    _check_stripes(number_of_files, directories, mirror_directories)
+    digits = _number_size(number_of_files)
+    per_directory = number_of_files // len(directories)
+
+    def targets(dirs: Sequence[str]) -> Column:
+        if not dirs:
+            return F.lit(None).cast("string")
+        paths = [
+            F.concat(
+                F.lit(f"{dirs[(n - 1) // per_directory]}{separator}"),
+                F.col("folder"),
+                F.lit(separator),
+                F.replace(
+                    F.col("file_name"),
+                    F.lit("{FileNumber}"),
+                    F.lit(str(n).zfill(digits) if digits else ""),
+                ),
+            )
+            for n in range(1, number_of_files + 1)
+        ]
+        disks = F.transform(
+            F.array_sort(F.array(*paths)), lambda p: F.concat(F.lit("DISK = "), quote_literal(p))
+        )
+        return F.array_join(disks, ", ")
+
+    log, diff = F.col("backup_type") == LOG, F.col("backup_type") == DIFF
+    sums = "CHECKSUM" if checksum else "NO_CHECKSUM"
+    can_compress = F.lit(compress)
+    if "is_encrypted" in named.columns:
+        can_compress = can_compress & ~holds(F.col("is_encrypted"))
+    sizes = {
+        "BLOCKSIZE": block_size,
+        "BUFFERCOUNT": buffer_count,
+        "MAXTRANSFERSIZE": max_transfer_size,
+    }
+    options = [
+        F.lit(sums),
+        F.when(can_compress, "COMPRESSION").otherwise("NO_COMPRESSION"),
+        F.when(diff, "DIFFERENTIAL"),
+        F.when(F.lit(bool(mirror_directories)), "FORMAT"),
+        F.when(F.lit(copy_only), "COPY_ONLY"),
+        F.when(log & F.lit(no_recovery), "NORECOVERY"),
+        F.when(F.lit(init), "INIT"),
+        *[F.lit(f"{word} = {size}") for word, size in sizes.items() if size is not None],
+    ]
+    if description is not None:
+        options.append(F.concat(F.lit("DESCRIPTION = "), quote_literal(F.lit(description))))
+    partial = F.when(
+        F.lit(read_write_groups) & (F.col("name") != "master"), " READ_WRITE_FILEGROUPS"
+    )
+    mirror = F.concat(F.lit(" MIRROR TO "), F.col("mirror_files"))
+
+    def verify(files: str) -> Column:
+        return F.concat(F.lit("RESTORE VERIFYONLY FROM "), F.col(files), F.lit(f" WITH {sums}"))
+
+    return (
+        named.withColumn("primary_files", targets(directories))
+        .withColumn("mirror_files", targets(mirror_directories))
+        .withColumn("command_type", F.when(log, "BACKUP_LOG").otherwise("BACKUP_DATABASE"))
+        .withColumn(
+            "command_text",
+            concat_nullsafe(
+                F.when(log, "BACKUP LOG ").otherwise("BACKUP DATABASE "), quotename("name"), partial,
+                " TO ", F.col("primary_files"), mirror, " WITH ", F.concat_ws(", ", *options),
+            ),
+        )
+        .withColumn("verify_command", verify("primary_files"))
+        .withColumn("mirror_verify_command", verify("mirror_files"))
+        .drop("primary_files", "mirror_files")
+    )
+
+
 def unsafe_names(databases: DataFrame) -> DataFrame:
     """Databases of whose name nothing is left once illegal characters are stripped."""
     return databases.where(safe_name("name") == "").withColumn(

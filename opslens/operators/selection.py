@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.functions import all_of, any_of, contains_ci, escape_like, holds, like_ci
+from opslens.functions import all_of, any_of, contains_ci, escape_like, holds, like_ci, quotename
 from opslens.operators.ranking import numbered
 
 # ---------------------------------------------------------------- optional filters
@@ -180,6 +180,24 @@ def exclude_unreadable(
     return databases.join(unreadable, "database_id", "left_anti")
 
 
+def command_for_each(
+    databases: DataFrame,
+    template: str,
+    replace_char: str = "?",
+    suppress_quotename: bool = False,
+) -> DataFrame:
+    """One command per database from a template in which ``?`` stands for the database.
+
+    Names are quoted unless suppressed; a template that quotes by itself does
+    not end up with doubled brackets.
+    """
+    name = F.col("name") if suppress_quotename else quotename("name")
+    text = F.replace(F.lit(template), F.lit(replace_char), name)
+    if not suppress_quotename:
+        text = F.replace(F.replace(text, F.lit("[["), F.lit("[")), F.lit("]]"), F.lit("]"))
+    return databases.withColumn("command_text", text)
+
+
 # ---------------------------------------------------------------- selection lists
 
 

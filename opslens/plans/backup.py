@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.operators.backup import (
+    backup_commands,
     backup_eligible,
     backup_names,
     cleanup_cutoff,
@@ -168,6 +169,37 @@ def q_backup_names(t: Inputs) -> DataFrame:
     )
 
 
+def _disks(root: str) -> str:
+    disks = []
+    for n in range(1, 5):
+        disks.append(
+            f"concat('DISK = N''', '{root}{1 if n <= 2 else 2}:', chr(92), host, chr(92), name, chr(92), backup_type, chr(92), "
+            f"host, '_', name, '_', backup_type, '_20010801_000000_{n}.', CASE backup_type WHEN 'LOG' THEN 'trn' ELSE 'bak' END, '''')"
+        )
+    return f"concat_ws(', ', {', '.join(disks)})"
+
+
+@query(
+    "q_backup_commands",
+    f"""WITH {_TYPED}, named AS (SELECT database_id, name, backup_type, {_HOST} AS host FROM typed)
+    SELECT database_id, CASE backup_type WHEN 'LOG' THEN 'BACKUP_LOG' ELSE 'BACKUP_DATABASE' END AS command_type,
+      concat('BACKUP ', CASE backup_type WHEN 'LOG' THEN 'LOG' ELSE 'DATABASE' END, ' [', name, '] TO ', {_disks('P')},
+        ' MIRROR TO ', {_disks('M')}, ' WITH CHECKSUM, COMPRESSION', CASE backup_type WHEN 'DIFF' THEN ', DIFFERENTIAL' ELSE '' END,
+        ', FORMAT, BUFFERCOUNT = 50') AS command_text,
+      concat('RESTORE VERIFYONLY FROM ', {_disks('P')}, ' WITH CHECKSUM') AS verify_command,
+      concat('RESTORE VERIFYONLY FROM ', {_disks('M')}, ' WITH CHECKSUM') AS mirror_verify_command
+    FROM named""",
+)
+def q_backup_commands(t: Inputs) -> DataFrame:
+    named = backup_names(_typed(t), AS_OF, root="P1:", number_of_files=4)
+    commands = backup_commands(
+        named, 4, ["P1:", "P2:"], ["M1:", "M2:"], checksum=True, compress=True, buffer_count=50
+    )
+    return commands.select(
+        "database_id", "command_type", "command_text", "verify_command", "mirror_verify_command"
+    )
+
+
 @query(
     "q_stripe_plan",
     """SELECT database_id, CAST(n AS BIGINT) AS file_number, is_mirror,

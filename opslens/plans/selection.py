@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions import safe_name
 from opslens.operators.selection import (
+    command_for_each,
     duplicate_names,
     exclude_unreadable,
     filter_databases,
@@ -124,6 +125,18 @@ def q_db_filter(t: Inputs) -> DataFrame:
     ).select("database_id", "name", "recovery_model_desc", "compatibility_level")
 
 
+@query(
+    "q_foreach_command",
+    """SELECT database_id, name, concat('USE [', name, ']; EXEC sys.sp_helpdb ''[', name, ']''') AS command_text
+    FROM v_database WHERE database_id NOT IN (1, 2, 3, 4) AND NOT is_read_only""",
+)
+def q_foreach_command(t: Inputs) -> DataFrame:
+    databases = filter_databases(t.database, user_only=True, is_read_only=False)
+    return command_for_each(databases, "USE [?]; EXEC sys.sp_helpdb '?'").select(
+        "database_id", "name", "command_text"
+    )
+
+
 @query(
     "q_db_replica_anti",
     """SELECT database_id, name FROM v_database

@@ -12,6 +12,7 @@ from opslens.operators.sessions import (
     executer,
     resolve_agent_job,
     resolve_wait_resource,
+    sessions_all,
     who,
     with_batch_text,
     with_child_tasks,
@@ -234,6 +235,21 @@ def q_wait_object(t: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "q_sessions_all",
+    """SELECT s.session_id, s.login_name, s.status, r.request_id, r.command, r.status AS request_status,
+      coalesce(r.blocking_session_id, 0) AS blocking_session_id, c.client_net_address
+    FROM v_session s LEFT JOIN v_request r ON r.session_id = s.session_id
+    LEFT JOIN v_connection c ON c.session_id = s.session_id""",
+)
+def q_sessions_all(t: Inputs) -> DataFrame:
+    sessions = t.session.drop("blocking_session_id")
+    return sessions_all(sessions, t.request, t.connection).select(
+        "session_id", "login_name", "status", "request_id", "command", "request_status",
+        "blocking_session_id", "client_net_address",
+    )
+
+
 @query(
     "q_executer",
     f"SELECT s.session_id, s.host_name, {_EXECUTER} AS executer FROM v_session s {_JOB_JOIN}",
