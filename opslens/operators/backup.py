@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import (
+    all_of,
     concat_nullsafe,
     holds,
     least_or_null,
@@ -19,6 +22,7 @@ from opslens.functions import (
     seconds_between,
     ts,
 )
+from opslens.functions.names import ILLEGAL_FILE_CHARS
 
 # Backup types, templates, extensions and limits.
 FULL, DIFF, LOG = "FULL", "DIFF", "LOG"
@@ -45,13 +49,12 @@ MAX_PATH = 259
 MIN_KEPT_NAME = 20
 MAX_FILES = 64
 DATE_TOKENS = {
-    "Year": "yyyy",
-    "Month": "MM",
-    "Day": "dd",
-    "Hour": "HH",
-    "Minute": "mm",
-    "Second": "ss",
-    "Millisecond": "SSS",
+    "Year": "%Y",
+    "Month": "%m",
+    "Day": "%d",
+    "Hour": "%H",
+    "Minute": "%M",
+    "Second": "%S",
 }
 
 
@@ -308,69 +311,75 @@ def verify_status(sets: DataFrame, keys: Sequence[str] = ("database_id",)) -> Da
 # ---------------------------------------------------------------- names
 
 _SEPARATOR_TOKEN = "{DirectorySeparator}"
+_TOKEN = re.compile(r"\{(\w+)\}")
 _MARK = "\u0001"  # stands for the directory separator while a template is cleaned
 
 
-def render_directory(
-    template: Column | str, tokens: Mapping[str, Column | str], clock: Column, separator: str
-) -> Column:
-    """Directory path from a template.
+def clean_directory(template: str) -> str:
+    """Remove the separators that empty tokens leave behind in a directory template.
 
-    Separators left over by empty tokens disappear: ``_ - $`` next to a
-    directory separator go, runs collapse, both ends are trimmed.  Each of
-    these is closed under repetition, so one pass gives the fixpoint.
+    ``_ - $`` next to a directory separator go, runs collapse, both ends are
+    trimmed.  Each step is closed under repetition, so one pass is enough.
     """
-    out = _drop_empty_tokens(template, tokens)
-    out = F.replace(out, F.lit(_SEPARATOR_TOKEN), F.lit(_MARK))
-    out = F.translate(out, "\\/", _MARK * 2)
-    out = _absorb_dollar(out)
-    out = F.regexp_replace(out, f"[_$-]*{_MARK}[_${_MARK}-]*", _MARK)
-    out = F.regexp_replace(out, f"^[_${_MARK}-]+|[_${_MARK}-]+$", "")
-    out = F.replace(out, F.lit(_MARK), F.lit(separator))
-    return _fill_tokens(out, tokens, clock)
-
-
-def render_file_name(
-    template: Column | str, tokens: Mapping[str, Column | str], clock: Column
-) -> Column:
-    """File name from a template; ``{DatabaseName}`` and ``{FileNumber}`` may stay for later."""
-    out = _absorb_dollar(_drop_empty_tokens(template, tokens))
-    out = F.regexp_replace(out, r"[_-]+\.", ".")
-    out = F.regexp_replace(out, r"^[_$-]+|[_$-]+$", "")
-    return _fill_tokens(out, tokens, clock)
-
+    text = re.sub(r"[\\/]", _MARK, template.replace(_SEPARATOR_TOKEN, _MARK))
+    text = _absorb_dollar(text)
+    text = re.sub(f"[_$-]*{_MARK}[_${_MARK}-]*", _MARK, text)
+    return text.strip(f"_$-{_MARK}").replace(_MARK, _SEPARATOR_TOKEN)
 
-def _text(value: Column | str) -> Column:
-    return F.lit(value) if isinstance(value, str) else value
 
+def clean_file_name(template: str) -> str:
+    """The same for a file-name template; separators before a dot go, too."""
+    return re.sub(r"[_-]+\.", ".", _absorb_dollar(template)).strip("_$-")
 
-def _drop_empty_tokens(template: Column | str, tokens: Mapping[str, Column | str]) -> Column:
-    out = _text(template)
-    for token, value in tokens.items():
-        # The choice sits in the search text, so that ``out`` is named only once per token.
-        empty = F.coalesce(_text(value), F.lit("")) == ""
-        out = F.replace(out, F.when(empty, F.lit("{" + token + "}")).otherwise(_MARK), F.lit(""))
-    return out
 
+def _absorb_dollar(text: str) -> str:
+    text = re.sub(r"\$+(?=[_-])|(?<=[_-])\$+", "", text)
+    return re.sub("-+", "-", re.sub("_+", "_", text))
 
-def _absorb_dollar(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\$+(?=[_-])|(?<=[_-])\$+", "")
-    return F.regexp_replace(F.regexp_replace(c, "_+", "_"), "-+", "-")
 
+def render_template(
+    template: str,
+    clean: Callable[[str], str],
+    constants: Mapping[str, str],
+    columns: Mapping[str, Column],
+    optional: Sequence[str] = (),
+) -> Column:
+    """Text of a template per row.
 
-def _fill_tokens(c: Column, tokens: Mapping[str, Column | str], clock: Column) -> Column:
-    for token, pattern in DATE_TOKENS.items():
-        c = F.replace(c, F.lit("{" + token + "}"), F.date_format(clock, pattern))
-    for token, value in tokens.items():
-        c = F.replace(c, F.lit("{" + token + "}"), F.coalesce(_text(value), F.lit("")))
-    return c
+    Which tokens are empty decides how a template is cleaned, and only the
+    ``optional`` ones can be.  So each combination is cleaned once here, and a
+    row merely picks one and concatenates its values.  Unknown tokens stay.
+    """
+    present = [t for t in optional if "{" + t + "}" in template]
+    for token, value in constants.items():
+        if value == "":
+            template = template.replace("{" + token + "}", "")
+
+    def fill(text: str) -> Column:
+        parts, end = [], 0
+        for match in _TOKEN.finditer(text):
+            token = match[1]
+            value = constants.get(token, match[0])
+            parts.append(F.lit(text[end : match.start()]))
+            parts.append(columns[token] if token in columns else F.lit(value))
+            end = match.end()
+        return F.concat(*parts, F.lit(text[end:]))
+
+    out = fill(clean(template))
+    for size in range(1, len(present) + 1):
+        for missing in combinations(present, size):
+            text = template
+            for token in missing:
+                text = text.replace("{" + token + "}", "")
+            empty = all_of(F.coalesce(columns[t], F.lit("")) == "" for t in missing)
+            out = F.when(empty, fill(clean(text))).otherwise(out)
+    return out
 
 
 def fit_database_name(file_name: Column, directory: Column, name: Column, number_size: int) -> Column:
     """Put the database name into a file name so that the path keeps within its limit."""
-    number = F.lit("0" * number_size)
-    full = F.replace(F.replace(file_name, F.lit("{DatabaseName}"), name), F.lit("{FileNumber}"), number)
-    length = F.length(directory) + 1 + F.length(full)
+    fixed = F.length(F.replace(file_name, F.lit("{FileNumber}"), F.lit("0" * number_size)))
+    length = F.length(directory) + 1 + fixed - len("{DatabaseName}") + F.length(name)
     kept = F.greatest(F.length(name) + MAX_PATH - length - 3, F.lit(MIN_KEPT_NAME))
     short = F.concat(F.substring(name, F.lit(1), kept), F.lit("..."))
     return F.replace(
@@ -391,48 +400,57 @@ def backup_names(
     group_directory_template: str = GROUP_DIRECTORY_TEMPLATE,
     file_template: str = FILE_TEMPLATE,
     group_file_template: str = GROUP_FILE_TEMPLATE,
-    description: str | None = None,
+    description: str = "",
 ) -> DataFrame:
     """Folder, directory and file name per database (columns server_name, instance_name,
     cluster_name, availability_group, name, backup_type); ``{FileNumber}`` stays.
 
     With several directories pass the longest as ``root``: it decides the path length.
     """
+    at = clock if isinstance(clock, datetime) else datetime.fromisoformat(clock)
+    constants = {token: at.strftime(pattern) for token, pattern in DATE_TOKENS.items()}
+    constants |= {
+        "Millisecond": f"{at.microsecond // 1000:03d}",
+        "Partial": "PARTIAL" if read_write_groups else "",
+        "CopyOnly": "COPY_ONLY" if copy_only else "",
+        "Description": description.translate(str.maketrans("", "", ILLEGAL_FILE_CHARS)).strip(),
+        "DirectorySeparator": separator,
+        "NumberOfFiles": "" if number_of_files == 1 else str(number_of_files),
+    }
     fs_name = safe_name("name")
-    in_group = F.col("availability_group").isNotNull()
     extension = F.lit(None).cast("string")
     for kind, text in EXTENSIONS.items():
         extension = F.when(F.col("backup_type") == kind, text).otherwise(extension)
-    tokens: dict[str, Column | str] = {
+    columns = {
         "ServerName": F.col("server_name"),
         "InstanceName": F.col("instance_name"),
         "ClusterName": F.col("cluster_name"),
         "AvailabilityGroupName": F.col("availability_group"),
         "BackupType": F.col("backup_type"),
-        "Partial": "PARTIAL" if read_write_groups else "",
-        "CopyOnly": "COPY_ONLY" if copy_only else "",
-        "Description": safe_name(F.lit(description or "")),
+        "FileExtension": extension,
     }
-    at = ts(clock)
+    optional = ("InstanceName", "ClusterName", "AvailabilityGroupName")
+    in_group = F.col("availability_group").isNotNull()
 
-    def chosen(group: str, plain: str) -> Column:
-        return F.when(in_group, F.lit(group)).otherwise(F.lit(plain))
+    def folder(template: str) -> Column:
+        values = {**columns, "DatabaseName": fs_name}
+        return render_template(template, clean_directory, constants, values, optional)
+
+    def file_name(template: str) -> Column:
+        values = {**constants, "FileNumber": ""} if number_of_files == 1 else constants
+        return render_template(template, clean_file_name, values, columns, optional)
 
-    folder = render_directory(
-        chosen(group_directory_template, directory_template),
-        {**tokens, "DatabaseName": fs_name},
-        at,
-        separator,
-    )
-    file_tokens = {**tokens, "FileExtension": extension}
-    if number_of_files == 1:
-        file_tokens["FileNumber"] = ""
-    name = render_file_name(chosen(group_file_template, file_template), file_tokens, at)
     digits = _number_size(number_of_files)
     return (
-        databases.withColumn("folder", folder)
-        .withColumn("directory_path", F.concat(F.lit(root), F.lit(separator), F.col("folder")))
-        .withColumn("file_name", name)
+        databases.withColumn(
+            "folder",
+            F.when(in_group, folder(group_directory_template)).otherwise(folder(directory_template)),
+        )
+        .withColumn("directory_path", F.concat(F.lit(root + separator), F.col("folder")))
+        .withColumn(
+            "file_name",
+            F.when(in_group, file_name(group_file_template)).otherwise(file_name(file_template)),
+        )
         .withColumn(
             "file_name",
             fit_database_name(F.col("file_name"), F.col("directory_path"), fs_name, digits),
