@@ -1,7 +1,6 @@
 from opslens.streaming.polls import (  # noqa: F401
     activity_windows,
     blocked_episodes,
-    local_session_merge,
     pair_commands,
     read_stream,
     retention_on_trigger,

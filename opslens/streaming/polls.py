@@ -14,7 +14,15 @@ from opslens.functions import as_event_time, as_wall_clock
 from opslens.operators.snapshots import snapshot_retention
 from opslens.sources.workdir import fresh_path
 
-_LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+# Settings a stream is started with: state outside the heap, written as changes, and session
+# windows merged inside each task before their rows meet.
+_STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
 
 
 def read_stream(
@@ -68,11 +76,7 @@ def blocked_episodes(
     keys: Sequence[str] = ("session_id",),
     time: str = "ts",
 ) -> DataFrame:
-    """Episodes in which a session was seen blocked; a gap closes an episode.
-
-    Start with :func:`local_session_merge` on, so that the polls of one session
-    shrink to episodes inside each task before they meet.
-    """
+    """Episodes in which a session was seen blocked; a gap closes an episode."""
     return (
         polls.where("is_blocked")
         .withColumn(time, as_event_time(time))
@@ -89,14 +93,19 @@ def blocked_episodes(
 
 
 @contextmanager
-def local_session_merge(spark: SparkSession) -> Iterator[None]:
-    """Pre-aggregate session windows in each task while streams are started."""
-    before = spark.conf.get(_LOCAL_MERGE, "false")
-    spark.conf.set(_LOCAL_MERGE, "true")
+def _stream_settings(spark: SparkSession) -> Iterator[None]:
+    """A query keeps the settings it was started with, so they are put back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in _STREAM_SETTINGS}
+    for key, value in _STREAM_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_LOCAL_MERGE, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def pair_commands(
@@ -144,7 +153,9 @@ def run_to_table(
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.start(path).awaitTermination()
+    with _stream_settings(spark):
+        query = writer.start(path)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
