@@ -45,6 +45,9 @@ def safe_name(c: Column | str) -> Column:
 
 
 def contains_ci(c: Column | str, needle: str) -> Column:
+    """The text occurs in the column, ignoring case; ``%`` and ``_`` in it are wildcards."""
+    if "%" in needle or "_" in needle:
+        return like_ci(c, f"%{needle}%")
     return F.lower(_col(c)).contains(needle.lower())
 
 

@@ -99,7 +99,7 @@ def name_in_list_or_like(column: str, text: str | None) -> Column:
         return F.lit(True)
     name = F.lower(F.col(column))
     listed = F.instr(F.lit(text.lower()), name) > 0
-    return F.coalesce(listed, F.lit(True)) | holds(name.contains(text.lower()))
+    return F.coalesce(listed, F.lit(True)) | holds(contains_ci(column, text))
 
 
 def commands_like(column: str, prefixes: Sequence[str]) -> Column:

@@ -235,8 +235,9 @@ _ON_INDEX = """FROM v_index_column x JOIN v_column c ON c.object_id = x.object_i
 
 _CATALOG = f"""WITH shown AS (SELECT * FROM v_object WHERE object_type IN ('U', 'V') AND NOT is_ms_shipped),
   counts AS (SELECT object_id, index_id, count(DISTINCT partition_number) AS partition_count FROM v_index_part GROUP BY 1, 2),
-  read_only AS (SELECT object_id, index_id, partition_number FROM v_index_part WHERE (object_id + partition_number) % 6 = 0),
-  paused AS (SELECT object_id, index_id, partition_number FROM v_index_part WHERE (object_id + index_id) % 27 = 0),
+  read_only AS (SELECT object_id, index_id, partition_number FROM v_index_part WHERE is_read_only),
+  paused AS (SELECT p.object_id, p.index_id, p.partition_number FROM v_index_part p JOIN v_index i
+    ON i.object_id = p.object_id AND i.index_id = p.index_id WHERE i.is_paused),
   catalog AS (
     SELECT o.object_id, o.object_name, o.object_type, o.is_memory_optimized, i.index_id, i.index_name,
       CAST(i.index_type AS BIGINT) AS index_type,
@@ -266,8 +267,8 @@ _CATALOG = f"""WITH shown AS (SELECT * FROM v_object WHERE object_type IN ('U',
 
 def _catalog(t: Inputs) -> DataFrame:
     indexes, objects, stats, partitions = t.index, t.object, t.stat, t.index_part
-    read_only = partitions.where((F.col("object_id") + F.col("partition_number")) % 6 == 0)
-    paused = partitions.where((F.col("object_id") + F.col("index_id")) % 27 == 0)
+    read_only = partitions.where("is_read_only")
+    paused = partitions.join(indexes.where("is_paused"), ["object_id", "index_id"], "left_semi")
     rows = index_catalog(
         indexes, objects, stats, partitions, t.column, t.index_column, read_only, paused
     )

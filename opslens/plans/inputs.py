@@ -187,7 +187,7 @@ FROM {supplier}
 VIEWS["v_index"] = """
 SELECT CAST(FLOOR(p_partkey / 20) AS BIGINT) AS object_id, p_partkey % 20 AS index_id,
   concat('IX_', p_partkey) AS index_name, p_size % 8 AS index_type, p_partkey % 3 <> 0 AS allow_page_locks,
-  p_partkey % 14 = 0 AS is_disabled, p_partkey % 15 = 0 AS is_hypothetical
+  p_partkey % 14 = 0 AS is_disabled, p_partkey % 15 = 0 AS is_hypothetical, p_size > 45 AS is_paused
 FROM {part}
 """
 
@@ -200,7 +200,7 @@ FROM {part}
 
 VIEWS["v_index_part"] = """
 SELECT DISTINCT CAST(FLOOR(l_partkey / 20) AS BIGINT) AS object_id, l_partkey % 20 AS index_id,
-  l_linenumber AS partition_number
+  l_linenumber AS partition_number, l_linenumber = 2 AS is_read_only
 FROM {lineitem}
 """
 

@@ -70,6 +70,7 @@ def test_keyword_list():
 
 def test_optional_filters(databases, rows):
     assert sel.contains_filters(databases, {"name": "SALES", "state_desc": None}).count() == 3
+    assert sel.contains_filters(databases, {"name": "ales_e"}).count() == 2  # _ is a wildcard
     assert sel.like_filters(databases, {"name": "sales_%"}).count() == 3
     assert sel.eq_filters(databases, {"state_desc": "OFFLINE"}).count() == 1
     assert sel.tristate(databases, "is_read_only", True).count() == 2
