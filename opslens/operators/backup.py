@@ -310,31 +310,43 @@ def verify_status(sets: DataFrame, keys: Sequence[str] = ("database_id",)) -> Da
 
 # ---------------------------------------------------------------- names
 
-_SEPARATOR_TOKEN = "{DirectorySeparator}"
 _TOKEN = re.compile(r"\{(\w+)\}")
-_MARK = "\u0001"  # stands for the directory separator while a template is cleaned
+_SEPARATOR = "{DirectorySeparator}"
+
+# Neighbours that collapse, in the order in which they do, and the ends to trim.
+_PLAIN_PAIRS = (("_$", "_"), ("$_", "_"), ("-$", "-"), ("$-", "-"))
+_DIRECTORY_PAIRS = (
+    ("\\", _SEPARATOR),
+    ("/", _SEPARATOR),
+    ("__", "_"),
+    ("--", "-"),
+    (_SEPARATOR * 2, _SEPARATOR),
+    *((pair, _SEPARATOR) for c in "$_-" for pair in (_SEPARATOR + c, c + _SEPARATOR)),
+    *_PLAIN_PAIRS,
+)
+_FILE_PAIRS = (("__", "_"), ("--", "-"), *_PLAIN_PAIRS, ("_.", "."), ("-.", "."))
 
 
 def clean_directory(template: str) -> str:
-    """Remove the separators that empty tokens leave behind in a directory template.
-
-    ``_ - $`` next to a directory separator go, runs collapse, both ends are
-    trimmed.  Each step is closed under repetition, so one pass is enough.
-    """
-    text = re.sub(r"[\\/]", _MARK, template.replace(_SEPARATOR_TOKEN, _MARK))
-    text = _absorb_dollar(text)
-    text = re.sub(f"[_$-]*{_MARK}[_${_MARK}-]*", _MARK, text)
-    return text.strip(f"_$-{_MARK}").replace(_MARK, _SEPARATOR_TOKEN)
+    """Remove the separators that empty tokens leave behind in a directory template."""
+    return _settle(template, _DIRECTORY_PAIRS, ("_", "-", "$", _SEPARATOR))
 
 
 def clean_file_name(template: str) -> str:
     """The same for a file-name template; separators before a dot go, too."""
-    return re.sub(r"[_-]+\.", ".", _absorb_dollar(template)).strip("_$-")
-
-
-def _absorb_dollar(text: str) -> str:
-    text = re.sub(r"\$+(?=[_-])|(?<=[_-])\$+", "", text)
-    return re.sub("-+", "-", re.sub("_+", "_", text))
+    return _settle(template, _FILE_PAIRS, ("_", "-", "$"))
+
+
+def _settle(text: str, pairs: Sequence[tuple[str, str]], ends: Sequence[str]) -> str:
+    """Repeat until nothing changes.  The text is a template, so this runs once per plan."""
+    before = None
+    while text != before:
+        before = text
+        for pair, single in pairs:
+            text = text.replace(pair, single)
+        for end in ends:
+            text = text.removeprefix(end).removesuffix(end)
+    return text
 
 
 def render_template(

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL oracle, on whole tables."""
+"""Every registered query against its SQL oracle, on whole tables, and its plan."""
 
 import subprocess
 import sys
@@ -20,7 +20,11 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, sf_dir, duck, name):
-    assert differences(QUERIES[name](spark, sf_dir), duck, ORACLES[name]) == []
+    df = QUERIES[name](spark, sf_dir)
+    assert differences(df, duck, ORACLES[name]) == []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInPandas"):
+        assert operator not in plan
 
 
 def test_every_query_has_an_oracle():
