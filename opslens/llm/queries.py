@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import exact_dedup, mixing, quality_rules
+from opslens.llm import exact_dedup, mixing, near_dedup, quality_rules
 from opslens.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op4_exact_dedup,
         op7_mixing,
         op9_quality_rules,
+        op10_near_dedup,
     )
 }
 
