@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import exact_dedup, mixing, near_dedup, quality_rules
+from opslens.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, warc
 from opslens.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,11 +38,25 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+PIECE = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents")).select(*PIECE)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.deduplicated_archives(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        op3_best_fit_packing,
         op4_exact_dedup,
         op7_mixing,
+        op8_warc,
         op9_quality_rules,
         op10_near_dedup,
     )
