@@ -7,7 +7,8 @@ which exactly the sources ranked before it are stopped.
 
 A source is taken ``floor(target / size)`` times whole; the rest of the target is a sample without
 replacement in the order of a seeded hash.  The last document of the sample is found by
-counting words in hash buckets, level by level, so no source is ever sorted in one task.
+counting words in hash buckets, level by level, so no source is ever sorted in one task.  What then is
+missing is filled from the documents that still fit, ``FILLS`` times.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from opslens.llm.store import saved
 MAX_EPOCHS = 3
 SEED = 20240229
 #: Hash bits settled per counting level, and the number of levels.
-LEVEL_BITS = 10
-LEVELS = 5
+LEVEL_BITS = 12
+LEVELS = 4
+FILLS = 3
 
 _BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -81,58 +83,74 @@ def mix(
     plan = plan.withColumn("whole", F.least(F.floor(rate + 1e-12), F.lit(int(max_epochs)))).withColumn(
         "rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))
     )
-    plan = saved(_cutoffs(slim, plan), "mix")
+    plan = plan.withColumn("left0", F.col("rest"))
+    for turn in range(FILLS + 1):
+        plan = _cutoff(_open(slim, plan, turn), plan, turn)
     met = sized.join(
         plan.withColumnsRenamed({c: f"__{c}" for c in plan.columns}), F.col("__from").eqNullSafe(F.col("__source"))
     )
-    drawn = _high(F.col("__spot")) < F.col("__cut")
+    drawn = _drawn(FILLS + 1, "__")
     reps = F.col("__whole") + F.when(drawn, 1).otherwise(0)
     return met.withColumn("__reps", F.least(reps, F.lit(int(max_epochs))).cast("int"))
 
 
+def _drawn(turns: int, prefix: str = "") -> Column:
+    """Whether the first ``turns`` samples hold a row: its hash is below the cut and it fits what was left."""
+    drawn = F.lit(False)
+    for t in range(turns):
+        drawn = drawn | (
+            (_high(F.col("__spot")) < F.col(f"{prefix}cut{t}")) & (F.col("__size") <= F.col(f"{prefix}left{t}"))
+        )
+    return drawn
+
+
+def _open(slim: DataFrame, plan: DataFrame, turn: int) -> DataFrame:
+    """Rows that no sample holds so far and that fit what is left."""
+    known = plan.withColumnRenamed("source", "s")
+    met = slim.join(known, F.col("source").eqNullSafe(F.col("s")))
+    return met.where(~_drawn(turn) & (F.col("__size") <= F.col(f"left{turn}"))).select(slim.columns)
+
+
 def _high(spot: Column) -> Column:
     """The leading LEVEL_BITS * LEVELS bits of the hash, as a number from 0."""
     return F.shiftrightunsigned(spot, 64 - LEVEL_BITS * LEVELS)
 
 
-def _cutoffs(slim: DataFrame, plan: DataFrame) -> DataFrame:
-    """``plan`` with ``cut``: rows of the source whose hash is below it carry ``rest`` words, to the nearest row.
+def _cutoff(rows: DataFrame, plan: DataFrame, turn: int) -> DataFrame:
+    """``plan`` with ``cut{turn}``, and ``left{turn + 1}``, the words still missing after it.
 
-    Each level counts words in 2**LEVEL_BITS buckets of the one bucket where the level before ended.
+    Rows of a source whose hash is below the cut carry at most ``left{turn}`` words.  Each level counts
+    words in 2**LEVEL_BITS buckets of the one bucket in which the level before ended.
     """
-    plan = plan.select("*", F.lit(0).cast("long").alias("cut"), F.col("rest").alias("left"))
+    state = plan.select("source", F.lit(0).cast("long").alias("cut"), F.col(f"left{turn}").alias("left"))
     for level in range(1, LEVELS + 1):
-        plan = saved(plan, "cutoff")
-        shift = LEVEL_BITS * (LEVELS - level)
-        bucket = F.shiftright(_high(F.col("__spot")), shift)
-        joined = slim.join(
-            plan.select(F.col("source").alias("s"), F.col("cut").alias("c")), F.col("source").eqNullSafe(F.col("s"))
-        )
-        inside = joined.where(F.shiftright(bucket, LEVEL_BITS) == F.col("c")) if level > 1 else joined
-        counts = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("__size").alias("words"))
-        running = Window.partitionBy("source").orderBy("bucket")
-        counts = counts.withColumn("upto", F.sum("words").over(running))
-        fits = counts.join(
-            plan.select(F.col("source").alias("s"), F.col("left").alias("l")), F.col("source").eqNullSafe(F.col("s"))
-        )
-        last = level == LEVELS
-        # At the last level the bucket across the mark goes in if that comes nearer to it.
-        under = F.col("upto") - (F.col("words") / 2 if last else F.lit(0)) <= F.col("l")
-        passed = fits.groupBy(F.col("source").alias("s")).agg(
-            F.max(F.when(under, F.col("bucket"))).alias("b"),
-            F.max(F.when(under, F.col("upto"))).alias("w"),
+        state = saved(state, "cutoff")
+        named = state.withColumnsRenamed({"source": "s", "cut": "c", "left": "l"})
+        bucket = F.shiftright(_high(F.col("__spot")), LEVEL_BITS * (LEVELS - level))
+        inside = rows.join(named, F.col("source").eqNullSafe(F.col("s")))
+        if level > 1:
+            inside = inside.where(F.shiftright(bucket, LEVEL_BITS) == F.col("c"))
+        counts = inside.groupBy("source", "l", bucket.alias("bucket")).agg(F.sum("__size").alias("words"))
+        # At most 2**LEVEL_BITS rows of each source.
+        counts = counts.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
+        under = F.col("upto") <= F.col("l")
+        passed = counts.groupBy(F.col("source").alias("s")).agg(
+            F.max(F.when(under, F.col("bucket"))).alias("last"),
+            F.max(F.when(under, F.col("upto"))).alias("words"),
             F.min(F.when(~under, F.col("bucket"))).alias("over"),
         )
         at = F.col("cut") * (1 << LEVEL_BITS)
-        nothing_over = at + (1 << LEVEL_BITS)
-        # Go on inside the first bucket that is too large; with none, everything fits.
-        step = F.coalesce("over", nothing_over) if not last else F.coalesce(F.col("b") + 1, at)
-        plan = plan.join(passed, F.col("source").eqNullSafe(F.col("s")), "left").select(
-            *[c for c in plan.columns if c not in ("cut", "left")],
+        # Go on inside the first bucket that is too large; with none, all of them are in.
+        step = F.coalesce("over", at + (1 << LEVEL_BITS)) if level < LEVELS else F.coalesce(F.col("last") + 1, at)
+        state = state.join(passed, F.col("source").eqNullSafe(F.col("s")), "left").select(
+            "source",
             F.when(F.col("s").isNull(), at).otherwise(step).cast("long").alias("cut"),
-            (F.col("left") - F.coalesce("w", F.lit(0))).alias("left"),
+            (F.col("left") - F.coalesce("words", F.lit(0))).alias("left"),
         )
-    return plan
+    done = saved(state, "cutoff").select(
+        F.col("source").alias("s"), F.col("cut").alias(f"cut{turn}"), F.col("left").alias(f"left{turn + 1}")
+    )
+    return saved(plan.join(done, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix")
 
 
 def repeat_rows(docs: DataFrame) -> DataFrame:

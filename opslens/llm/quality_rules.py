@@ -94,7 +94,9 @@ def measure(docs: DataFrame, columns: list[str]) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in columns]
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select(*kept, text.alias("__text"))
-    df = df.select(*columns_of(columns), "__text", _words(F.col("__text")).alias("__words"), _lines(F.col("__text")).alias("__lines"))
+    df = df.select(
+        *columns_of(columns), "__text", _words(F.col("__text")).alias("__words"), _lines(F.col("__text")).alias("__lines")
+    )
     n = F.size("__words")
     starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     counts = [
@@ -107,14 +109,13 @@ def measure(docs: DataFrame, columns: list[str]) -> DataFrame:
     df = df.select(
         *columns_of(columns), *counts, "__words", F.sort_array(F.transform(starts, _packed)).alias("__sorted")
     )
-    df = df.select(
-        "*",
-        _repeated("__sorted", _same_hash).alias("__equal"),
-    )
-    clash = F.exists(
-        F.transform(F.col("__equal"), lambda x, k: _same_hash(x, _at("__equal", k + 1)) & ~_same_words(x, _at("__equal", k + 1))),
-        lambda c: F.coalesce(c, F.lit(False)),
-    )
+    df = df.select("*", _repeated("__sorted", _same_hash).alias("__equal"))
+
+    def clashes(x: Column, k: Column) -> Column:
+        after = _at("__equal", k + 1)
+        return _same_hash(x, after) & ~_same_words(x, after)
+
+    clash = F.exists(F.transform("__equal", clashes), lambda c: F.coalesce(c, F.lit(False)))
     by_words = F.array_sort(
         F.transform(
             starts,
@@ -162,9 +163,10 @@ def limits(measured: DataFrame) -> DataFrame:
     """
     ratios = measured.where(~base_failed()).select("lang", "source", *[_ratio(r).alias(r) for r in _RATIOS])
     quartiles = [F.percentile_approx(r, [0.25, 0.75], SKETCH).alias(r) for r in _RATIOS]
-    own = ratios.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *quartiles)
-    every = ratios.agg(*quartiles).select(*[F.col(r).alias(f"all_{r}") for r in _RATIOS])
-    met = own.join(F.broadcast(every))  # the right side is one row
+    one = F.lit(1).alias("one")
+    own = ratios.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *quartiles).select("*", one)
+    every = ratios.agg(*quartiles).select(one, *[F.col(r).alias(f"all_{r}") for r in _RATIOS])
+    met = own.join(every, "one")
 
     def bound(name: str, sign: int) -> Column:
         q = F.when(F.col("n") >= MIN_GROUP, F.col(name)).otherwise(F.col(f"all_{name}"))

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.llm import exact_dedup, lm_score, mixing, near_dedup, packing, quality_rules, substring_dedup, warc
+import corpus_pipeline
+from opslens.llm import (
+    exact_dedup,
+    lm_score,
+    mil_quality,
+    mixing,
+    near_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+    warc,
+)
 from opslens.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +30,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select(
@@ -65,11 +85,42 @@ QUERIES: dict[str, Query] = {
         op2_substring_dedup,
         op3_best_fit_packing,
         op4_exact_dedup,
+        op5_mil_quality,
+        op6_secret_scan,
         op7_mixing,
         op8_warc,
         op9_quality_rules,
         op10_near_dedup,
     )
 }
-
-ORACLES: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": """
+        WITH texts AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents
+        )
+        SELECT doc_id,
+               max(doc_id) OVER (PARTITION BY t) AS keep_id,
+               count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
+               sha256(t) AS text_sha256
+        FROM texts
+    """,
+    "op8_warc": """
+        WITH payloads AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), firsts AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM payloads
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+        FROM firsts
+    """,
+}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
