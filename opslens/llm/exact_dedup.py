@@ -148,7 +148,8 @@ def _raw() -> Column:
 
 def digest_table(docs: DataFrame, incoming: Column) -> DataFrame:
     """Every row's id, hash of the raw text, digest, and packed normalised text (``body``)."""
-    picked = docs.select(F.col("doc_id").cast("long"), "text", _raw().alias("raw"), incoming.alias("incoming"))
+    arrived = F.coalesce(incoming, F.lit(False)).alias("incoming")
+    picked = docs.select(F.col("doc_id").cast("long"), "text", _raw().alias("raw"), arrived)
     return saved(picked.mapInArrow(_digest_rows, _DIGESTS_DDL), "digests")
 
 
@@ -183,7 +184,7 @@ def exact_duplicates(docs: DataFrame, incoming: Column | None = None) -> DataFra
     table gives no rows.
     """
     if incoming is None:
-        incoming = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1, F.lit(False))
+        incoming = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
     rows = digest_table(docs, incoming)
     known = saved(_groups(rows.where(~F.col("incoming"))), "snapshot")
     new = saved(_groups(rows.where("incoming")), "arrivals")
