@@ -56,6 +56,11 @@ DATE_TOKENS = {
     "Minute": "%M",
     "Second": "%S",
 }
+SERVER_TOKENS = {
+    "ServiceName": "service_name",
+    "MajorVersion": "major_version",
+    "MinorVersion": "minor_version",
+}
 
 
 # ---------------------------------------------------------------- roles and type
@@ -313,40 +318,43 @@ def verify_status(sets: DataFrame, keys: Sequence[str] = ("database_id",)) -> Da
 _TOKEN = re.compile(r"\{(\w+)\}")
 _SEPARATOR = "{DirectorySeparator}"
 
-# Neighbours that collapse, in the order in which they do, and the ends to trim.
-_PLAIN_PAIRS = (("_$", "_"), ("$_", "_"), ("-$", "-"), ("$-", "-"))
-_DIRECTORY_PAIRS = (
-    ("\\", _SEPARATOR),
-    ("/", _SEPARATOR),
-    ("__", "_"),
-    ("--", "-"),
-    (_SEPARATOR * 2, _SEPARATOR),
-    *((pair, _SEPARATOR) for c in "$_-" for pair in (_SEPARATOR + c, c + _SEPARATOR)),
-    *_PLAIN_PAIRS,
-)
-_FILE_PAIRS = (("__", "_"), ("--", "-"), *_PLAIN_PAIRS, ("_.", "."), ("-.", "."))
+# Runs of separators: in a directory, and in a file name (with the dot that may follow).
+_DIRECTORY_RUN = re.compile(r"(?:[_$\\/-]|\{DirectorySeparator\})+")
+_FILE_RUN = re.compile(r"([_$-]+)(\.?)")
+_REPEATED_MARK = re.compile(r"_{2,}|-{2,}")
+
+
+def _strongest(run: str) -> str:
+    """What a run between two parts becomes: a path separator wins over marks, marks over dollars.
+
+    Equal marks beside each other count once; a run of dollars alone is text.
+    """
+    if _SEPARATOR in run or "/" in run or "\\" in run:
+        return _SEPARATOR
+    marks = run.replace("$", "")
+    return _REPEATED_MARK.sub(lambda m: m[0][0], marks) or run
 
 
 def clean_directory(template: str) -> str:
-    """Remove the separators that empty tokens leave behind in a directory template."""
-    return _settle(template, _DIRECTORY_PAIRS, ("_", "-", "$", _SEPARATOR))
+    """A directory template without the separators that empty tokens leave behind."""
+
+    def joint(m: re.Match[str]) -> str:
+        at_an_end = m.start() == 0 or m.end() == len(template)
+        return "" if at_an_end else _strongest(m[0])
+
+    return _DIRECTORY_RUN.sub(joint, template)
 
 
 def clean_file_name(template: str) -> str:
-    """The same for a file-name template; separators before a dot go, too."""
-    return _settle(template, _FILE_PAIRS, ("_", "-", "$"))
+    """The same for a file-name template; marks before a dot go, too."""
 
+    def joint(m: re.Match[str]) -> str:
+        if m.start() == 0 or m.end(1) == len(template):
+            return m[2]
+        run = _strongest(m[1])
+        return m[2] if m[2] and "$" not in run else run + m[2]
 
-def _settle(text: str, pairs: Sequence[tuple[str, str]], ends: Sequence[str]) -> str:
-    """Repeat until nothing changes.  The text is a template, so this runs once per plan."""
-    before = None
-    while text != before:
-        before = text
-        for pair, single in pairs:
-            text = text.replace(pair, single)
-        for end in ends:
-            text = text.removeprefix(end).removesuffix(end)
-    return text
+    return _FILE_RUN.sub(joint, template)
 
 
 def render_template(
@@ -417,6 +425,9 @@ def backup_names(
     """Folder, directory and file name per database (columns server_name, instance_name,
     cluster_name, availability_group, name, backup_type); ``{FileNumber}`` stays.
 
+    ``{ServiceName}``, ``{MajorVersion}`` and ``{MinorVersion}`` come from the columns service_name,
+    major_version and minor_version; a template that uses one needs its column.
+
     With several directories pass the longest as ``root``: it decides the path length.
     """
     at = clock if isinstance(clock, datetime) else datetime.fromisoformat(clock)
@@ -441,7 +452,13 @@ def backup_names(
         "BackupType": F.col("backup_type"),
         "FileExtension": extension,
     }
-    optional = ("InstanceName", "ClusterName", "AvailabilityGroupName")
+    templates = directory_template + group_directory_template + file_template + group_file_template
+    for token, column in SERVER_TOKENS.items():
+        if "{" + token + "}" in templates:
+            if column not in databases.columns:
+                raise ValueError(f"the token {token} needs the column {column}")
+            columns[token] = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    optional = ("InstanceName", "ClusterName", "AvailabilityGroupName", *SERVER_TOKENS)
     in_group = F.col("availability_group").isNotNull()
 
     def folder(template: str) -> Column:

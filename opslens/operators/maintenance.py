@@ -169,12 +169,11 @@ def order_by_last_check(
     command_log: DataFrame,
     descending: bool = False,
     scope: Sequence[str] = (),
-    limit: int | None = None,
 ) -> DataFrame:
     """Databases by last successful check; the never-checked come first when ascending."""
     runs = last_successful(command_log, scope=scope)
     mode = f"REPLICA_LAST_GOOD_CHECK_{'DESC' if descending else 'ASC'}"
-    return order_databases(databases.join(runs, [*scope, "name"], "left"), mode, scope, limit)
+    return order_databases(databases.join(runs, [*scope, "name"], "left"), mode, scope)
 
 
 # ---------------------------------------------------------------- catalogue
@@ -305,7 +304,6 @@ def index_stats_catalog(index_rows: DataFrame, stats_rows: DataFrame) -> DataFra
 def index_order(
     work: DataFrame,
     scope: Sequence[str] = ("database_id",),
-    limit: int | None = None,
 ) -> DataFrame:
     """Work order: resumable first, list position, names, indexes before statistics, partition."""
     first = F.when(holds(F.col("resumable")), 0).otherwise(1)
@@ -321,7 +319,7 @@ def index_order(
         F.col("stats_name").asc_nulls_first(),
         F.col("partition_number").asc_nulls_first(),
     ]
-    return numbered(work, scope, order, "order_no", limit)
+    return numbered(work, scope, order, "order_no")
 
 
 # ---------------------------------------------------------------- index actions

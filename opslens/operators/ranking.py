@@ -1,10 +1,8 @@
 """Row numbers and running totals that do not depend on one task per group.
 
-A window partitioned by a database puts that database into one task.  That is
-the right plan while groups are small, so the largest group is measured first
-(one map-side-combined count over the key columns).  Past ``GROUP_LIMIT`` rows
-the work is split by range instead: rows are sorted over all tasks, each range
-is numbered by itself, and the few per-range totals are carried forward.
+A window partitioned by a database puts that database into one task.  Here rows are sorted by range over
+all tasks and written once, each range is numbered by itself, and the few per-range totals are carried
+forward.  There is one plan, whatever the size of the groups.
 """
 
 from __future__ import annotations
@@ -16,35 +14,18 @@ from pyspark.sql import functions as F
 
 from opslens.sources.workdir import reliable_checkpoint
 
-GROUP_LIMIT = 1_000_000
-
 _POSITION = "__position"
 _RANGE = "__range"
 _RANGE_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
-def has_large_group(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return not counts.where(F.col("n") > limit).isEmpty()
-
-
-def numbered(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    limit: int | None = None,
-) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """``row_number`` per key.  ``order`` has to be total within a key."""
-    if not has_large_group(df, keys, GROUP_LIMIT if limit is None else limit):
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("long"))
-
     rows = _in_ranges(df, keys, order)
-    before = _carry(rows.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("total")))
+    before = _carry(rows.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("rows")), "rows")
     first = F.shiftleft(F.col(_RANGE), _RANGE_BITS)
     rows = rows.join(F.broadcast(before), _RANGE).withColumn(
-        name, F.col(_POSITION) - first + F.col("before") + 1
+        name, F.col(_POSITION) - first + F.col("rows_before") + 1
     )
     if keys:
         starts = rows.groupBy(*keys).agg((F.min(name) - 1).alias("__start"))
@@ -53,38 +34,36 @@ def numbered(
 
 
 def running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    value: str,
-    name: str,
-    limit: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str
 ) -> DataFrame:
-    """Running total of an integer or decimal column per key, current row included."""
-    if not has_large_group(df, keys, GROUP_LIMIT if limit is None else limit):
-        window = (
-            Window.partitionBy(*keys)
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.withColumn(name, F.sum(value).over(window))
+    """Running total of an integer or decimal column per key, current row included.
 
+    As in SQL, NULL values add nothing and the total is NULL before a key's first value.
+    """
     rows = _in_ranges(df, keys, order)
-    before = _carry(rows.groupBy(_RANGE).agg(F.sum(value).alias("total")))
+    total, known = F.coalesce(F.sum(value), F.lit(0)), F.count(value)
+    before = _carry(rows.groupBy(_RANGE).agg(total.alias("total"), known.alias("known")), "total", "known")
     inside = (
         Window.partitionBy(_RANGE)
         .orderBy(_POSITION)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    rows = local.join(F.broadcast(before), _RANGE).withColumn(
-        name, F.col(name) + F.coalesce(F.col("before"), F.lit(0))
+    local = rows.select("*", F.sum(value).over(inside).alias(name), F.count(value).over(inside).alias("__known"))
+    rows = local.join(F.broadcast(before), _RANGE)
+    rows = rows.withColumn(name, F.coalesce(name, F.lit(0)) + F.col("total_before")).withColumn(
+        "__known", F.col("__known") + F.col("known_before")
+    )
+    opening = F.struct(
+        (F.col(name) - F.coalesce(value, F.lit(0))).alias("total"),
+        (F.col("__known") - F.col(value).isNotNull().cast("int")).alias("known"),
     )
     if keys:
-        opening = F.col(name) - F.coalesce(F.col(value), F.lit(0))
         starts = rows.groupBy(*keys).agg(F.min_by(opening, F.col(_POSITION)).alias("__start"))
-        rows = _join_keys(rows, starts, keys).withColumn(name, F.col(name) - F.col("__start"))
-    return rows.select(*df.columns, name)
+        rows = _join_keys(rows, starts, keys)
+        own, count = F.col(name) - F.col("__start.total"), F.col("__known") - F.col("__start.known")
+    else:
+        own, count = F.col(name), F.col("__known")
+    return rows.withColumn(name, F.when(count > 0, own)).select(*df.columns, name)
 
 
 def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -100,11 +79,11 @@ def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     )
 
 
-def _carry(totals: DataFrame) -> DataFrame:
+def _carry(totals: DataFrame, *columns: str) -> DataFrame:
     """Totals of all earlier ranges: one row per sort partition, hence small and bounded."""
     earlier = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
-        _RANGE, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before")
+        _RANGE, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in columns]
     )
 
 

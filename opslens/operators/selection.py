@@ -379,7 +379,6 @@ def order_databases(
     databases: DataFrame,
     mode: str | None = None,
     scope: Sequence[str] = (),
-    limit: int | None = None,
 ) -> DataFrame:
     """Add ``order_no`` per scope (for example per server); NULLs come first ascending."""
     base, direction = mode, "ASC"
@@ -389,4 +388,4 @@ def order_databases(
         raise ValueError(f"order mode not supported: {mode!r}")
     column = F.col(ORDER_MODES[base])
     key = column.asc_nulls_first() if direction == "ASC" else column.desc_nulls_last()
-    return numbered(databases, scope, [key, F.col("name"), F.col("database_id")], "order_no", limit)
+    return numbered(databases, scope, [key, F.col("name"), F.col("database_id")], "order_no")

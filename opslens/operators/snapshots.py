@@ -132,7 +132,6 @@ def snapshot_retention(
     max_size_on_disk_mb: int = MAX_SIZE_ON_DISK_MB,
     max_space_used_percent: float = MAX_SPACE_USED_PERCENT,
     scope: Sequence[str] = (),
-    limit: int | None = None,
 ) -> DataFrame:
     """Decide for every snapshot whether it is dropped, and why.
 
@@ -143,7 +142,6 @@ def snapshot_retention(
         [*scope, "source_database_id"],
         [F.col("create_date").desc(), F.col("database_id").desc()],
         "snapshot_order",
-        limit,
     )
     age = F.floor(minutes_between(F.col("create_date"), ts(as_of)) / 60)
     used = F.round(

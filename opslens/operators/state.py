@@ -96,7 +96,6 @@ def compression_worklist(
     order_keys: Sequence[str],
     scope: Sequence[str] = (),
     done: str = "0",
-    limit: int | None = None,
 ) -> DataFrame:
     """What is still to be compressed, by status and then size."""
     todo = worklist.where((F.col("data_compression") == "NONE") & (F.col("status") != done))
@@ -109,7 +108,7 @@ def compression_worklist(
         ),
     )
     order = [F.col(c) for c in ("status", "page_count", *order_keys)]
-    return numbered(todo, scope, order, "order_no", limit)
+    return numbered(todo, scope, order, "order_no")
 
 
 def cumulative(
@@ -118,9 +117,8 @@ def cumulative(
     order: Sequence[str],
     keys: Sequence[str] = (),
     name: str = "cumulative",
-    limit: int | None = None,
 ) -> DataFrame:
-    return running_sum(df, keys, [F.col(c) for c in order], size, name, limit)
+    return running_sum(df, keys, [F.col(c) for c in order], size, name)
 
 
 def within_budget(
@@ -129,13 +127,13 @@ def within_budget(
     budget: int,
     order: Sequence[str],
     keys: Sequence[str] = (),
-    limit: int | None = None,
 ) -> DataFrame:
     """Ordered work that starts before the budget of its key is spent.
 
     A run with a time limit starts an item while time is left and lets it
     finish; with estimated costs that is: the cost spent before it is below the budget.
+    An unknown cost counts as nothing.
     """
-    spent = cumulative(df, cost, order, keys, "spent", limit)
-    before = F.col("spent") - F.coalesce(F.col(cost), F.lit(0))
+    spent = cumulative(df, cost, order, keys, "spent")
+    before = F.coalesce("spent", F.lit(0)) - F.coalesce(F.col(cost), F.lit(0))
     return spent.where(before < budget)

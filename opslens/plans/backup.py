@@ -169,6 +169,33 @@ def q_backup_names(t: Inputs) -> DataFrame:
     )
 
 
+_TOKENS = (
+    "{ServerName}${InstanceName}_{ServiceName}_{DatabaseName}_{BackupType}_v{MajorVersion}_{MinorVersion}_"
+    "{FileNumber}.{FileExtension}"
+)
+
+
+@query(
+    "q_backup_name_tokens",
+    f"""WITH {_TYPED}, named AS (SELECT database_id, name, backup_type, {_HOST} AS host,
+      CASE WHEN database_id % 3 = 0 THEN '' ELSE concat('_SVC', database_id % 4) END AS service,
+      compatibility_level // 10 AS major, compatibility_level % 7 AS minor FROM typed)
+    SELECT database_id, concat(host, service, '_', name, '_', backup_type, '_v', major, '_', minor, '.',
+      CASE backup_type WHEN 'LOG' THEN 'trn' ELSE 'bak' END) AS file_name FROM named""",
+)
+def q_backup_name_tokens(t: Inputs) -> DataFrame:
+    typed = _typed(t).withColumns(
+        {
+            "service_name": F.expr("CASE WHEN database_id % 3 = 0 THEN NULL ELSE concat('SVC', database_id % 4) END"),
+            "major_version": F.expr("compatibility_level DIV 10"),
+            "minor_version": F.expr("compatibility_level % 7"),
+        }
+    )
+    group_template = _TOKENS.replace("{ServerName}${InstanceName}", "{ClusterName}${AvailabilityGroupName}")
+    named = backup_names(typed, AS_OF, root="B:", file_template=_TOKENS, group_file_template=group_template)
+    return named.select("database_id", "file_name")
+
+
 def _disks(root: str) -> str:
     disks = []
     for n in range(1, 5):

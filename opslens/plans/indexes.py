@@ -49,11 +49,11 @@ BUDGET_PAGES = 100_000
         THEN 'UPDATE' ELSE 'KEEP' END AS action,
       p.row_cnt AS old_row_cnt, p.page_count AS old_page_count, p.data_compression AS old_data_compression,
       c.row_cnt AS new_row_cnt, c.page_count AS new_page_count, c.data_compression AS new_data_compression
-    FROM v_index_prev p FULL JOIN v_index_cur c ON p.database_id = c.database_id AND p.object_id = c.object_id
+    FROM v_index_prev p FULL JOIN v_index_now c ON p.database_id = c.database_id AND p.object_id = c.object_id
       AND p.partition_number = c.partition_number""",
 )
 def q_merge_state(t: Inputs) -> DataFrame:
-    return merge_state(t.index_prev, t.index_cur, KEYS, MEASURES)
+    return merge_state(t.index_prev, t.index_now, KEYS, MEASURES)
 
 
 @query(
@@ -89,7 +89,7 @@ def q_compress_worklist(t: Inputs) -> DataFrame:
     return plan.select(*KEYS, "status", "page_count", "size_mb", "order_no", "command_text")
 
 
-_RUNNING = """sum(page_count) OVER (PARTITION BY database_id ORDER BY page_count, object_id, partition_number
+_RUNNING = """sum(page_count) OVER (PARTITION BY database_id ORDER BY page_count NULLS FIRST, object_id, partition_number
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
@@ -107,10 +107,11 @@ def q_index_cumulative(t: Inputs) -> DataFrame:
 @query(
     "q_index_budget",
     f"""SELECT database_id, object_id, CAST(partition_number AS BIGINT) AS partition_number, page_count, spent
-    FROM (SELECT *, CAST({_RUNNING} AS BIGINT) AS spent FROM v_index_cur) c WHERE spent - page_count < {BUDGET_PAGES}""",
+    FROM (SELECT *, CAST({_RUNNING} AS BIGINT) AS spent FROM v_index_cost) c
+    WHERE coalesce(spent, 0) - coalesce(page_count, 0) < {BUDGET_PAGES}""",
 )
 def q_index_budget(t: Inputs) -> DataFrame:
-    rows = t.index_cur.select(*KEYS, "page_count")
+    rows = t.index_cost
     order = ["page_count", "object_id", "partition_number"]
     return within_budget(rows, "page_count", BUDGET_PAGES, order, ["database_id"])
 

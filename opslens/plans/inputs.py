@@ -96,10 +96,10 @@ FROM {lineitem}
 """
 
 VIEWS["v_grant"] = """
-SELECT o_orderkey AS request_id, o_custkey + 1 AS session_id,
+SELECT o_orderkey AS request_id, o_custkey + CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 1 END AS session_id,
   CAST(FLOOR(o_totalprice) AS BIGINT) AS requested_memory_kb,
   CAST(FLOOR(o_totalprice * 0.5) AS BIGINT) AS granted_memory_kb
-FROM {orders} WHERE o_orderstatus <> 'O'
+FROM {orders}
 """
 
 VIEWS["v_partition"] = """
@@ -165,10 +165,27 @@ SELECT l_suppkey % 25 AS database_id, concat('DB', l_suppkey % 25) AS database_n
   l_partkey % 7 + 1 IN (5, 6) AS is_column_store, l_partkey % 23 = 0 AS is_memory_optimized,
   l_partkey % 29 = 0 AS resumable, l_partkey % 5 = 0 AS is_incremental,
   l_partkey % 19 = 0 AS no_recompute, l_partkey % 37 = 0 AS is_computed, l_partkey % 41 = 0 AS is_timestamp
+FROM {lineitem}
+GROUP BY l_suppkey % 25, l_partkey, l_linenumber
+"""
+
+VIEWS["v_index_now"] = """
+SELECT l_suppkey % 25 AS database_id, l_partkey AS object_id, l_linenumber AS partition_number,
+  count(*) AS row_cnt, CAST(sum(CAST(FLOOR(l_quantity) AS BIGINT)) * 20 AS BIGINT) AS page_count,
+  CASE WHEN l_partkey % 10 = 0 THEN 'PAGE' ELSE 'NONE' END AS data_compression
 FROM {lineitem} WHERE l_shipdate >= CAST('1996-01-01 00:00:00' AS {ts})
 GROUP BY l_suppkey % 25, l_partkey, l_linenumber
 """
 
+# Every seventh cost is not known; unknown costs come first in the order.
+VIEWS["v_index_cost"] = """
+SELECT l_suppkey % 25 AS database_id, l_partkey AS object_id, l_linenumber AS partition_number,
+  CASE WHEN l_partkey % 7 = 0 THEN NULL
+       ELSE CAST(sum(CAST(FLOOR(l_quantity) AS BIGINT)) * 20 AS BIGINT) END AS page_count
+FROM {lineitem}
+GROUP BY l_suppkey % 25, l_partkey, l_linenumber
+"""
+
 VIEWS["v_index_page"] = """
 SELECT l_suppkey % 25 AS database_id, l_partkey AS object_id, l_linenumber AS partition_number,
   l_discount * 400 AS avg_fragmentation_in_percent, CAST(FLOOR(l_quantity) AS BIGINT) * 20 AS page_count,
@@ -311,6 +328,12 @@ SELECT s_suppkey AS server_id, s_name AS server_name,
 FROM {supplier}
 """
 
+VIEWS["v_job"] = """
+SELECT concat('job-', n_name) AS job_name, CASE WHEN n_nationkey % 8 = 0 THEN 'CmdExec' ELSE 'TSQL' END AS subsystem,
+  CASE n_regionkey WHEN 0 THEN 'Linux' WHEN 1 THEN 'Managed' WHEN 2 THEN 'RDS' ELSE 'Windows' END AS platform
+FROM {nation}
+"""
+
 VIEWS["v_queue"] = """
 SELECT concat('Q', o_orderkey) AS database_name, o_orderkey AS database_order,
   CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS database_start_time,

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.operators.jobs import (
-    JOB_CATALOG,
     cmdlog_outcome,
     error_severity,
     error_summary,
@@ -62,18 +61,12 @@ def q_cmdlog_cleanup(t: Inputs) -> DataFrame:
     )
 
 
-_CATALOG_VALUES = ", ".join(
-    f"('{name}', '{kind}', '{'|'.join(platforms)}')" for name, kind, platforms in JOB_CATALOG
-)
-
-
 @query(
     "q_job_catalog",
-    f"""SELECT server_id, platform, job_name, subsystem FROM v_server
-    JOIN (VALUES {_CATALOG_VALUES}) j(job_name, subsystem, platforms) ON contains(platforms, platform)""",
+    "SELECT server_id, platform, job_name, subsystem FROM v_server JOIN v_job USING (platform)",
 )
 def q_job_catalog(t: Inputs) -> DataFrame:
-    return job_catalog(t.server).select("server_id", "platform", "job_name", "subsystem")
+    return job_catalog(t.server, t.job).select("server_id", "platform", "job_name", "subsystem")
 
 
 @query(

@@ -37,14 +37,19 @@ def read_snapshot(
     path: str,
     as_of: datetime | str,
     servers: Sequence[str] | None = None,
+    since: date | str | None = None,
 ) -> DataFrame:
-    """The last poll of each server on the day of ``as_of``, not later than it."""
-    day = str(as_of)[:10]
-    polls = scan_all(spark, kind, path, since=day, until=day, servers=servers).where(
+    """The last poll of each server, not later than ``as_of``.
+
+    The last polls come from a scan of the key columns alone.  Their dates are join keys, so that the scan
+    of the rows skips the other dates' folders.  Polls before ``since`` (default: none) are left out.
+    """
+    polls = scan_all(spark, kind, path, since=since, until=str(as_of)[:10], servers=servers).where(
         F.col("snapshot_ts") <= ts(as_of)
     )
-    last = polls.groupBy("server_id").agg(F.max("snapshot_ts").alias("snapshot_ts"))
-    return polls.join(last, ["server_id", "snapshot_ts"], "left_semi")
+    last = polls.groupBy("server_id").agg(F.max(F.struct("snapshot_ts", "snapshot_date")).alias("last"))
+    last = last.select("server_id", "last.snapshot_ts", "last.snapshot_date")
+    return polls.join(last, ["server_id", "snapshot_ts", "snapshot_date"], "left_semi")
 
 
 def for_each_partition_of(

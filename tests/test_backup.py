@@ -33,7 +33,9 @@ def test_cleaned_templates_are_stable(text):
         ("a_-.b", "a_-.b", "a.b"),
         ("a_-b", "a_-b", "a_-b"),
         ("a$b$$c", "a$b$$c", "a$b$$c"),
-        ("/$$-.", ".", "/$."),
+        ("/$$-.", ".", "/."),
+        ("a$_.b", "a_.b", "a.b"),
+        ("a$.b", "a$.b", "a$.b"),
     ],
 )
 def test_cleaning_examples(template, directory, name):
@@ -61,6 +63,19 @@ def test_names_follow_the_template(spark):
     assert row["file_name"] == "C$AG_Sales_FULL_20240102_120000.bak"
 
 
+def test_service_and_version_tokens(spark):
+    template = "{ServerName}_{ServiceName}_{DatabaseName}_v{MajorVersion}_{MinorVersion}.{FileExtension}"
+    df = named(spark).withColumns(
+        {"service_name": F.lit(None).cast("string"), "major_version": F.lit(16), "minor_version": F.lit(0)}
+    )
+    row = b.backup_names(df, AS_OF, root="B:", file_template=template).first()
+    assert row["file_name"] == "SRV_Sales_v16_0.bak"
+    row = b.backup_names(df.withColumn("service_name", F.lit("SVC")), AS_OF, root="B:", file_template=template).first()
+    assert row["file_name"] == "SRV_SVC_Sales_v16_0.bak"
+    with pytest.raises(ValueError, match="service_name"):
+        b.backup_names(named(spark), AS_OF, root="B:", file_template=template)
+
+
 def test_long_paths_shorten_the_database_name(spark):
     row = b.backup_names(named(spark, name="x" * 120), AS_OF, root="B:" + "y" * 60).first()
     assert len(row["directory_path"]) + 1 + len(row["file_name"]) == 259

@@ -127,14 +127,3 @@ def test_check_commands_do_not_overlap(spark):
     assert row["command_text"] == (
         "DBCC CHECKDB ([D], NOINDEX) WITH NO_INFOMSGS, ALL_ERRORMSGS, DATA_PURITY, TABLOCK"
     )
-
-
-def test_work_order_is_the_same_when_split(spark, sf_dir):
-    from opslens.plans.indexes import _catalog
-    from opslens.plans.inputs import Inputs
-
-    work = _catalog(Inputs(spark, sf_dir)).withColumn("start_position", F.lit(1)).limit(200)
-    key = ["object_id", "index_id", "stats_id", "partition_number", "order_no"]
-    plain = {tuple(r) for r in m.index_order(work, ()).select(*key).collect()}
-    split = {tuple(r) for r in m.index_order(work, (), limit=20).select(*key).collect()}
-    assert plain == split

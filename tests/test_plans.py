@@ -16,7 +16,7 @@ def test_retention_cutoff_reaches_the_scan(spark, sf_dir):
 
 
 def test_index_poll_filter_reaches_the_scan(spark, sf_dir):
-    assert "GreaterThanOrEqual(l_shipdate," in physical(Inputs(spark, sf_dir).index_cur)
+    assert "GreaterThanOrEqual(l_shipdate," in physical(Inputs(spark, sf_dir).index_now)
 
 
 def test_only_needed_columns_are_read(spark, sf_dir):

@@ -131,7 +131,7 @@ def test_order_modes(databases):
     picked = sel.select_by_spec(databases, "HR,Sales%", type_column="database_type").where("selected")
     by_list = sel.order_databases(picked).orderBy("order_no").collect()
     assert [r["name"] for r in by_list] == ["HR", "SalesXEU", "Sales_EU", "sales_us"]
-    by_name = sel.order_databases(picked, "DATABASE_NAME_DESC", limit=1).orderBy("order_no").collect()
+    by_name = sel.order_databases(picked, "DATABASE_NAME_DESC").orderBy("order_no").collect()
     assert [r["name"] for r in by_name] == ["sales_us", "Sales_EU", "SalesXEU", "HR"]
     with pytest.raises(ValueError, match="order mode"):
         sel.order_databases(picked, "DATABASE_COLOUR_ASC")

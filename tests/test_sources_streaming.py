@@ -34,6 +34,11 @@ def test_last_poll_of_each_server(spark, tmp_path):
     sink_append(df.withColumn("snapshot_date", F.col("snapshot_ts").cast("date")), path, ("snapshot_date",))
     last = read_snapshot(spark, "log_space", path, "2024-01-02 11:00:00")
     assert sorted(r["log_size_mb"] for r in last.collect()) == [2.0, 4.0, 5.0]
+    midnight = read_snapshot(spark, "log_space", path, "2024-01-02 00:00:30")
+    assert [r["log_size_mb"] for r in midnight.collect()] == [1.0]
+    next_week = read_snapshot(spark, "log_space", path, "2024-01-09 00:00:00")
+    assert sorted(r["log_size_mb"] for r in next_week.collect()) == [3.0, 4.0, 5.0]
+    assert read_snapshot(spark, "log_space", path, "2024-01-09 00:00:00", since="2024-01-03").isEmpty()
     plan = scan_all(spark, "log_space", path, since="2024-01-02", servers=["a"])
     assert plan.count() == 2
     assert "PartitionFilters: [isnotnull(snapshot_date" in plan._jdf.queryExecution().executedPlan().toString()
