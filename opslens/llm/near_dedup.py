@@ -3,16 +3,15 @@
 1. Every text becomes a set of word shingles, MinHash band keys, and a packed signature that keeps
    ``BITS`` low bits of each minimum.  Texts with equal sets form a class; one member stands for it.
 2. Class members meet in band buckets.  Instead of all pairs, each bucket compares its
-   head with its members.  Links are closed to components; as long as a bucket
-   holds members of several components that were not compared, members outside the
-   bucket's largest component become heads of their own.  The loop ends when every two members of a
-   bucket were compared or are connected, so no link that joins components is lost, and the
-   work of a bucket of true copies stays in proportion to its size.
+   head with its members, and the links are closed to components.  Of a bucket that then still holds several
+   components, only members outside its largest one are compared with the others, in blocks,
+   with signatures four times as long.  So every two members of a bucket were compared or are connected: no
+   link that joins components is lost, and the work of a bucket of true copies stays near its size.
 3. Candidates are screened by the signatures: equal low bits are counted with bit operations and
    corrected for chance.  What remains is confirmed on the full shingle sets of both texts.
 
 With ``BANDS`` bands of ``ROWS`` minima a pair at similarity 0.8 is missed with odds of
-(1 - 0.8**ROWS)**BANDS, below one in a million; the screen cuts more than six deviations below it.
+(1 - 0.8**ROWS)**BANDS, below one in a million; the screens cut more than five deviations below it.
 """
 
 from __future__ import annotations
@@ -35,14 +34,16 @@ BANDS = 36
 ROWS = 5
 BITS = 4
 #: Deviations below the threshold at which the signature screen cuts.
-SLACK = 6.5
-#: Members of a bucket that become heads in one round.
-HEADS = 32
+SLACK = 5.5
+#: How many times longer the signatures of the second comparison are, and the sizes of its blocks.
+SHARPER = 4
+LEADS = 128
+OTHERS = 512
 
 _MINIMA = BANDS * ROWS
 _DRAW = np.random.default_rng(7919)
-_FLIP = _DRAW.integers(1, 1 << 63, _MINIMA, dtype=np.uint64)
-_TIMES = _DRAW.integers(1, 1 << 63, _MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _DRAW.integers(1, 1 << 63, SHARPER * _MINIMA, dtype=np.uint64)
+_TIMES = _DRAW.integers(1, 1 << 63, SHARPER * _MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _ROWS = pa.schema(
     [
@@ -79,13 +80,13 @@ def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
     return sets
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
+def minima(sets: list[np.ndarray], n: int = _MINIMA) -> np.ndarray:
     """MinHash minima, one row per hash function and one column per (nonempty) set."""
     values = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((_MINIMA, len(sets)), np.uint64)
+    out = np.empty((n, len(sets)), np.uint64)
     scratch = np.empty_like(values)
-    for k in range(_MINIMA):
+    for k in range(n):
         np.bitwise_xor(values, _FLIP[k], out=scratch)
         np.multiply(scratch, _TIMES[k], out=scratch)
         np.minimum.reduceat(scratch, starts, out=out[k])
@@ -115,13 +116,13 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     differ |= differ >> 1
     unequal = np.bitwise_count(differ & np.uint8(0x11)).sum(axis=1)
     chance = 1 / (1 << BITS)
-    return (1 - unequal / _MINIMA - chance) / (1 - chance)
+    return (1 - unequal / (2 * differ.shape[1]) - chance) / (1 - chance)
 
 
-def cut(percent: int = PERCENT) -> float:
+def cut(percent: int = PERCENT, n: int = _MINIMA) -> float:
     chance = 1 / (1 << BITS)
     p = percent / 100 * (1 - chance) + chance
-    return (p - SLACK * (p * (1 - p) / _MINIMA) ** 0.5 - chance) / (1 - chance)
+    return (p - SLACK * (p * (1 - p) / n) ** 0.5 - chance) / (1 - chance)
 
 
 def _rows(width: int):
@@ -192,7 +193,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     """Those pairs ``a, b`` of row ids whose sets are similar enough."""
 
     def side(column: str, what: str, name: str) -> DataFrame:
-        return texts.select(F.col("rid").alias(column), F.col(what).alias(name))
+        # Texts are never broadcast, however few there are.
+        return texts.select(F.col("rid").alias(column), F.col(what).alias(name)).hint("merge")
 
     signed = pairs.join(side("b", "signature", "sb"), "b").join(side("a", "signature", "sa"), "a")
     likely = signed.mapInArrow(lambda bs: _screen(bs, percent), "a long, b long")
@@ -226,63 +228,126 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+_SHARP = pa.schema([("rid", pa.int64()), ("sharp", pa.binary()), ("bands", pa.binary())])
 
 
-def links_between(rows: DataFrame, percent: int, width: int) -> DataFrame | None:
-    """Confirmed links ``a, b`` that connect all similar ``rows`` (rid, bands, signature, body)."""
-    spread = rows.select("rid", F.explode("bands").alias("key"))
+def _sharpen(width: int):
+    """Long signatures and band keys of the texts that are compared a second time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            texts = pa.array([unpack.decompress(x.as_py()) for x in b["body"]], pa.binary())
+            for words in chunks(texts, lower=False):
+                lows = minima(shingle_sets(words, width), SHARPER * _MINIMA)
+                rid = b["rid"].slice(words.first, len(words))
+                packed = [p.tobytes() for p in pack(lows)]
+                keys = [k.tobytes() for k in np.ascontiguousarray(band_keys(lows[:_MINIMA]).T)]
+                yield batch({"rid": rid, "sharp": packed, "bands": keys}, _SHARP)
+
+    return run
+
+
+def _stacked(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def compare_blocks(
+    key: int, leads: dict[str, np.ndarray], others: dict[str, np.ndarray], least: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Likely links between leads and others of other components.
+
+    A pair counts only in the first bucket that both share, and once when both are leads.
+    """
+    found = []
+    for i, rid in enumerate(leads["rid"].tolist()):
+        fits = (others["part"] != leads["part"][i]) & ~(others["waiting"] & (others["rid"] < rid))
+        at = np.flatnonzero(fits)
+        at = at[estimate(others["sharp"][at], leads["sharp"][i]) >= least]
+        same = others["bands"][at] == leads["bands"][i]
+        own = np.flatnonzero(leads["bands"][i] == key)[:1]
+        at = at[same.argmax(axis=1) == own] if len(own) else at[:0]
+        found += [(rid, other) for other in others["rid"][at].tolist()]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs.min(axis=1, initial=np.iinfo(np.int64).max), pairs.max(axis=1, initial=-1)
+
+
+def _compare(percent: int):
+    def side(blocks: pa.ListArray, row: int) -> dict[str, np.ndarray]:
+        block = blocks[row].values
+        return {
+            "rid": block.field("rid").to_numpy(),
+            "part": block.field("part").to_numpy(),
+            "waiting": block.field("waiting").to_numpy(zero_copy_only=False),
+            "sharp": _stacked(block.field("sharp"), np.uint8),
+            "bands": _stacked(block.field("bands"), np.int64),
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = cut(percent, SHARPER * _MINIMA)
+        for b in batches:
+            for row, key in enumerate(b["key"].to_pylist()):
+                a, z = compare_blocks(key, side(b["leads"], row), side(b["others"], row), least)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "b"])
+
+    return run
+
+
+def links_between(members: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """Confirmed links ``a, b`` that connect all similar ``members`` (rid, bands).
+
+    ``rows`` hold their rid, signature and body, and may hold more.
+    """
+    spread = members.select("rid", F.explode("bands").alias("key"))
     heads = spread.groupBy("key").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = saved(spread.join(heads.drop("n"), "key"), "buckets")
+    buckets = saved(spread.join(saved(heads.drop("n"), "heads"), "key"), "buckets")
     inside = buckets.select("rid").distinct()
-    texts = saved(rows.select("rid", "signature", "body").join(inside, "rid"), "texts")
-
-    used = buckets.select("key", F.col("head").alias("rid")).distinct()
+    texts = saved(rows.select("rid", "signature", "body").hint("merge").join(inside, "rid"), "texts")
     pairs = buckets.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
-    tested = saved(pairs, "pairs")
-    links = saved(confirmed(tested, texts, percent, width), "confirmed")
-    members = buckets.select("key", "rid")
-    turn = 0
-    while True:
-        turn += 1
-        labels = components(links)
-        placed = saved(
-            members.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(
-                "key", "rid", F.coalesce("label", "rid").alias("part")
-            ),
-            "placed",
-        )
-        largest = (
-            placed.groupBy("key", "part")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("key")
-            .agg(F.max(F.struct("n", "part"))["part"].alias("largest"), F.count(F.lit(1)).alias("parts"))
-            .where("parts > 1")
-        )
-        waiting = saved(
-            placed.join(largest, "key").where("part <> largest").join(used, ["key", "rid"], "left_anti"), "waiting"
-        )
-        if waiting.isEmpty():
-            return links
-        shares = waiting.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HEADS).alias("share"))
-        chosen = saved(
-            waiting.join(shares, "key")
-            .where(F.pmod(F.xxhash64("key", "rid", F.lit(turn)), F.col("share")) == 0)
-            .select("key", "rid", "part"),
-            "heads",
-        )
-        met = chosen.withColumnsRenamed({"rid": "lead", "part": "lead_part"}).join(placed, "key")
-        fresh = (
-            met.where("part <> lead_part")
-            .select(*_ordered(F.col("lead"), F.col("rid")))
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
+    first = saved(confirmed(pairs, texts, percent, width), "confirmed")
+
+    # Buckets that hold several components now.
+    labels = components(first)
+    placed = saved(
+        buckets.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(
+            "key", "rid", F.coalesce("label", "rid").alias("part")
+        ),
+        "placed",
+    )
+    largest = (
+        placed.groupBy("key", "part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key")
+        .agg(
+            F.max(F.struct("n", "part"))["part"].alias("largest"),
+            F.sum("n").alias("members"),
+            (F.sum("n") - F.max("n")).alias("waiting_members"),
         )
-        fresh = saved(fresh, "pairs")
-        tested = tested.unionByName(fresh)
-        links = links.unionByName(saved(confirmed(fresh, texts, percent, width), "confirmed"))
-        used = used.unionByName(chosen.select("key", "rid"))
+        .where("waiting_members > 0 AND members > 2")  # of two members the head was compared already
+    )
+    open_ones = saved(
+        placed.join(saved(largest, "largest"), "key").select(
+            "*", (F.col("part") != F.col("largest")).alias("waiting")
+        ),
+        "open",
+    )
+    if open_ones.isEmpty():
+        return first
+    again = texts.select("rid", "body").hint("merge").join(open_ones.select("rid").distinct(), "rid")
+    sharp = saved(again.mapInArrow(_sharpen(width), "rid long, sharp binary, bands binary"), "sharp")
+    entries = open_ones.join(sharp, "rid")
+    entry = F.struct("rid", "part", "waiting", "sharp", "bands")
+
+    def blocks(some: DataFrame, total: str, size: int, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("rid"), F.ceil(F.col(total) / size))
+        return some.groupBy("key", block.alias(f"{name}_block")).agg(F.collect_list(entry).alias(name))
+
+    leads = blocks(entries.where("waiting"), "waiting_members", LEADS, "leads")
+    others = blocks(entries, "members", OTHERS, "others")
+    likely = leads.join(others, "key").select("key", "leads", "others").mapInArrow(_compare(percent), "a long, b long")
+    second = saved(confirmed(likely.distinct(), texts, percent, width), "confirmed")
+    return first.unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -303,8 +368,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         .agg(F.min("rid").alias("member"), F.min(rank).alias("first")),
         "classes",
     )
-    stand_ins = rows.join(classes.select(F.col("member").alias("rid")), "rid", "left_semi")
-    links = links_between(stand_ins.select("rid", "bands", "signature", "body"), percent, width)
+    stand_ins = rows.select("rid", "bands").hint("merge").join(classes.select(F.col("member").alias("rid")), "rid")
+    links = links_between(saved(stand_ins, "members"), rows, percent, width)
     labels = components(links)
     parts = classes.join(labels.withColumnRenamed("node", "member"), "member", "left").select(
         "digest", F.coalesce("label", "member").alias("part"), "first"

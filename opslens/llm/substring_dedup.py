@@ -292,7 +292,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, hot_segments: int =
     """
     keyed = _keyed(docs)
     every = occurrences(keyed)
-    often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Written first: a join of two shuffles can split a hot anchor, one below an aggregate cannot.
+    often = saved(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "often")
     places = saved(every.join(often, "anchor", "left_semi"), "places")
     masks = saved(repeated_segments(keyed, places, hot_segments), "masks")
     marks = (
