@@ -72,30 +72,35 @@ def with_roles(
     mirroring: DataFrame | None = None,
     shipping_primaries: DataFrame | None = None,
     shipping_secondaries: DataFrame | None = None,
+    *,
+    scope: Sequence[str],
 ) -> DataFrame:
-    """Attach availability-group, mirroring and log-shipping roles; no row means no role."""
-    out = databases
+    """Attach availability-group, mirroring and log-shipping roles; no row means no role.
+
+    ``scope`` names the server columns of all tables.
+    """
+    out, database, named = databases, [*scope, "database_id"], [*scope, "name"]
     if replica_roles is not None:
         out = out.join(
             replica_roles.select(
-                "database_id",
+                *database,
                 "availability_group",
                 "availability_group_role",
                 "is_preferred_replica",
             ),
-            "database_id",
+            database,
             "left",
         )
     if mirroring is not None:
-        roles = mirroring.select("database_id", F.upper("mirroring_role").alias("mirroring_role"))
-        out = out.join(roles, "database_id", "left")
+        roles = mirroring.select(*database, F.upper("mirroring_role").alias("mirroring_role"))
+        out = out.join(roles, database, "left")
     if shipping_primaries is not None and shipping_secondaries is not None:
-        p = shipping_primaries.select("name", F.lit(True).alias("__p")).distinct()
-        s = shipping_secondaries.select("name", F.lit(True).alias("__s")).distinct()
+        p = shipping_primaries.select(*named, F.lit(True).alias("__p")).distinct()
+        s = shipping_secondaries.select(*named, F.lit(True).alias("__s")).distinct()
         role = F.when(F.col("__p"), "PRIMARY").when(F.col("__s"), "SECONDARY")
         out = (
-            out.join(p, "name", "left")
-            .join(s, "name", "left")
+            out.join(p, named, "left")
+            .join(s, named, "left")
             .withColumn("log_shipping_role", role)
             .drop("__p", "__s")
         )
@@ -109,10 +114,11 @@ def decide_backup_type(
     *,
     change_backup_type: bool = True,
     modification_level: int | None = None,
+    scope: Sequence[str],
 ) -> DataFrame:
     """Requested type, moved LOG -> DIFF -> FULL where the wanted kind is not possible.
 
-    ``backups`` tells whether the differential base is a snapshot backup.
+    ``backups`` tells whether the differential base is a snapshot backup; ``scope`` names the server columns.
     """
     if requested not in BACKUP_TYPES:
         raise ValueError(f"backup type not supported: {requested!r}")
@@ -143,12 +149,12 @@ def decide_backup_type(
 
     bases = (
         backups.where(F.col("type") == "D")
-        .groupBy("database_id", F.col("checkpoint_lsn").alias("differential_base_lsn"))
+        .groupBy(*scope, "database_id", F.col("checkpoint_lsn").alias("differential_base_lsn"))
         .agg(F.bool_or("is_snapshot").alias("base_is_snapshot"))
     )
     final = F.when((F.col("__second") == DIFF) & holds(F.col("base_is_snapshot")), FULL)
     return (
-        out.join(bases, ["database_id", "differential_base_lsn"], "left")
+        out.join(bases, [*scope, "database_id", "differential_base_lsn"], "left")
         .withColumn("backup_type", final.otherwise(F.col("__second")))
         .drop("__first", "__second")
     )
@@ -234,17 +240,18 @@ def backup_eligible(databases: DataFrame, as_of: datetime | str, **options) -> D
 # ---------------------------------------------------------------- history and cleanup
 
 
-def latest_backup(backups: DataFrame, databases: DataFrame) -> DataFrame:
+def latest_backup(backups: DataFrame, databases: DataFrame, *, scope: Sequence[str]) -> DataFrame:
     """Start of the newest undamaged backup a log chain can rest on, per database."""
-    bases = databases.select("database_id", "differential_base_lsn")
+    database = [*scope, "database_id"]
+    bases = databases.select(*database, "differential_base_lsn")
     usable = F.col("type").isin("D", "I") | (
         F.col("database_backup_lsn") < F.col("differential_base_lsn")
     )
     return (
         backups.where(~F.col("is_damaged"))
-        .join(bases, "database_id")
+        .join(bases, database)
         .where(usable)
-        .groupBy("database_id")
+        .groupBy(*database)
         .agg(F.max("backup_start_date").alias("latest_backup"))
     )
 
@@ -288,16 +295,16 @@ def cleanup_cutoff(
     )
 
 
-def expired_files(files: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def expired_files(files: DataFrame, cutoffs: DataFrame, *, scope: Sequence[str]) -> DataFrame:
     """Backup files of the cleaned type that are older than the cut-off of their database."""
     limits = cutoffs.where(F.col("cleanup_before").isNotNull()).select(
-        "database_id", "cleanup_before", F.left("backup_type", F.lit(1)).alias("type_letter")
+        *scope, "database_id", "cleanup_before", F.left("backup_type", F.lit(1)).alias("type_letter")
     )
     # History stores a full backup as D, a differential as I, a log as L.
     letter = F.when(F.col("type") == "D", "F").when(F.col("type") == "I", "D").otherwise("L")
     return (
         files.withColumn("type_letter", letter)
-        .join(limits, ["database_id", "type_letter"])
+        .join(limits, [*scope, "database_id", "type_letter"])
         .where(F.col("backup_start_date") < F.col("cleanup_before"))
         .drop("type_letter")
     )

@@ -94,7 +94,7 @@ def expand_schedule(
 ) -> DataFrame:
     """Run times of daily and weekly schedules between two dates, both included.
 
-    At most one row per minute and day comes out of a schedule, whatever its settings.
+    A schedule of another kind gives one row without a run time and with a ``problem``.  At most one row per minute and day comes out of a schedule, whatever its settings.
     """
     start_day, end_day = F.lit(str(first)).cast("date"), F.lit(str(last)).cast("date")
     s = schedules
@@ -128,8 +128,17 @@ def expand_schedule(
     times = F.when(F.col("freq_subday_type") == ONCE, F.array(begin)).when(
         begin <= end, F.sequence(begin, end, step)
     )
-    return (
-        s.withColumn("run_date", F.explode(days))
+    known = F.col("freq_type").isin(DAILY, WEEKLY)
+    problem = F.concat(F.lit("unsupported frequency "), F.coalesce(F.col("freq_type").cast("string"), F.lit("NULL")))
+    others = s.where(~holds(known)).select(
+        "*",
+        F.lit(None).cast("date").alias("run_date"),
+        F.lit(None).cast("int").alias("run_second"),
+        F.lit(None).cast("timestamp_ntz").alias("run_time"),
+        problem.alias("problem"),
+    )
+    runs = (
+        s.where(known).withColumn("run_date", F.explode(days))
         .where(holds(runs_today))
         .withColumn("run_second", F.explode(times))
         .withColumn(
@@ -137,15 +146,21 @@ def expand_schedule(
             F.col("run_date").cast("timestamp_ntz")
             + F.make_dt_interval(secs=F.col("run_second").cast("decimal(18,6)")),
         )
+        .withColumn("problem", F.lit(None).cast("string"))
     )
+    return runs.unionByName(others)
 
 
 # ---------------------------------------------------------------- queue
 
 
-def queue_state(queue: DataFrame, requests: DataFrame) -> DataFrame:
-    """DONE, RUNNING, PENDING, or DEAD when the claiming request no longer exists."""
+def queue_state(queue: DataFrame, requests: DataFrame, *, scope: Sequence[str]) -> DataFrame:
+    """DONE, RUNNING, PENDING, or DEAD when the claiming request no longer exists.
+
+    ``scope`` names the columns of the claiming server.
+    """
     alive = requests.select(
+        *scope,
         "session_id",
         "request_id",
         F.col("start_time").alias("request_start_time"),
@@ -158,7 +173,7 @@ def queue_state(queue: DataFrame, requests: DataFrame) -> DataFrame:
         .otherwise("DEAD")
     )
     return (
-        queue.join(alive, ["session_id", "request_id", "request_start_time"], "left")
+        queue.join(alive, [*scope, "session_id", "request_id", "request_start_time"], "left")
         .withColumn("queue_state", state)
         .drop("__alive")
     )

@@ -9,19 +9,6 @@ from pyspark.sql import functions as F
 
 from opslens.functions import all_of
 
-NULL_SPREAD = 4096
-
-
-def spread_nulls(key: Column, *row_id: Column | str) -> Column:
-    """A numeric join key whose NULLs become many negative values.
-
-    NULLs of a left join all hash to one task although they match nothing.
-    Keys of this library are not negative, so a negative stand-in, derived from
-    the row itself and thus stable on a retry, still matches nothing.
-    """
-    return F.coalesce(key.cast("long"), -1 - F.pmod(F.xxhash64(*row_id), F.lit(NULL_SPREAD)))
-
-
 def lookup(
     df: DataFrame,
     table: DataFrame,

@@ -85,8 +85,13 @@ def check_plan(
     tab_lock: bool = False,
     max_dop: int | None = None,
     lock_timeout: int | None = None,
+    scope: Sequence[str],
 ) -> DataFrame:
-    """Check commands for every eligible database and its selected filegroups and objects."""
+    """Check commands for every eligible database and its selected filegroups and objects.
+
+    ``scope`` names the server columns.
+    """
+    database = [*scope, "database_id"]
     commands = parse_list(check_commands, CHECK_COMMANDS)
     if "CHECKDB" in commands and len(commands) > 1:
         covered = {"CHECKFILEGROUP", "CHECKALLOC", "CHECKTABLE", "CHECKCATALOG"}
@@ -109,7 +114,7 @@ def check_plan(
 
     def branch(df: DataFrame, command: str, target: Column, text: Column) -> DataFrame:
         return df.select(
-            "database_id",
+            *database,
             "name",
             F.lit(f"DBCC_{command}").alias("command_type"),
             target.alias("target"),
@@ -121,7 +126,7 @@ def check_plan(
         if command == "CHECKFILEGROUP":
             if filegroups is None:
                 raise ValueError("CHECKFILEGROUP needs the filegroups table")
-            rows = databases.join(filegroups.select("database_id", "filegroup_name"), "database_id")
+            rows = databases.join(filegroups.select(*database, "filegroup_name"), database)
             target = F.col("filegroup_name")
             text = concat_nullsafe(
                 use, f"DBCC {command} (", quotename("filegroup_name"),
@@ -131,7 +136,7 @@ def check_plan(
             if objects is None:
                 raise ValueError("CHECKTABLE needs the objects table")
             rows = databases.join(
-                objects.select("database_id", "schema_name", "object_name"), "database_id"
+                objects.select(*database, "schema_name", "object_name"), database
             )
             target = F.concat(quotename("schema_name"), F.lit("."), quotename("object_name"))
             text = concat_nullsafe(

@@ -63,17 +63,20 @@ def wrong_domain(logins: DataFrame, allowed: Sequence[str]) -> DataFrame:
     )
 
 
-def users_without_connect(users: DataFrame, permissions: DataFrame) -> DataFrame:
-    """Users for which CONNECT is missing or not granted."""
+def users_without_connect(users: DataFrame, permissions: DataFrame, *, scope: Sequence[str]) -> DataFrame:
+    """Users for which CONNECT is missing or not granted.
+
+    Principals are numbered per database: ``scope`` names the columns of server and database.
+    """
     connect = permissions.where(F.col("type") == CONNECT).select(
-        F.col("grantee_principal_id").alias("principal_id"), F.col("state").alias("connect_state")
+        *scope, F.col("grantee_principal_id").alias("principal_id"), F.col("state").alias("connect_state")
     )
     granted = F.col("connect_state").isin(*GRANTED_STATES)
     return (
         users.where(
             F.col("type").isin(*CONNECTING_TYPES) & (F.col("principal_id") > LAST_SYSTEM_ID)
         )
-        .join(connect, "principal_id", "left")
+        .join(connect, [*scope, "principal_id"], "left")
         .where(F.col("connect_state").isNull() | ~granted)
         .withColumn("has_db_access", holds(granted))
         .withColumn("action", F.lit("GRANT_CONNECT"))
@@ -81,20 +84,26 @@ def users_without_connect(users: DataFrame, permissions: DataFrame) -> DataFrame
     )
 
 
-def owner_list(databases: DataFrame, logins: DataFrame) -> DataFrame:
-    owners = logins.select(F.col("sid").alias("owner_sid"), F.col("name").alias("owner_name"))
-    return databases.join(owners, "owner_sid", "left")
+def owner_list(databases: DataFrame, logins: DataFrame, *, scope: Sequence[str]) -> DataFrame:
+    """Databases with the login that owns them; ``scope`` names the server columns."""
+    owners = logins.select(*scope, F.col("sid").alias("owner_sid"), F.col("name").alias("owner_name"))
+    return databases.join(owners, [*scope, "owner_sid"], "left")
 
 
 def db_owner_drift(
-    databases: DataFrame, logins: DataFrame, system_sid: str, system_owner: str = "sa"
+    databases: DataFrame,
+    logins: DataFrame,
+    system_sid: str,
+    system_owner: str = "sa",
+    *,
+    scope: Sequence[str],
 ) -> DataFrame:
     """User databases owned by somebody other than the system owner."""
     drifted = databases.where(
         (F.col("database_id") > LAST_SYSTEM_ID) & (F.col("owner_sid") != system_sid)
     )
     return (
-        owner_list(drifted, logins)
+        owner_list(drifted, logins, scope=scope)
         .withColumn("action", F.lit("SET_DATABASE_OWNER"))
         .withColumn(
             "command_text",
@@ -106,13 +115,15 @@ def db_owner_drift(
     )
 
 
-def job_owner_drift(jobs: DataFrame, logins: DataFrame, system_owner: str = "sa") -> DataFrame:
+def job_owner_drift(
+    jobs: DataFrame, logins: DataFrame, system_owner: str = "sa", *, scope: Sequence[str]
+) -> DataFrame:
     """Jobs whose known owner is not the system owner."""
     owners = logins.where(F.col("name") != system_owner).select(
-        F.col("sid").alias("owner_sid"), F.col("name").alias("owner_name")
+        *scope, F.col("sid").alias("owner_sid"), F.col("name").alias("owner_name")
     )
     return (
-        jobs.join(owners, "owner_sid")
+        jobs.join(owners, [*scope, "owner_sid"])
         .withColumn("action", F.lit("SET_JOB_OWNER"))
         .withColumn(
             "command_text",
@@ -133,32 +144,43 @@ def role_gap(
     *,
     login_like: str = "%",
     create_users: bool = True,
+    scope: Sequence[str],
+    database: Sequence[str] = (),
 ) -> DataFrame:
     """Members of a server role whose database user is missing or lacks the database role.
 
     ``server_role_members`` and ``database_role_members`` hold the members of
     the two roles (``member_principal_id``).  With ``create_users`` off a
     missing user gets no add-member command either, because it would fail.
+
+    ``scope`` names the server columns of all four; ``database`` those that tell databases apart among
+    users and their roles.  With it the gap is judged in every database that has users.
     """
     members = (
         logins.where(F.col("type").isin(*MAPPABLE_TYPES) & like_ci("name", login_like))
         .join(
-            server_role_members.select(F.col("member_principal_id").alias("principal_id")).distinct(),
-            "principal_id",
+            server_role_members.select(*scope, F.col("member_principal_id").alias("principal_id")).distinct(),
+            [*scope, "principal_id"],
             "left_semi",
         )
-        .select("sid", F.col("name").alias("login_name"))
+        .select(*scope, "sid", F.col("name").alias("login_name"))
     )
+    inside = [*scope, *database]
+    if database:
+        if not scope:
+            raise ValueError("database columns need the server columns in scope")
+        # Every login meets every database of its server: that is the report.
+        members = members.join(users.select(*inside).distinct(), list(scope))
     with_role = (
         users.where(F.col("type").isin(*MAPPABLE_TYPES))
         .join(
             database_role_members.select(
-                F.col("member_principal_id").alias("principal_id"), F.lit(True).alias("has_role")
+                *inside, F.col("member_principal_id").alias("principal_id"), F.lit(True).alias("has_role")
             ).distinct(),
-            "principal_id",
+            [*inside, "principal_id"],
             "left",
         )
-        .select("sid", F.col("name").alias("user_name"), holds(F.col("has_role")).alias("has_role"))
+        .select(*inside, "sid", F.col("name").alias("user_name"), holds(F.col("has_role")).alias("has_role"))
     )
     missing = F.col("user_name").isNull()
     create = F.when(
@@ -173,9 +195,10 @@ def role_gap(
         ),
     )
     return (
-        members.join(with_role, "sid", "left")
+        members.join(with_role, [*inside, "sid"], "left")
         .where(~holds(F.col("has_role")))
         .select(
+            *inside,
             "login_name",
             "user_name",
             create.alias("create_user_command"),

@@ -167,17 +167,24 @@ def exclude_unreadable(
     database_replicas: DataFrame,
     replicas: DataFrame,
     groups: DataFrame,
-    server_name: str,
+    server_name: str | Column,
+    *,
+    scope: Sequence[str],
 ) -> DataFrame:
-    """Drop secondaries that accept no connection while another server is primary."""
+    """Drop secondaries that accept no connection while another server is primary.
+
+    ``scope`` names the server columns of all four tables; over several servers ``server_name`` is the
+    column of ``groups`` that holds the polled server's name.
+    """
+    scope = list(scope)
     closed = replicas.where(F.col("secondary_role_allow_connections") == 0)
     elsewhere = groups.where(F.col("primary_replica") != server_name)
     unreadable = (
-        database_replicas.join(closed.select("replica_id", "group_id"), "replica_id")
-        .join(elsewhere.select("group_id"), "group_id")
-        .select("database_id")
+        database_replicas.join(closed.select(*scope, "replica_id", "group_id"), [*scope, "replica_id"])
+        .join(elsewhere.select(*scope, "group_id"), [*scope, "group_id"])
+        .select(*scope, "database_id")
     )
-    return databases.join(unreadable, "database_id", "left_anti")
+    return databases.join(unreadable, [*scope, "database_id"], "left_anti")
 
 
 def command_for_each(
@@ -348,18 +355,21 @@ def outside_selection(chosen: DataFrame, selected: DataFrame, column: str = "nam
 
 
 def duplicate_names(
-    df: DataFrame, column: str, selected: Column | None = None
+    df: DataFrame, column: str, selected: Column | None = None, *, scope: Sequence[str]
 ) -> DataFrame:
-    """Rows whose name, ignoring case, is shared; only groups holding a selected row count."""
+    """Rows whose name, ignoring case, is shared within ``scope``; only groups holding a selected row count."""
     key = F.upper(F.col(column))
     chosen = F.lit(True) if selected is None else holds(selected)
     shared = (
         df.where((F.col(column) != "") & F.col(column).isNotNull())
-        .groupBy(key.alias("__name"))
+        .groupBy(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(scope)], key.alias("__name"))
         .agg(F.count(F.lit(1)).alias("same_name"), F.bool_or(chosen).alias("__any"))
         .where((F.col("same_name") > 1) & F.col("__any"))
     )
-    return df.join(shared.drop("__any"), key == F.col("__name")).drop("__name")
+    same = key == F.col("__name")
+    for i, c in enumerate(scope):
+        same = same & F.col(c).eqNullSafe(F.col(f"__s{i}"))
+    return df.join(shared.drop("__any"), same).drop("__name", *[f"__s{i}" for i in range(len(scope))])
 
 
 # ---------------------------------------------------------------- ordering

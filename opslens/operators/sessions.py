@@ -19,7 +19,7 @@ from opslens.functions import (
     time_of_day,
     ts,
 )
-from opslens.operators.joins import left_join_hot, lookup, spread_nulls
+from opslens.operators.joins import left_join_hot, lookup
 from opslens.operators.selection import (
     commands_like,
     contains_filters,
@@ -241,7 +241,8 @@ def who(
     if grants is not None:
         out = with_memory(out, grants, scope)
     if groups is not None:
-        out = out.join(groups.select("group_id", F.col("name").alias("resource_pool")), "group_id", "left")
+        pools = groups.select(*scope, "group_id", F.col("name").alias("resource_pool"))
+        out = out.join(pools, [*scope, "group_id"], "left")
 
     by_request = [*scope, "session_id", "request_id"]
     if child_tasks:
@@ -330,52 +331,54 @@ def resolve_wait_resource(
     objects: DataFrame,
     indexes: DataFrame,
     row_id: Sequence[str],
+    *,
+    scope: Sequence[str],
 ) -> DataFrame:
     """From a parsed wait resource to object, index and partition.
 
-    ``pages`` maps (database_id, file_id, page_id) to a partition; only a
-    collector can deliver it.  Forms nobody knows resolve to NULL.
+    ``partitions`` are keyed by ``scope``, database_id and hobt_id; ``pages`` (which only a collector can
+    deliver) by file_id and page_id instead; ``objects`` and ``indexes`` by object_id and index_id.  Names
+    are resolved among these tables, which become one map, so the waits are joined once.  A wait without a
+    key has a kind that the map lacks.  Forms nobody knows resolve to NULL.
     """
-    out = lookup(
-        waits,
-        partitions.select(
-            "hobt_id", F.struct("object_id", "index_id", "partition_id").alias("__by_key")
-        ),
-        [(spread_nulls(F.col("hobt_id"), *row_id), "hobt_id")],
-        ["__by_key"],
-    )
-    out = lookup(
-        out,
-        pages.select(
-            "database_id", "file_id", "page_id",
-            F.struct("object_id", "index_id", "partition_id").alias("__by_page"),
-        ),
-        [
-            (spread_nulls(F.col("page_id"), *row_id), "page_id"),
-            (F.col("file_id"), "file_id"),
-            (F.col("wait_database_id"), "database_id"),
-        ],
-        ["__by_page"],
-    )
-    found = F.coalesce(F.col("__by_key"), F.col("__by_page"))
-    out = (
-        out.withColumn("object_id", F.coalesce(F.col("wait_object_id"), found["object_id"]))
-        .withColumn("index_id", found["index_id"])
-        .withColumn("partition_id", found["partition_id"])
-        .drop("__by_key", "__by_page")
-    )
-    out = lookup(
-        out, objects, [(spread_nulls(F.col("object_id"), *row_id), "object_id")], ["object_name"]
+    database = [*scope, "database_id"]
+    columns = ["object_id", "index_id", "partition_id", "object_name", "index_name"]
+    none = F.lit(None).cast("long")
+
+    def entries(table: DataFrame, kind: str, key: str, file: Column) -> DataFrame:
+        return table.select(
+            *database, F.lit(kind).alias("__kind"), F.col(key).cast("long").alias("__key"),
+            file.cast("long").alias("__file"), *columns,
+        )
+
+    names = objects.select(*database, "object_id", "object_name")
+    indexes = indexes.select(*database, "object_id", "index_id", "index_name")
+
+    def named(table: DataFrame) -> DataFrame:
+        table = table.join(names, [*database, "object_id"], "left")
+        return table.join(indexes, [*database, "object_id", "index_id"], "left")
+
+    whole = names.select("*", none.alias("index_id"), none.alias("partition_id"), F.lit(None).cast("string").alias("index_name"))
+    known = (
+        entries(named(partitions), "hobt", "hobt_id", F.lit(0))
+        .unionByName(entries(named(pages), "page", "page_id", F.col("file_id")))
+        .unionByName(entries(whole, "object", "object_id", F.lit(0)))
     )
-    return lookup(
-        out,
-        indexes,
-        [
-            (spread_nulls(F.col("object_id"), *row_id), "object_id"),
-            (F.col("index_id"), "index_id"),
-        ],
-        ["index_name"],
+    kind = (
+        F.when(F.col("hobt_id").isNotNull(), "hobt")
+        .when(F.col("page_id").isNotNull(), "page")
+        .when(F.col("wait_object_id").isNotNull(), "object")
     )
+    # Waits without a key are spread over the tasks by their row.
+    key = F.coalesce("hobt_id", "page_id", "wait_object_id", F.xxhash64(*row_id))
+    pairs = [(F.col(c), c) for c in scope] + [
+        (F.col("wait_database_id"), "database_id"),
+        (F.coalesce(kind, F.lit("none")), "__kind"),
+        (key, "__key"),
+        (F.when(kind == "page", F.col("file_id")).otherwise(F.lit(0)), "__file"),
+    ]
+    out = lookup(waits, known, pairs, columns)
+    return out.withColumn("object_id", F.coalesce("wait_object_id", "object_id"))
 
 
 # ---------------------------------------------------------------- backup progress

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import (
@@ -37,8 +37,9 @@ def snapshot_plan(
     use_minutes: bool = False,
     overwrite_existing: bool = False,
     database_like: str = "%",
+    scope: Sequence[str],
 ) -> DataFrame:
-    """Snapshots to create, with action CREATE, DROP_CREATE or SKIP.
+    """Snapshots to create, with action CREATE, DROP_CREATE or SKIP; ``scope`` names the server columns.
 
     The file clauses of one database become one string.  A database holds at
     most 32,767 files, so that group is bounded by the server, not by the data.
@@ -50,7 +51,7 @@ def snapshot_plan(
         & (F.col("database_id") >= FIRST_USER_DATABASE_ID)
         & like_ci("name", database_like)
     ).select(
-        "database_id", "name", concat_nullsafe(F.col("name"), "_Snapshot_", suffix).alias("new_name")
+        *scope, "database_id", "name", concat_nullsafe(F.col("name"), "_Snapshot_", suffix).alias("new_name")
     )
 
     leaf = F.substring_index("physical_name", "\\", -1)
@@ -58,7 +59,7 @@ def snapshot_plan(
         F.col("physical_name"), F.lit(1), F.length("physical_name") - F.length(leaf)
     )
     data_files = files.where(F.col("type_desc") == "ROWS").select(
-        "database_id", "file_id", "file_name", directory.alias("directory")
+        *scope, "database_id", "file_id", "file_name", directory.alias("directory")
     )
     clause = F.concat(
         F.lit("(NAME = "),
@@ -70,8 +71,8 @@ def snapshot_plan(
         F.lit(")"),
     )
     plan = (
-        candidates.join(data_files, "database_id", "left")
-        .groupBy("database_id", "name", "new_name")
+        candidates.join(data_files, [*scope, "database_id"], "left")
+        .groupBy(*scope, "database_id", "name", "new_name")
         .agg(
             F.array_join(
                 F.transform(
@@ -90,7 +91,7 @@ def snapshot_plan(
         )
     )
 
-    taken = existing_names.select(F.col("name").alias("new_name"), F.lit(True).alias("exists"))
+    taken = existing_names.select(*scope, F.col("name").alias("new_name"), F.lit(True).alias("exists"))
     exists = holds(F.col("exists"))
     when_taken = "DROP_CREATE" if overwrite_existing else "SKIP"
     create = concat_nullsafe(
@@ -99,7 +100,7 @@ def snapshot_plan(
     )
     drop = concat_nullsafe("DROP DATABASE ", quotename("new_name"), "; ")
     return (
-        plan.join(taken.distinct(), "new_name", "left")
+        plan.join(taken.distinct(), [*scope, "new_name"], "left")
         .withColumn("action", F.when(exists, when_taken).otherwise("CREATE"))
         .withColumn(
             "command_text",
@@ -107,7 +108,7 @@ def snapshot_plan(
                 F.col("action") == "DROP_CREATE", F.concat(drop, create)
             ),
         )
-        .select("database_id", "name", "new_name", "action", "file_list", "command_text")
+        .select(*scope, "database_id", "name", "new_name", "action", "file_list", "command_text")
     )
 
 
@@ -125,7 +126,7 @@ def snapshot_sizes(files: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 def snapshot_retention(
     snapshots: DataFrame,
     files: DataFrame,
-    as_of: datetime | str,
+    as_of: datetime | str | Column,
     *,
     max_snapshots: int = MAX_SNAPSHOTS,
     max_age_hours: int = MAX_AGE_HOURS,
@@ -135,6 +136,8 @@ def snapshot_retention(
 ) -> DataFrame:
     """Decide for every snapshot whether it is dropped, and why.
 
+    ``as_of`` is a time, or the column of ``snapshots`` that holds each row's time.
+
     The rank is taken on the narrow snapshot rows before the file sums join in.
     """
     ranked = numbered(
@@ -143,7 +146,8 @@ def snapshot_retention(
         [F.col("create_date").desc(), F.col("database_id").desc()],
         "snapshot_order",
     )
-    age = F.floor(minutes_between(F.col("create_date"), ts(as_of)) / 60)
+    now = as_of if isinstance(as_of, Column) else ts(as_of)
+    age = F.floor(minutes_between(F.col("create_date"), now) / 60)
     used = F.round(
         F.col("size_on_disk_mb").cast("decimal(20,0)")
         * 100

@@ -33,11 +33,15 @@ def file_space(
 ) -> DataFrame:
     """Size, used and free MB of each file with the figures of its volume.
 
-    ``volumes`` (one row per file) is joined when the volume columns are not
-    already part of ``files``.
+    ``volumes`` lists every file of the server with its name and volume.  With it, ``files`` need only
+    hold the sizes; files whose database could not be read stay, with sizes of 0.
     """
     if volumes is not None:
-        files = files.join(volumes, [*scope, "database_id", "file_id"], "left")
+        key = [*scope, "database_id", "file_id"]
+        sizes = files.select(*key, "size_pages", "used_pages", *[c for c in ("group_name",) if c in files.columns])
+        listed = [c for c in volumes.columns if c not in sizes.columns or c in key]
+        files = volumes.select(*listed).join(sizes, key, "left")
+        files = files.fillna(0, ["size_pages", "used_pages"])
     drive = F.upper(F.left(F.col("volume_mount_point"), F.lit(1)))
     wanted = in_chars(drive, drive_letters) & name_in_list_or_like("database_name", databases)
     total, used = pages_to_mb("size_pages"), pages_to_mb("used_pages")
@@ -120,20 +124,23 @@ def space_report(
     report_type: int | None = 2,
     drive_letters: str | None = None,
     databases: str | None = None,
+    *,
+    scope: Sequence[str],
 ) -> DataFrame:
-    """Layered report.  Type 2 nests drive > database > file, type 3 database > drive > file.
+    """Layered report per ``scope`` (the server columns).  Type 2 nests drive > database > file, type 3 database > drive > file.
 
     An unknown type falls back to type 1, the flat file list.  The levels use
     different measures (drive totals of type 2 are maxima of the volume, the
     rest are sums), so they are three aggregates stacked, not one rollup.
     """
-    space = file_space(files, drive_letters, databases)
+    space = file_space(files, drive_letters, databases, scope=scope)
     if report_type not in (2, 3):
         return resize_advice(space)
     by_drive = report_type == 2
     blank = F.lit("")
 
     detail = resize_advice(space).select(
+        *scope,
         F.lit(1).alias("detail_type"),
         concat_nullsafe("        --> ", F.col("file_name")).alias("label"),
         "drive_letter", "database_name", *_MEASURES,
@@ -153,9 +160,10 @@ def space_report(
 
     database_keys = ["database_name", "drive_letter"] if by_drive else ["database_name"]
     per_database = (
-        base.groupBy(*database_keys)
+        base.groupBy(*scope, *database_keys)
         .agg(*_sums(), F.sum("total_or_one").alias("whole"))
         .select(
+            *scope,
             F.lit(2).alias("detail_type"),
             concat_nullsafe("   --> " if by_drive else "", F.col("database_name")).alias("label"),
             F.col("drive_letter") if by_drive else blank.alias("drive_letter"),
@@ -179,9 +187,10 @@ def space_report(
         F.length("logical_volume_name") > 0, concat_nullsafe("(", F.col("logical_volume_name"), ")")
     )
     per_drive = (
-        base.groupBy(*drive_keys)
+        base.groupBy(*scope, *drive_keys)
         .agg(*measures)
         .select(
+            *scope,
             F.lit(3).alias("detail_type"),
             concat_nullsafe("" if by_drive else "   --> ", F.col("drive_letter"), ": ", volume).alias("label"),
             "drive_letter",

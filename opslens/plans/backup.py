@@ -33,7 +33,7 @@ _TYPED = f"""{_BASES}, step1 AS (SELECT *, CASE WHEN recovery_model_desc IN ('FU
 
 def _typed(t: Inputs, databases: DataFrame | None = None) -> DataFrame:
     databases = t.database if databases is None else databases
-    return decide_backup_type(databases, "LOG", t.backup, modification_level=50)
+    return decide_backup_type(databases, "LOG", t.backup, modification_level=50, scope=())
 
 
 @query(
@@ -75,6 +75,7 @@ def q_backup_eligible(t: Inputs) -> DataFrame:
         None,
         databases.where(F.col("log_shipping_role") == "PRIMARY"),
         databases.where(F.col("log_shipping_role") == "SECONDARY"),
+        scope=(),
     )
     judged = backup_eligible(
         _typed(t, with_role),
@@ -96,7 +97,7 @@ _LATEST = """SELECT b.database_id, max(b.backup_start_date) AS latest_backup FRO
 
 @query("q_latest_backup", _LATEST)
 def q_latest_backup(t: Inputs) -> DataFrame:
-    return latest_backup(t.backup, t.database)
+    return latest_backup(t.backup, t.database, scope=())
 
 
 _CUTOFF = f"""{_TYPED}, latest AS ({_LATEST}),
@@ -115,7 +116,7 @@ def _cutoffs(t: Inputs) -> DataFrame:
     status = verify_status(t.backup).withColumn("verify_ok", F.col("failed_sets") <= 1)
     databases = (
         _typed(t)
-        .join(latest_backup(t.backup, t.database), "database_id", "left")
+        .join(latest_backup(t.backup, t.database, scope=()), "database_id", "left")
         .join(status.select("database_id", "verify_ok"), "database_id", "left")
         .withColumn("backup_output", F.lit(0))
     )
@@ -136,7 +137,7 @@ def q_cleanup_cutoff(t: Inputs) -> DataFrame:
     WHERE b.type = 'L' AND b.backup_start_date < c.cleanup_before""",
 )
 def q_expired_files(t: Inputs) -> DataFrame:
-    return expired_files(t.backup, _cutoffs(t)).select(
+    return expired_files(t.backup, _cutoffs(t), scope=()).select(
         "database_id", "database_backup_lsn", "backup_start_date", "cleanup_before"
     )
 
@@ -274,9 +275,9 @@ def q_check_plan(t: Inputs) -> DataFrame:
     )
     objects = t.index_cur.select("database_id", "schema_name", "object_name").distinct()
     plans = [
-        check_plan(databases, "CHECKDB", physical_only=True, max_dop=2, lock_timeout=5),
-        check_plan(databases, "CHECKFILEGROUP,CHECKCATALOG", filegroups=filegroups, no_index=True),
-        check_plan(databases, "CHECKALLOC,CHECKTABLE", objects=objects, tab_lock=True),
+        check_plan(databases, "CHECKDB", physical_only=True, max_dop=2, lock_timeout=5, scope=()),
+        check_plan(databases, "CHECKFILEGROUP,CHECKCATALOG", filegroups=filegroups, no_index=True, scope=()),
+        check_plan(databases, "CHECKALLOC,CHECKTABLE", objects=objects, tab_lock=True, scope=()),
     ]
     return plans[0].unionByName(plans[1]).unionByName(plans[2])
 

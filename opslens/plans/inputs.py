@@ -103,11 +103,18 @@ FROM {orders}
 """
 
 VIEWS["v_partition"] = """
-SELECT p_partkey AS hobt_id, CAST(FLOOR(p_partkey / 20) AS BIGINT) AS object_id, p_size % 3 AS index_id,
-  p_partkey * 10 AS partition_id
+SELECT CASE p_partkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 6 ELSE 30 END AS database_id,
+  CAST(FLOOR(p_partkey / 3) AS BIGINT) AS hobt_id, CAST(FLOOR(p_partkey / 60) AS BIGINT) AS object_id,
+  p_size % 3 AS index_id, p_partkey * 10 AS partition_id
 FROM {part}
 """
 
+VIEWS["v_wait_name"] = """
+SELECT CASE s_suppkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 6 ELSE 30 END AS database_id,
+  CAST(FLOOR(s_suppkey / 3) AS BIGINT) AS object_id, s_name AS object_name
+FROM {supplier}
+"""
+
 VIEWS["v_file"] = """
 SELECT database_id, file_id, concat('DB', database_id) AS database_name, p_name AS file_name,
   CASE WHEN file_id % 4 = 0 THEN 'LOG' ELSE 'ROWS' END AS type_desc,
@@ -328,7 +335,7 @@ SELECT s_suppkey AS server_id, s_name AS server_name,
 FROM {supplier}
 """
 
-VIEWS["v_job"] = """
+VIEWS["v_job_offer"] = """
 SELECT concat('job-', n_name) AS job_name, CASE WHEN n_nationkey % 8 = 0 THEN 'CmdExec' ELSE 'TSQL' END AS subsystem,
   CASE n_regionkey WHEN 0 THEN 'Linux' WHEN 1 THEN 'Managed' WHEN 2 THEN 'RDS' ELSE 'Windows' END AS platform
 FROM {nation}

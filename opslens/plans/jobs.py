@@ -63,10 +63,10 @@ def q_cmdlog_cleanup(t: Inputs) -> DataFrame:
 
 @query(
     "q_job_catalog",
-    "SELECT server_id, platform, job_name, subsystem FROM v_server JOIN v_job USING (platform)",
+    "SELECT server_id, platform, job_name, subsystem FROM v_server JOIN v_job_offer USING (platform)",
 )
 def q_job_catalog(t: Inputs) -> DataFrame:
-    return job_catalog(t.server, t.job).select("server_id", "platform", "job_name", "subsystem")
+    return job_catalog(t.server, t.job_offer).select("server_id", "platform", "job_name", "subsystem")
 
 
 @query(
@@ -91,7 +91,7 @@ def q_schedule_runs(t: Inputs) -> DataFrame:
       AND r.start_time = q.request_start_time""",
 )
 def q_queue_state(t: Inputs) -> DataFrame:
-    return queue_state(t.queue, t.request).select("database_name", "database_order", "queue_state")
+    return queue_state(t.queue, t.request, scope=()).select("database_name", "database_order", "queue_state")
 
 
 @query(

@@ -78,7 +78,7 @@ def q_wrong_domain(t: Inputs) -> DataFrame:
       AND (p.state NOT IN ('G', 'W') OR p.state IS NULL)""",
 )
 def q_no_connect(t: Inputs) -> DataFrame:
-    return users_without_connect(t.dbuser, t.permission).select(
+    return users_without_connect(t.dbuser, t.permission, scope=()).select(
         "principal_id", "name", "type", "connect_state", "has_db_access", "command_text"
     )
 
@@ -91,7 +91,7 @@ def q_no_connect(t: Inputs) -> DataFrame:
     WHERE d.database_id > 4 AND d.owner_sid <> '{SYSTEM_SID}'""",
 )
 def q_db_owner(t: Inputs) -> DataFrame:
-    return db_owner_drift(t.database, t.login, SYSTEM_SID).select(
+    return db_owner_drift(t.database, t.login, SYSTEM_SID, scope=()).select(
         "database_id", "name", "owner_name", "command_text"
     )
 
@@ -103,7 +103,7 @@ def q_db_owner(t: Inputs) -> DataFrame:
     FROM v_job j JOIN v_login l ON l.sid = j.owner_sid WHERE l.name <> '{SYSTEM_OWNER}'""",
 )
 def q_job_owner(t: Inputs) -> DataFrame:
-    return job_owner_drift(t.job, t.login, SYSTEM_OWNER).select(
+    return job_owner_drift(t.job, t.login, SYSTEM_OWNER, scope=()).select(
         "name", "job_id", "owner_name", "command_text"
     )
 
@@ -126,6 +126,7 @@ def q_role_gap(t: Inputs) -> DataFrame:
         users.where("in_db_role").select(F.col("principal_id").alias("member_principal_id")),
         "db_monitor",
         login_like="%customer%",
+        scope=(),
     )
 
 

@@ -156,7 +156,7 @@ def q_db_replica_anti(t: Inputs) -> DataFrame:
         F.col("r_regionkey").alias("group_id"),
         F.when(F.col("r_regionkey") == 1, "SRV_B").otherwise("SRV_A").alias("primary_replica"),
     )
-    return exclude_unreadable(databases, states, replicas, groups, "SRV_A").select(
+    return exclude_unreadable(databases, states, replicas, groups, "SRV_A", scope=()).select(
         "database_id", "name"
     )
 
@@ -206,4 +206,4 @@ def q_db_order(t: Inputs) -> DataFrame:
 )
 def q_dup_names(t: Inputs) -> DataFrame:
     files = t.file.withColumn("fs_name", safe_name("file_name"))
-    return duplicate_names(files, "fs_name").select("file_id", "file_name", "same_name")
+    return duplicate_names(files, "fs_name", scope=()).select("file_id", "file_name", "same_name")

@@ -204,30 +204,25 @@ def q_wait_resource(t: Inputs) -> DataFrame:
 @query(
     "q_wait_object",
     f"""SELECT w.request_id, CAST(w.exec_context_id AS BIGINT) AS exec_context_id, w.kind AS resource_kind,
-      w.wait_database_id, coalesce(w.wait_object_id, p.object_id) AS object_id, s.s_name AS object_name,
+      w.wait_database_id, coalesce(w.wait_object_id, p.object_id) AS object_id, n.object_name,
       CAST(p.index_id AS BIGINT) AS index_id,
-      CASE WHEN p.index_id IS NOT NULL THEN concat('IX_', p.object_id, '_', p.index_id) END AS index_name,
+      CASE WHEN p.index_id IS NOT NULL THEN concat('IX_', p.database_id, '_', p.object_id, '_', p.index_id) END AS index_name,
       p.partition_id
-    FROM ({_PARSED}) w LEFT JOIN v_partition p ON p.hobt_id = coalesce(w.hobt_id, w.page_id)
-    LEFT JOIN supplier s ON s.s_suppkey = coalesce(w.wait_object_id, p.object_id)""",
+    FROM ({_PARSED}) w LEFT JOIN v_partition p
+      ON p.hobt_id = coalesce(w.hobt_id, w.page_id) AND p.database_id = w.wait_database_id
+    LEFT JOIN v_wait_name n ON n.object_id = coalesce(w.wait_object_id, p.object_id) AND n.database_id = w.wait_database_id""",
 )
 def q_wait_object(t: Inputs) -> DataFrame:
     partitions = t.partition
-    pages = partitions.select(
-        F.lit(30).cast("long").alias("database_id"), F.lit(1).cast("long").alias("file_id"),
-        F.col("hobt_id").alias("page_id"), "object_id", "index_id", "partition_id",
-    )
-    objects = t.table("supplier").select(
-        F.col("s_suppkey").alias("object_id"), F.col("s_name").alias("object_name")
-    )
+    pages = partitions.withColumn("page_id", F.col("hobt_id")).withColumn("file_id", F.lit(1))
     indexes = (
-        partitions.select("object_id", "index_id")
+        partitions.select("database_id", "object_id", "index_id")
         .distinct()
-        .withColumn("index_name", F.concat(F.lit("IX_"), "object_id", F.lit("_"), "index_id"))
+        .withColumn("index_name", F.concat_ws("_", F.lit("IX"), "database_id", "object_id", "index_id"))
     )
     resolved = resolve_wait_resource(
-        with_wait_resource(t.wait), partitions, pages, objects, indexes,
-        ["request_id", "exec_context_id"],
+        with_wait_resource(t.wait), partitions, pages, t.wait_name, indexes,
+        ["request_id", "exec_context_id"], scope=(),
     )
     return resolved.select(
         "request_id", "exec_context_id", "resource_kind", "wait_database_id", "object_id",

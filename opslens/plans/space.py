@@ -125,7 +125,7 @@ def q_space_rollup(t: Inputs) -> DataFrame:
     files = t.file
     both = None
     for kind in (2, 3):
-        report = space_report(files, kind).withColumn("report_type", F.lit(kind))
+        report = space_report(files, kind, scope=()).withColumn("report_type", F.lit(kind))
         both = report if both is None else both.unionByName(report)
     return both.drop("physical_name", "used_perc_text")
 
@@ -224,7 +224,7 @@ def q_snapshot_plan(t: Inputs) -> DataFrame:
     existing = databases.where("is_read_only").select(
         F.concat("name", F.lit("_Snapshot_20010801")).alias("name")
     )
-    return snapshot_plan(databases, t.file, existing, AS_OF, database_like="NATION_1%")
+    return snapshot_plan(databases, t.file, existing, AS_OF, database_like="NATION_1%", scope=())
 
 
 RETENTION_LIMITS = {

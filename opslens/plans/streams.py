@@ -100,7 +100,8 @@ def q_stream_retention(t: Inputs) -> DataFrame:
         F.col("o_orderkey").alias("database_id"),
         F.col("o_orderdate").alias("create_date"),
     )
-    decisions = retention_on_trigger(
-        snapshots, lambda: t.snapfile, AS_OF, **RETENTION_LIMITS
-    )
+    # Every snapshot is polled twice; only the newest poll counts.
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    polls = snapshots.select("*", F.explode(F.array(at - F.expr("INTERVAL 1 DAY"), at)).alias("snapshot_ts"))
+    decisions = retention_on_trigger(polls, lambda: t.snapfile, **RETENTION_LIMITS)
     return decisions.withColumn("reasons", F.array_join("reasons", ",")).select(*RETENTION_COLUMNS)

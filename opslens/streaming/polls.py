@@ -162,27 +162,38 @@ def run_to_table(
 def retention_on_trigger(
     snapshots: DataFrame,
     files: Callable[[], DataFrame],
-    as_of: datetime | str,
     label: str = "retention",
     path: str | None = None,
+    *,
+    scope: Sequence[str] = (),
     **limits,
 ) -> DataFrame:
-    """Decide retention on every trigger over all snapshots seen so far.
+    """Decide retention on every trigger over the newest poll of each server.
 
-    Each batch is written under its own id, so a repeated batch replaces
-    itself.  Returns the decisions of the last trigger.
+    ``snapshots`` are polls: rows with ``snapshot_ts`` and the server columns ``scope``.  Only the rows of
+    a server's newest poll count, one per snapshot, and that poll's time is the clock.  What a trigger
+    leaves is written once under its batch id, so a repeated batch replaces itself, and the
+    next trigger reads that version only: its work follows the current set, not the history.
+    Returns the decisions of the last trigger; none before the first poll.
     """
     spark = snapshots.sparkSession
     path = path or fresh_path(spark, label)
-    seen, decided = f"{path}/seen", f"{path}/decided"
     schema = snapshots.schema
+    state, decided = f"{path}/state", f"{path}/decided"
+    done: list[int] = _versions(spark, state)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{seen}/batch_id={batch_id}")
-        reader = batch.sparkSession.read.schema(schema)
-        current = reader.parquet(seen).drop("batch_id")
-        decisions = snapshot_retention(current, files(), as_of, **limits)
-        decisions.write.mode("overwrite").parquet(f"{decided}/batch_id={batch_id}")
+        session = batch.sparkSession
+        earlier = [v for v in done if v < batch_id]
+        polls = batch
+        if earlier:
+            kept = session.read.schema(schema).parquet(f"{state}/version={earlier[-1]}")
+            polls = kept.unionByName(batch)
+        newest_poll(polls, scope).write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        current = session.read.schema(schema).parquet(f"{state}/version={batch_id}")
+        decisions = snapshot_retention(current, files(), F.col("snapshot_ts"), scope=scope, **limits)
+        decisions.write.mode("overwrite").parquet(f"{decided}/version={batch_id}")
+        done[:] = [*earlier, batch_id]
 
     query = (
         snapshots.writeStream.foreachBatch(on_batch)
@@ -191,6 +202,25 @@ def retention_on_trigger(
         .start()
     )
     query.awaitTermination()
-    results = spark.read.parquet(decided)
-    last = results.agg(F.max("batch_id").alias("batch_id"))
-    return results.join(F.broadcast(last), "batch_id", "left_semi").drop("batch_id")
+    if done:
+        return spark.read.parquet(f"{decided}/version={done[-1]}")
+    nothing = spark.createDataFrame([], schema)
+    return snapshot_retention(nothing, files(), F.col("snapshot_ts"), scope=scope, **limits)
+
+
+def newest_poll(polls: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Rows of each server's newest poll; a snapshot that the poll repeats counts once."""
+    keys = list(scope)
+    last = polls.groupBy(*keys).agg(F.max("snapshot_ts").alias("snapshot_ts"))
+    newest = polls.join(last, [*keys, "snapshot_ts"], "left_semi")
+    return newest.dropDuplicates([*keys, "source_database_id", "database_id"])
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions below a folder, oldest first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(place)]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))

@@ -121,15 +121,15 @@ def test_type_moves_up(spark):
         [(6, "D", 70, True), (6, "D", 70, False), (3, "D", 51, True)],
         "database_id long, type string, checkpoint_lsn long, is_snapshot boolean",
     )
-    out = b.decide_backup_type(databases, "LOG", backups, modification_level=50)
+    out = b.decide_backup_type(databases, "LOG", backups, modification_level=50, scope=())
     assert {r["name"]: r["backup_type"] for r in out.collect()} == {
         "ok": "LOG", "simple": "LOG", "nolog": "DIFF", "nobase": "FULL", "changed": "FULL",
         "snap": "FULL", "empty": "DIFF", "master": "LOG",
     }
-    same = b.decide_backup_type(databases, "DIFF", change_backup_type=False)
+    same = b.decide_backup_type(databases, "DIFF", change_backup_type=False, scope=())
     assert {r["backup_type"] for r in same.collect()} == {"DIFF"}
     with pytest.raises(ValueError, match="type"):
-        b.decide_backup_type(databases, "WEEKLY")
+        b.decide_backup_type(databases, "WEEKLY", scope=())
 
 
 def test_unknown_rule_does_not_pass(spark):

@@ -122,8 +122,8 @@ def test_check_commands_do_not_overlap(spark):
     databases = spark.createDataFrame([(1, "D")], "database_id long, name string")
     for bad in ("CHECKDB,CHECKTABLE", "CHECKALL", "CHECKDB,CHECKDB", "CHECKFILEGROUP,CHECKALLOC"):
         with pytest.raises(ValueError, match="supported|covers"):
-            m.check_plan(databases, bad)
-    row = m.check_plan(databases, no_index=True, tab_lock=True).first()
+            m.check_plan(databases, bad, scope=())
+    row = m.check_plan(databases, no_index=True, tab_lock=True, scope=()).first()
     assert row["command_text"] == (
         "DBCC CHECKDB ([D], NOINDEX) WITH NO_INFOMSGS, ALL_ERRORMSGS, DATA_PURITY, TABLOCK"
     )

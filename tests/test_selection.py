@@ -124,7 +124,7 @@ def test_duplicate_names_need_a_selected_member(spark, rows):
         [("A", True), ("a", False), ("b", False), ("B", False), ("", True), ("", True)],
         "name string, chosen boolean",
     )
-    assert rows(sel.duplicate_names(df, "name", F.col("chosen")), "name") == [("A",), ("a",)]
+    assert rows(sel.duplicate_names(df, "name", F.col("chosen"), scope=()), "name") == [("A",), ("a",)]
 
 
 def test_order_modes(databases):

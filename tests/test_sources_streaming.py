@@ -167,7 +167,39 @@ def test_retention_sees_all_earlier_triggers(spark, sf_dir, tmp_path, rows):
         t.snapshot.where(F.col("database_id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
     from opslens.operators.snapshots import snapshot_retention
 
-    decided = retention_on_trigger(stream(spark, path), lambda: t.snapfile, AS_OF, max_snapshots=2)
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    polls = stream(spark, path).withColumn("snapshot_ts", F.explode(F.array(at, at)))
+    decided = retention_on_trigger(polls, lambda: t.snapfile, max_snapshots=2)
     expected = snapshot_retention(t.snapshot, t.snapfile, AS_OF, max_snapshots=2)
     columns = ["database_id", "snapshot_order", "reasons"]
     assert rows(decided, *columns) == rows(expected, *columns)
+
+
+def test_retention_sees_only_the_newest_poll_of_each_server(spark, tmp_path, rows):
+    """Two servers, three polls: snapshots gone since, repeated ones, and a server polled less often."""
+    schema = "server_id string, source_database_id long, database_id long, create_date timestamp_ntz, snapshot_ts timestamp_ntz"
+    old, new = datetime(2024, 1, 1, 10), datetime(2024, 1, 1, 11)
+    made = [datetime(2024, 1, 1, h) for h in range(10)]
+    polls = [
+        [("a", 1, 10, made[0], old), ("a", 1, 11, made[1], old), ("b", 1, 10, made[2], old)],
+        [("a", 1, 11, made[1], new), ("a", 1, 12, made[3], new)],
+    ]
+    path = str(tmp_path / "polls")
+    for poll in polls:
+        spark.createDataFrame(poll, schema).coalesce(1).write.mode("append").parquet(path)
+    files = spark.createDataFrame(
+        [], "server_id string, database_id long, file_id int, size_pages long, size_on_disk_bytes long"
+    )
+    stream = read_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
+    decided = retention_on_trigger(stream, lambda: files, scope=["server_id"], max_snapshots=1, max_age_hours=100)
+    found = rows(decided, "server_id", "database_id", "snapshot_order", "action")
+    assert found == [("a", 11, 2, "DROP"), ("a", 12, 1, "KEEP"), ("b", 10, 1, "KEEP")]
+
+
+def test_retention_of_an_empty_source(spark, tmp_path):
+    path = str(tmp_path / "none")
+    schema = "source_database_id long, database_id long, create_date timestamp_ntz, snapshot_ts timestamp_ntz"
+    spark.createDataFrame([], schema).write.parquet(path)
+    files = spark.createDataFrame([], "database_id long, file_id int, size_pages long, size_on_disk_bytes long")
+    stream = read_stream(spark, path, spark.read.parquet(path).schema)
+    assert retention_on_trigger(stream, lambda: files).count() == 0

@@ -74,13 +74,13 @@ def test_snapshot_plan_actions(spark):
     )
     existing = spark.createDataFrame([("B_Snapshot_2024010213",)], "name string")
     at = "2024-01-02 13:45:00"
-    plan = {r["name"]: r for r in snapshot_plan(databases, files, existing, at, use_hours=True).collect()}
+    plan = {r["name"]: r for r in snapshot_plan(databases, files, existing, at, use_hours=True, scope=()).collect()}
     assert {n: r["action"] for n, r in plan.items()} == {"A": "CREATE", "B": "SKIP"}
     assert plan["A"]["file_list"] == (
         "(NAME = N'f1', FILENAME = N'C:\\x\\A_Snapshot_2024010213_f1.ss'),"
         "(NAME = N'f2', FILENAME = N'C:\\x\\A_Snapshot_2024010213_f2.ss')"
     )
-    again = snapshot_plan(databases, files, existing, at, use_hours=True, overwrite_existing=True)
+    again = snapshot_plan(databases, files, existing, at, use_hours=True, overwrite_existing=True, scope=())
     text = again.where("name = 'B'").first()["command_text"]
     assert text.startswith("DROP DATABASE [B_Snapshot_2024010213]; CREATE DATABASE")
 
@@ -96,9 +96,9 @@ def test_rowgroup_table_filter_and_newest_partition(spark, sf_dir):
 
 def test_unknown_report_type_is_the_flat_list(spark, sf_dir):
     files = Inputs(spark, sf_dir).file
-    assert space.space_report(files, 9).count() == files.count()
-    assert space.space_report(files, None, drive_letters="c").count() == files.where("volume_mount_point = 'c'").count()
-    ordered = space.space_report(files, 3).orderBy(*space.report_order(3)).first()
+    assert space.space_report(files, 9, scope=()).count() == files.count()
+    assert space.space_report(files, None, drive_letters="c", scope=()).count() == files.where("volume_mount_point = 'c'").count()
+    ordered = space.space_report(files, 3, scope=()).orderBy(*space.report_order(3)).first()
     assert ordered["drive_letter"] in ("", "C")
 
 
@@ -161,9 +161,9 @@ def test_role_gap_without_creating_users(spark):
     )
     members = spark.createDataFrame([(1,), (2,), (3,), (4,)], "member_principal_id long")
     holders = spark.createDataFrame([(11,)], "member_principal_id long")
-    gap = principals.role_gap(logins, members, users, holders, "r", create_users=False)
+    gap = principals.role_gap(logins, members, users, holders, "r", create_users=False, scope=())
     assert {(r["login_name"], r["create_user_command"], r["add_member_command"]) for r in gap.collect()} == {
         ("a", None, None), ("b", None, "ALTER ROLE [r] ADD MEMBER [b]"),
     }
-    filled = principals.role_gap(logins, members, users, holders, "r").where("login_name = 'a'").first()
+    filled = principals.role_gap(logins, members, users, holders, "r", scope=()).where("login_name = 'a'").first()
     assert filled["create_user_command"] == "CREATE USER [a] FOR LOGIN [a]"
