@@ -134,6 +134,16 @@ def task_count(tasks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return tasks.groupBy(*keys).agg(F.count(F.lit(1)).alias("task_count"))
 
 
+# Columns that a task adds to a request.
+TASK_COLUMNS = {
+    "exec_context_id": "int",
+    "task_state": "string",
+    "task_wait_type": "string",
+    "task_wait_resource": "string",
+    "task_blocking_session_id": "long",
+}
+
+
 def with_child_tasks(
     requests: DataFrame,
     tasks: DataFrame,
@@ -197,7 +207,8 @@ def who(
 ) -> DataFrame:
     """One row per request, or per task of a request with ``child_tasks``.
 
-    Filters on request and session columns are applied before the wide joins.
+    Filters on request and session columns are applied before the wide joins.  The login is the original
+    one where the sessions have it.  Without ``child_tasks`` the columns of a task are NULL.
     """
     scope = list(scope)
     by_session = [*scope, "session_id"]
@@ -209,6 +220,8 @@ def who(
     requests = eq_filters(requests, {"session_id": session_id})
 
     s = sessions if jobs is None else resolve_agent_job(sessions, jobs)
+    if "original_login_name" in s.columns:
+        s = s.withColumn("login_name", F.coalesce("original_login_name", "login_name"))
     s = s if "job_name" in s.columns else s.withColumn("job_name", F.lit(None).cast("string"))
     s = s.withColumn("executer", executer())
     session_filters = {"login_name": login, "host_name": host, "executer": executer_name}
@@ -249,7 +262,9 @@ def who(
         if tasks is None:
             raise ValueError("child_tasks needs the tasks table")
         out = with_child_tasks(out, tasks, waits, by_request, [*by_session, "exec_context_id"])
-    elif tasks is not None:
+    if not child_tasks:
+        out = out.withColumns({c: F.lit(None).cast(t) for c, t in TASK_COLUMNS.items() if c not in out.columns})
+    if tasks is not None and not child_tasks:
         out = out.join(task_count(tasks, by_request), by_request, "left").withColumn(
             "task_count", F.coalesce("task_count", F.lit(0))
         )

@@ -1,4 +1,4 @@
-from opslens.sources.schemas import SCHEMAS  # noqa: F401
+from opslens.sources.schemas import FLEET_KEYS, SCHEMAS  # noqa: F401
 from opslens.sources.sinks import log_finish, log_start, sink_append  # noqa: F401
 from opslens.sources.snapshots import for_each_partition_of, read_snapshot, scan_all  # noqa: F401
 from opslens.sources.workdir import reliable_checkpoint, work_dir  # noqa: F401
