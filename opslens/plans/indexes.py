@@ -24,6 +24,7 @@ from opslens.operators.maintenance import (
 )
 from opslens.operators.selection import select_by_spec
 from opslens.operators.state import (
+    apply_changes,
     compression_worklist,
     cumulative,
     index_inventory,
@@ -56,6 +57,15 @@ def q_merge_state(t: Inputs) -> DataFrame:
     return merge_state(t.index_prev, t.index_now, KEYS, MEASURES)
 
 
+@query(
+    "q_merge_apply",
+    """SELECT database_id, object_id, CAST(partition_number AS BIGINT) AS partition_number, row_cnt, page_count,
+      data_compression FROM v_index_now""",
+)
+def q_merge_apply(t: Inputs) -> DataFrame:
+    return apply_changes(merge_state(t.index_prev, t.index_now, KEYS, MEASURES), KEYS, MEASURES)
+
+
 @query(
     "q_index_inventory",
     """WITH whole AS (SELECT database_id, object_id, count(*) AS partition_count, CAST(sum(page_count) AS BIGINT) AS index_page_count

@@ -102,6 +102,17 @@ SELECT o_orderkey AS request_id, o_custkey + CASE WHEN o_orderstatus = 'O' THEN
 FROM {orders}
 """
 
+VIEWS["v_group"] = """
+SELECT n_nationkey % 3 AS server_id, CAST(FLOOR(n_nationkey / 3) AS BIGINT) AS group_id, n_name AS name FROM {nation}
+"""
+
+VIEWS["v_poll"] = """
+SELECT concat('S', user_id % 7) AS server_id, CAST(date_trunc('hour', ts) AS {ts}) AS snapshot_ts, CAST(ts AS DATE) AS snapshot_date,
+  concat('DB', user_id) AS database_name, CAST(event_id AS DOUBLE) AS log_size_mb, value AS log_used_percent,
+  CAST(event_id % 3 AS INT) AS status
+FROM {events}
+"""
+
 VIEWS["v_partition"] = """
 SELECT CASE p_partkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 6 ELSE 30 END AS database_id,
   CAST(FLOOR(p_partkey / 3) AS BIGINT) AS hobt_id, CAST(FLOOR(p_partkey / 60) AS BIGINT) AS object_id,

@@ -18,6 +18,9 @@ from opslens.operators.jobs import (
 from opslens.operators.selection import order_databases, select_by_spec
 from opslens.plans.inputs import EVENTS_AS_OF, Inputs
 from opslens.plans.registry import query
+from opslens.sources import log_finish, log_start, read_snapshot, sink_append
+from opslens.sources.sinks import pair_log
+from opslens.sources.workdir import fresh_path
 
 
 @query(
@@ -109,3 +112,31 @@ def q_queue_sync(t: Inputs) -> DataFrame:
     )
     chosen = select_by_spec(databases, "USER_DATABASES", type_column="database_type").where("selected")
     return queue_sync(queue, order_databases(chosen, "DATABASE_NAME_ASC"))
+
+
+@query(
+    "q_cmdlog_roundtrip",
+    """SELECT id, database_name, command_type, concat(command_type, ' ', database_name) AS command_text, start_time, end_time,
+      CAST(CASE WHEN end_time IS NOT NULL THEN error_number END AS BIGINT) AS error_number FROM v_command_log""",
+)
+def q_cmdlog_roundtrip(t: Inputs) -> DataFrame:
+    """Start and finish events appended to a log, read back and paired."""
+    log, path = t.command_log, fresh_path(t.spark, "command-log")
+    text = F.concat_ws(" ", "command_type", "database_name")
+    log_start(log.withColumn("command_text", text), path, F.col("start_time"))
+    finished = log.where(F.col("end_time").isNotNull()).withColumn("error_message", F.lit(None).cast("string"))
+    log_finish(finished, path, F.col("end_time"))
+    return pair_log(t.spark.read.parquet(path)).drop("error_message")
+
+
+@query(
+    "q_snapshot_scan",
+    f"""SELECT server_id, snapshot_ts, database_name, log_size_mb, log_used_percent, CAST(status AS BIGINT) AS status
+    FROM v_poll p WHERE snapshot_ts = (SELECT max(q.snapshot_ts) FROM v_poll q
+      WHERE q.server_id = p.server_id AND q.snapshot_ts <= TIMESTAMP '{EVENTS_AS_OF}')""",
+)
+def q_snapshot_scan(t: Inputs) -> DataFrame:
+    """Polls written as a collector would, and the last one of each server read back."""
+    path = fresh_path(t.spark, "polls")
+    sink_append(t.poll, path, ("snapshot_date",))
+    return read_snapshot(t.spark, "log_space", path, EVENTS_AS_OF).drop("snapshot_date")

@@ -10,6 +10,7 @@ from opslens.operators.selection import (
     command_for_each,
     duplicate_names,
     exclude_unreadable,
+    outside_selection,
     filter_databases,
     order_databases,
     select_by_group,
@@ -207,3 +208,14 @@ def q_db_order(t: Inputs) -> DataFrame:
 def q_dup_names(t: Inputs) -> DataFrame:
     files = t.file.withColumn("fs_name", safe_name("file_name"))
     return duplicate_names(files, "fs_name", scope=()).select("file_id", "file_name", "same_name")
+
+
+@query(
+    "q_outside_selection",
+    """SELECT DISTINCT name FROM v_database WHERE database_type = 'U' AND name NOT IN
+      (SELECT name FROM v_database WHERE state_desc = 'ONLINE')""",
+)
+def q_outside_selection(t: Inputs) -> DataFrame:
+    databases = t.database
+    selected = databases.withColumn("selected", F.col("state_desc") == "ONLINE")
+    return outside_selection(databases.where("database_type = 'U'"), selected)

@@ -201,6 +201,33 @@ def q_wait_resource(t: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "q_who_full",
+    """SELECT r.session_id % 3 AS server_id, r.request_id, r.session_id, g.name AS resource_pool,
+      m.requested_memory_kb / 1024.0 AS requested_memory_mb, m.granted_memory_kb / 1024.0 AS granted_memory_mb,
+      CAST(NULL AS VARCHAR) AS task_state, CAST(NULL AS BIGINT) AS exec_context_id
+    FROM v_request r JOIN v_session s ON s.session_id = r.session_id AND s.is_user_process
+    LEFT JOIN v_group g ON g.group_id = r.session_id % 9 AND g.server_id = r.session_id % 3
+    LEFT JOIN v_grant m ON m.session_id = r.session_id AND m.request_id = r.request_id""",
+)
+def q_who_full(t: Inputs) -> DataFrame:
+    """Groups and grants of three servers that number their groups alike."""
+    server = F.col("session_id") % 3
+    report = who(
+        t.request.withColumn("server_id", server),
+        t.session.withColumn("server_id", server).withColumn("group_id", F.col("session_id") % 9),
+        grants=t.grant.withColumn("server_id", server),
+        groups=t.group,
+        scope=["server_id"],
+    )
+    return report.select(
+        "server_id", "request_id", "session_id", "resource_pool",
+        F.col("requested_memory_mb").cast("double").alias("requested_memory_mb"),
+        F.col("granted_memory_mb").cast("double").alias("granted_memory_mb"),
+        "task_state", "exec_context_id",
+    )
+
+
 @query(
     "q_wait_object",
     f"""SELECT w.request_id, CAST(w.exec_context_id AS BIGINT) AS exec_context_id, w.kind AS resource_kind,
