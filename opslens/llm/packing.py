@@ -11,12 +11,16 @@ once more through the same steps together with those of other blocks.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from sys import byteorder
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,7 @@ GENERATIONS = 4
 POPULATION = 4
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a worker keeps at hand.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 
 _PIECES = pa.schema(
     [
@@ -56,16 +60,27 @@ class WordIds:
     """Token ids of texts, looked up word by word.
 
     The tokenizer's pieces never span ASCII white space, so a text's ids are those of its words in a row.
+    Words of plain Latin letters, digits and marks are split into pieces here, as the tokenizer would, and each new
+    piece goes to the tokenizer's model; any other word goes through the whole tokenizer.
     """
 
     _made: dict[str, WordIds] = {}
 
+    #: Latin characters that normalisation leaves alone, without white space, controls and special tokens.
+    _plain = re.compile(r"(?:(?!<\|)[\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f])+")
+    #: Fixed value: the tokenizer's own split, for lower-case text.
+    _split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -73,30 +88,35 @@ class WordIds:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            owner = np.array(got.word_ids, np.int64)
-            bounds = np.searchsorted(owner, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            self.known.update(
-                zip(part, [raw[4 * x : 4 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)], strict=True)
-            )
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= CACHE_WORDS:
+                self.parts.clear()
+            mapped = part if part.isascii() else self.as_bytes.pre_tokenize_str(part)[0][0]
+            ids = self.parts[part] = _raw(t.id for t in self.tokenize(mapped))
+        return ids
+
+    def __call__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self._plain.fullmatch(text):
+            ids = b"".join(map(self._part, self._split.findall(text.lower())))
+        else:
+            ids = _raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+        self.words[word] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
+        get = self.words.get
         for text in texts:
-            words = text.split()
-            found = list(map(self.known.get, words))
-            if None in found:
-                self.learn(set(words))
-                found = [self.known[w] for w in words]
-            yield b"".join(found)
+            yield b"".join([get(w) or self(w) for w in text.split()])
+
+
+def _raw(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes() if byteorder == "little" else np.fromiter(ids, "<u4").tobytes()
 
 
 def _pieces(path: str):
