@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.store import ROWS_PER_TASK, batch, row_ids, saved
+from opslens.llm.store import ROWS_PER_TASK, batch, raw_hash, row_ids, rows_kept, saved
 
 _DIGESTS = pa.schema(
     [
@@ -141,15 +141,10 @@ def _screen(arrivals: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return arrivals[["digest"]][known.has(_keys(arrivals["digest"]))]
 
 
-def _raw() -> Column:
-    """Tells apart texts that differ only in case, or null from empty."""
-    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-
-
 def digest_table(docs: DataFrame, incoming: Column) -> DataFrame:
     """Every row's id, hash of the raw text, digest, and packed normalised text (``body``)."""
     arrived = F.coalesce(incoming, F.lit(False)).alias("incoming")
-    picked = docs.select(F.col("doc_id").cast("long"), "text", _raw().alias("raw"), arrived)
+    picked = docs.select(F.col("doc_id").cast("long"), "text", raw_hash().alias("raw"), arrived)
     return saved(picked.mapInArrow(_digest_rows, _DIGESTS_DDL), "digests")
 
 
@@ -227,21 +222,5 @@ def _check_bytes(rows: DataFrame, groups: DataFrame) -> None:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but the last of equal texts; columns stay as they are.
-
-    Rows meet their verdict by id and raw text.  Rows that share both are repeats of one row, of
-    which one stays; only those are grouped again.
-    """
-    verdicts = exact_duplicates(docs)
-    kept = saved(
-        verdicts.groupBy("doc_id", "raw")
-        .agg(F.max("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("again"))
-        .where("kept")
-        .select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"), F.col("again").alias("__again")),
-        "kept",
-    )
-    keyed = docs.withColumn("__key", _raw())
-    met = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__raw")))
-    once = met.where(~F.col("__again"))
-    repeats = met.where("__again").dropDuplicates(["doc_id", "__key"])
-    return once.unionByName(repeats).select(*docs.columns)
+    """``docs`` without all but the last of equal texts; columns stay as they are."""
+    return rows_kept(docs, exact_duplicates(docs))

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.store import batch, row_ids, saved
+from opslens.llm.store import batch, raw_hash, row_ids, rows_kept, saved
 from opslens.llm.text import Words, chunks, grams, mix
 
 WIDTH = 5
@@ -357,8 +357,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     carries it stays.  Null ids rank last, and of rows that share the smallest id one
     stays.  Texts without words are linked with nothing and stay.  An empty table gives no rows.
     """
-    raw = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    picked = docs.select(F.col("doc_id").cast("long"), "text", raw.alias("raw"))
+    picked = docs.select(F.col("doc_id").cast("long"), "text", raw_hash().alias("raw"))
     rows = saved(picked.mapInArrow(_rows(width), _ROWS_DDL), "shingles")
     slim = rows.select("rid", "doc_id", "raw", "n_shingles", "digest")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
@@ -390,18 +389,4 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``; columns stay as they are."""
-    verdicts = near_duplicates(docs)
-    kept = saved(
-        verdicts.groupBy("doc_id", "raw")
-        .agg(F.max("kept").alias("kept"), F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("n"))
-        .where("kept")
-        .select(
-            F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"), (F.col("stay") < F.col("n")).alias("__again")
-        ),
-        "kept",
-    )
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
-    met = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__raw")))
-    once = met.where(~F.col("__again"))
-    repeats = met.where("__again").dropDuplicates(["doc_id", "__key"])
-    return once.unionByName(repeats).select(*docs.columns)
+    return rows_kept(docs, near_duplicates(docs))

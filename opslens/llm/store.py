@@ -10,7 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.session import tune
@@ -80,3 +80,31 @@ def batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
         ],
         schema=schema,
     )
+
+
+def raw_hash() -> Column:
+    """Tells texts apart, also those that differ only in case, and null from empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+
+
+def rows_kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``verdicts`` (doc_id, raw, kept) keep, in all their columns.
+
+    Rows meet their verdict by id and ``raw_hash``.  Rows that share both are repeats of one row.  Where
+    some of them are kept and others not, one stays; these are few and joined apart, so that the texts
+    of the others are shuffled once.
+    """
+    kept = saved(
+        verdicts.groupBy(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"))
+        .agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("n"))
+        .where("stay > 0"),
+        "kept",
+    )
+    keyed = docs.withColumn("__key", raw_hash())
+
+    def met(part: DataFrame) -> DataFrame:
+        some = saved(part.select("__id", "__raw"), "kept")
+        return keyed.join(some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__raw")))
+
+    repeats = met(kept.where("stay < n")).dropDuplicates(["doc_id", "__key"])
+    return met(kept.where("stay = n")).unionByName(repeats).select(*docs.columns)
