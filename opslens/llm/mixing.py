@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.llm.store import saved
+from opslens.llm.store import saved, set_aside
 
 MAX_EPOCHS = 3
 SEED = 20240229
@@ -62,9 +62,9 @@ def targets(sizes: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, columns: list[str] | None = None, max_epochs: float = MAX_EPOCHS, seed: int = SEED
+    docs: DataFrame, columns: list[str], max_epochs: float = MAX_EPOCHS, seed: int = SEED
 ) -> DataFrame:
-    """``columns`` of ``docs`` (default: all) with ``__size, __source_size, __target, __reps``.
+    """``columns`` of ``docs`` with ``__size, __source_size, __target, __reps``.
 
     ``__reps`` is how often the mix takes the row.
 
@@ -73,7 +73,7 @@ def mix(
     by them.  An empty table gives no rows.
     """
     spot = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
-    kept = [F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)]
+    kept = [F.col(f"`{c}`") for c in columns]
     marks = [word_count(F.col("text")).alias("__size"), spot.alias("__spot"), F.col("source").alias("__from")]
     sized = saved(docs.select(*kept, *marks), "sized")
     slim = sized.select(F.col("__from").alias("source"), "__size", "__spot")
@@ -155,5 +155,6 @@ def _cutoff(rows: DataFrame, plan: DataFrame, turn: int) -> DataFrame:
 
 def repeat_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: every row as often as it is taken; columns stay as they are."""
-    taken = mix(docs).where("__reps > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__reps")))).select(*docs.columns)
+    apart, names, back = set_aside(docs, ["doc_id", "text", "source"])
+    taken = mix(apart, names).where("__reps > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__reps")))).select(*back)

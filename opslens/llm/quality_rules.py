@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.store import saved
+from opslens.llm.store import saved, set_aside
 
 MIN_WORDS = 50
 #: A limit lies this many interquartile ranges beyond the upper (or below the lower) quartile.
@@ -214,7 +214,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that pass; columns stay as they are."""
-    plain = {c: f"__in{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in plain.items()], F.col("text"), F.col("lang"), F.col("source"))
-    rows = saved(measure(renamed, [*plain.values(), "lang", "source"]), "measured")
-    return judge(rows).where("kept").select(*[F.col(n).alias(c) for c, n in plain.items()])
+    apart, names, back = set_aside(docs, ["text", "lang", "source"])
+    rows = saved(measure(apart, [*names, "lang", "source"]), "measured")
+    return judge(rows).where("kept").select(*back)

@@ -82,6 +82,18 @@ def batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def set_aside(docs: DataFrame, used: list[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """``docs`` with all its columns under names of our own, beside the ``used`` ones.
+
+    Also returns those names, and the expressions that give the columns back.  So nothing that an
+    operator adds can clash with a column of the input.
+    """
+    names = [f"__in{i}" for i in range(len(docs.columns))]
+    pairs = list(zip(docs.columns, names, strict=True))
+    own = [F.col(f"`{c}`").alias(n) for c, n in pairs]
+    return docs.select(*own, *used), names, [F.col(n).alias(c) for c, n in pairs]
+
+
 def raw_hash() -> Column:
     """Tells texts apart, also those that differ only in case, and null from empty."""
     return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
@@ -100,11 +112,12 @@ def rows_kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
         .where("stay > 0"),
         "kept",
     )
-    keyed = docs.withColumn("__key", raw_hash())
+    apart, _, back = set_aside(docs, ["doc_id", "text"])
+    keyed = apart.withColumn("__key", raw_hash())
 
     def met(part: DataFrame) -> DataFrame:
         some = saved(part.select("__id", "__raw"), "kept")
         return keyed.join(some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__raw")))
 
     repeats = met(kept.where("stay < n")).dropDuplicates(["doc_id", "__key"])
-    return met(kept.where("stay = n")).unionByName(repeats).select(*docs.columns)
+    return met(kept.where("stay = n")).unionByName(repeats).select(*back)
