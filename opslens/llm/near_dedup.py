@@ -5,13 +5,13 @@
 2. Class members meet in band buckets.  Instead of all pairs, each bucket compares its
    head with its members, and the links are closed to components.  Of a bucket that then still holds several
    components, only members outside its largest one are compared with the others, in blocks,
-   with signatures four times as long.  So every two members of a bucket were compared or are connected: no
+   with longer signatures.  So every two members of a bucket were compared or are connected: no
    link that joins components is lost, and the work of a bucket of true copies stays near its size.
 3. Candidates are screened by the signatures: equal low bits are counted with bit operations and
    corrected for chance.  What remains is confirmed on the full shingle sets of both texts.
 
 With ``BANDS`` bands of ``ROWS`` minima a pair at similarity 0.8 is missed with odds of
-(1 - 0.8**ROWS)**BANDS, below one in a million; the screens cut more than five deviations below it.
+(1 - 0.8**ROWS)**BANDS, below one in a million; the screens cut five deviations below it.
 """
 
 from __future__ import annotations
@@ -34,9 +34,11 @@ BANDS = 36
 ROWS = 5
 BITS = 4
 #: Deviations below the threshold at which the signature screen cuts.
-SLACK = 5.5
-#: How many times longer the signatures of the second comparison are, and the sizes of its blocks.
-SHARPER = 4
+SLACK = 5.0
+#: How many times longer the signatures of the second comparison are, how much of them is looked at first,
+#: and the sizes of its blocks.
+SHARPER = 24
+GLANCE = 4
 LEADS = 128
 OTHERS = 512
 
@@ -189,16 +191,17 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Ite
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int, screened: bool = False) -> DataFrame:
     """Those pairs ``a, b`` of row ids whose sets are similar enough."""
 
     def side(column: str, what: str, name: str) -> DataFrame:
         # Texts are never broadcast, however few there are.
         return texts.select(F.col("rid").alias(column), F.col(what).alias(name)).hint("merge")
 
-    signed = pairs.join(side("b", "signature", "sb"), "b").join(side("a", "signature", "sa"), "a")
-    likely = signed.mapInArrow(lambda bs: _screen(bs, percent), "a long, b long")
-    full = likely.join(side("b", "body", "tb"), "b").join(side("a", "body", "ta"), "a")
+    if not screened:
+        signed = pairs.join(side("b", "signature", "sb"), "b").join(side("a", "signature", "sa"), "a")
+        pairs = signed.mapInArrow(lambda bs: _screen(bs, percent), "a long, b long")
+    full = pairs.join(side("b", "body", "tb"), "b").join(side("a", "body", "ta"), "a")
     return full.mapInArrow(lambda bs: _confirm(bs, percent, width), "a long, b long")
 
 
@@ -253,17 +256,19 @@ def _stacked(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def compare_blocks(
-    key: int, leads: dict[str, np.ndarray], others: dict[str, np.ndarray], least: float
+    key: int, leads: dict[str, np.ndarray], others: dict[str, np.ndarray], least: dict[int, float]
 ) -> tuple[np.ndarray, np.ndarray]:
     """Likely links between leads and others of other components.
 
-    A pair counts only in the first bucket that both share, and once when both are leads.
+    A pair counts only in the first bucket that both share, and once when both are leads.  ``least`` holds
+    the smallest estimates by the number of signature bytes looked at, few bytes first.
     """
     found = []
     for i, rid in enumerate(leads["rid"].tolist()):
         fits = (others["part"] != leads["part"][i]) & ~(others["waiting"] & (others["rid"] < rid))
         at = np.flatnonzero(fits)
-        at = at[estimate(others["sharp"][at], leads["sharp"][i]) >= least]
+        for width, bound in least.items():
+            at = at[estimate(others["sharp"][at, :width], leads["sharp"][i, :width]) >= bound]
         same = others["bands"][at] == leads["bands"][i]
         own = np.flatnonzero(leads["bands"][i] == key)[:1]
         at = at[same.argmax(axis=1) == own] if len(own) else at[:0]
@@ -284,7 +289,7 @@ def _compare(percent: int):
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = cut(percent, SHARPER * _MINIMA)
+        least = {n * _MINIMA // 2: cut(percent, n * _MINIMA) for n in (GLANCE, SHARPER)}
         for b in batches:
             for row, key in enumerate(b["key"].to_pylist()):
                 a, z = compare_blocks(key, side(b["leads"], row), side(b["others"], row), least)
@@ -346,7 +351,7 @@ def links_between(members: DataFrame, rows: DataFrame, percent: int, width: int)
     leads = blocks(entries.where("waiting"), "waiting_members", LEADS, "leads")
     others = blocks(entries, "members", OTHERS, "others")
     likely = leads.join(others, "key").select("key", "leads", "others").mapInArrow(_compare(percent), "a long, b long")
-    second = saved(confirmed(likely.distinct(), texts, percent, width), "confirmed")
+    second = saved(confirmed(likely.distinct(), texts, percent, width, screened=True), "confirmed")
     return first.unionByName(second)
 
 

@@ -133,7 +133,7 @@ def test_unrelated_members_of_buckets_are_all_compared(frame):
 
 def test_blocks_emit_each_pair_once():
     draw = np.random.default_rng(3)
-    n, m = 6, 2 * near_dedup._MINIMA
+    n, m = 6, near_dedup.SHARPER * near_dedup._MINIMA // 2
     one = draw.integers(0, 256, m, dtype=np.uint8)
     bands = draw.integers(1, 9, (n, near_dedup.BANDS))
     bands[:, 0], bands[:, 3] = np.arange(n) + 100, 7
@@ -147,7 +147,7 @@ def test_blocks_emit_each_pair_once():
         held = {k: v[(bands == key).any(axis=1)] for k, v in side.items()}
         ahead = {k: v[(bands[:3] == key).any(axis=1)] for k, v in leads.items()}
         if key == 7 or len(ahead["rid"]):
-            a, b = near_dedup.compare_blocks(int(key), ahead, held, 0.5)
+            a, b = near_dedup.compare_blocks(int(key), ahead, held, {m: 0.5})
             seen.update(zip(a.tolist(), b.tolist(), strict=True))
     assert not seen or set(seen.values()) == {1}
 
