@@ -10,7 +10,7 @@ counts, with one unseen word per class, so the probabilities sum to one.
 2. Rounds of distributed gradient updates: each round has its own share of the training rows.  Every task starts from
    the model of the round, takes minibatch steps over its rows, and returns its changes with the
    number of times that each feature occurred; changes are averaged by it, block by block.
-3. Scoring looks counts of the ``KNOWN`` most frequent words up in a table of bounded size; the other words join
+3. Scoring looks counts of up to ``KNOWN`` frequent words up in a table of bounded size; the other words join
    the counts of the whole corpus.
 
 The model has a fixed size; counts grow with the corpus and never pass through the driver.
@@ -121,6 +121,23 @@ def word_counts(training: DataFrame) -> DataFrame:
     return saved(parts.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("c").alias("c")), "counts")
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """``h, ending, c`` of at most ``KNOWN`` words, all that occur at least as often as the rarest of them.
+
+    The bound comes from a histogram of counts on a logarithmic scale, a few hundred rows.
+    """
+    level = F.floor(F.log2("c") * 8)
+    sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"))
+    bound, total = None, 0
+    for row in sorted(sizes.collect(), key=lambda r: -r["level"]):
+        total += row["n"]
+        if total > KNOWN:
+            break
+        bound = row["least"]
+    frequent = counts.select("h", "ending", "c")
+    return frequent.where(F.col("c") >= bound) if bound is not None else frequent.limit(0)
+
+
 @dataclass
 class Model:
     own: np.ndarray  # sorted hashes of the words with a class of their own
@@ -165,7 +182,7 @@ def first_model(counts: DataFrame) -> tuple[Model, int, int, tuple[np.ndarray, n
     """
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).select("h", "ending", "c").toPandas()
+    top = _frequent(counts).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     sums = counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()
     mass, distinct = np.zeros(1 << 16), np.zeros(1 << 16)
     mass[sums["ending"]], distinct[sums["ending"]] = sums["c"], sums["v"]
