@@ -92,7 +92,7 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
 
 
 def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of identifiers on lines with a sensitive word."""
+    """Counts of identifiers on lines with a sensitive word; none that could be a secret itself."""
     for b in batches:
         counts: Counter[bytes] = Counter()
         for text in _texts(b):
@@ -102,7 +102,8 @@ def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     start = text.rfind(b"\n", 0, word.start()) + 1
                     end = text.find(b"\n", word.end())
                     end = len(text) if end < 0 else end
-                    counts.update(_IDENTIFIER.findall(text, start, end))
+                    found = _IDENTIFIER.findall(text, start, end)
+                    counts.update(w for w in found if len(w) < MIN_NOVEL or not _MIXED.match(w))
         if counts:
             yield pa.RecordBatch.from_pydict(
                 {"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())}
