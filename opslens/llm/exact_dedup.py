@@ -1,7 +1,7 @@
 """Exact duplicates: binary-fuse filters over an immutable snapshot screen the incoming rows.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty.  A table of
-digests and compressed texts is written once.  Its rows form a snapshot and an incoming batch:
+digests is written once.  Its rows form a snapshot and an incoming batch:
 
 1. The snapshot's distinct digests are dealt to buckets; each bucket builds one static filter.
 2. Distinct incoming digests meet the filter of their bucket.  Most new ones end here.
@@ -31,10 +31,9 @@ _DIGESTS = pa.schema(
         ("raw", pa.int64()),
         ("incoming", pa.bool_()),
         ("digest", pa.binary()),
-        ("body", pa.binary()),
     ]
 )
-_DIGESTS_DDL = "rid long, doc_id long, raw long, incoming boolean, digest binary, body binary"
+_DIGESTS_DDL = "rid long, doc_id long, raw long, incoming boolean, digest binary"
 
 
 class BinaryFuse:
@@ -103,15 +102,24 @@ class BinaryFuse:
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, packer = row_ids(), zstandard.ZstdCompressor(level=1)
+    ids = row_ids()
     for b in batches:
-        texts = (t.lower() if t else b"" for t in b["text"].cast(pa.binary()).to_pylist())
-        rows = [(next(ids), hashlib.sha256(t).digest(), packer.compress(t)) for t in texts]
-        rid, digest, body = zip(*rows, strict=True) if rows else ((), (), ())
-        yield batch(
-            {c: b[c] for c in ("doc_id", "raw", "incoming")} | {"rid": rid, "digest": digest, "body": body},
-            _DIGESTS,
-        )
+        digests = [hashlib.sha256(t).digest() for t in _normalised(b)]
+        rids = [next(ids) for _ in digests]
+        yield batch({c: b[c] for c in ("doc_id", "raw", "incoming")} | {"rid": rids, "digest": digests}, _DIGESTS)
+
+
+def _normalised(b: pa.RecordBatch) -> Iterator[bytes]:
+    return (t.lower() if t else b"" for t in b["text"].cast(pa.binary()).to_pylist())
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest and packed normalised text of every row."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        rows = [(hashlib.sha256(t).digest(), packer.compress(t)) for t in _normalised(b)]
+        digest, body = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_pydict({"digest": pa.array(digest, pa.binary()), "body": pa.array(body, pa.binary())})
 
 
 def _keys(digests: pd.Series) -> np.ndarray:
@@ -142,7 +150,7 @@ def _screen(arrivals: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 
 def digest_table(docs: DataFrame, incoming: Column) -> DataFrame:
-    """Every row's id, hash of the raw text, digest, and packed normalised text (``body``)."""
+    """Every row's id, hash of the raw text, and digest of the normalised text."""
     arrived = F.coalesce(incoming, F.lit(False)).alias("incoming")
     picked = docs.select(F.col("doc_id").cast("long"), "text", raw_hash().alias("raw"), arrived)
     return saved(picked.mapInArrow(_digest_rows, _DIGESTS_DDL), "digests")
@@ -196,8 +204,8 @@ def exact_duplicates(docs: DataFrame, incoming: Column | None = None) -> DataFra
         .agg(F.sum("n").alias("n"), F.max("last").alias("last")),
         "groups",
     )
-    _check_bytes(rows, groups)
-    joined = rows.drop("body").join(groups, "digest", "left")
+    _check_bytes(docs, groups)
+    joined = rows.join(groups, "digest", "left")
     last = F.coalesce("last", F.struct("doc_id", "rid"))
     return joined.select(
         "rid",
@@ -210,11 +218,12 @@ def exact_duplicates(docs: DataFrame, incoming: Column | None = None) -> DataFra
     )
 
 
-def _check_bytes(rows: DataFrame, groups: DataFrame) -> None:
+def _check_bytes(docs: DataFrame, groups: DataFrame) -> None:
     """Compare the texts of every group; equal packed bytes mean equal texts.
 
     Texts are aggregated before they are shuffled, so each task sends two per digest at most.
     """
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(_bodies, "digest binary, body binary")
     spread = rows.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
     met = spread.join(groups.select("digest"), "digest")
     if not met.where(F.col("low") != F.col("high")).isEmpty():

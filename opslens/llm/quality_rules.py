@@ -182,13 +182,13 @@ def limits(measured: DataFrame) -> DataFrame:
     )
 
 
-def judge(measured: DataFrame) -> DataFrame:
-    """``measured`` (already written) with ``base_failed`` and ``kept``.
+def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``measured`` with ``base_failed`` and ``kept``; ``bounds`` are its ``limits``, already written.
 
     A group of which every row fails a base rule has no limits and keeps nothing.  Null languages
     and sources are groups of their own.
     """
-    bounds = limits(measured).withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    bounds = bounds.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     met = measured.join(
         bounds, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left"
     )
@@ -209,11 +209,16 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Empty and null texts fail the base rules; an empty table gives no rows.
     """
-    return judge(saved(measure(docs, ["doc_id", "lang", "source"]), "measures")).drop("lang", "source", "n_lines")
+    measured = saved(measure(docs, ["doc_id", "lang", "source"]), "measures")
+    return judge(measured, saved(limits(measured), "limits")).drop("lang", "source", "n_lines")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that pass; columns stay as they are."""
+    """Rows of ``docs`` that pass; columns stay as they are.
+
+    Texts are measured once for the limits and once for the verdict; only the measures are written in between.
+    """
     apart, names, back = set_aside(docs, ["text", "lang", "source"])
-    rows = saved(measure(apart, [*names, "lang", "source"]), "measured")
-    return judge(rows).where("kept").select(*back)
+    measured = saved(measure(docs, ["lang", "source"]), "measures")
+    bounds = saved(limits(measured), "limits")
+    return judge(measure(apart, [*names, "lang", "source"]), bounds).where("kept").select(*back)
