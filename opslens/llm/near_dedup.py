@@ -37,7 +37,7 @@ BITS = 4
 SLACK = 5.0
 #: How many times longer the signatures of the second comparison are, how much of them is looked at first,
 #: and the sizes of its blocks.
-SHARPER = 24
+SHARPER = 16
 GLANCE = 4
 LEADS = 128
 OTHERS = 512
