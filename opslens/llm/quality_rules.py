@@ -3,8 +3,10 @@
 Fixed base rules reject very short and very repetitive texts.  The others are ratios (symbols
 per character, repeated lines per line, characters per word) whose limits come from
 quantile sketches: each task sketches its rows of a language and source, the sketches merge, and a row
-is rejected when it lies far outside the middle half of its group.  A limit never cuts inside
-the group's own bulk, so a group of clean texts loses nothing.
+is rejected when it lies far outside the middle half of its group.  Junk that makes up over a quarter of a
+group would carry that limit away, so it is held by what is usual elsewhere: the median, one vote a group, of
+limits drawn from the lower half of each group.  Only a group that lies beyond it almost as a whole keeps
+its own limit.  So a group of clean texts loses nothing, and neither does one that is noisy throughout.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from opslens.llm.store import saved, set_aside
 MIN_WORDS = 50
 #: A limit lies this many interquartile ranges beyond the upper (or below the lower) quartile.
 SPREAD = 6.0
+#: A usual limit lies this many times the distance from the outer decile to the median beyond the median.
+HALF_SPREAD = 7.0
+#: Languages with fewer groups take the usual limits of the whole table.
+MIN_GROUPS = 3
 #: No limit is tighter than these values, whatever the group looks like.
 LEAST_SYMBOLS = 0.05
 LEAST_DUP_LINES = 0.40
@@ -156,30 +162,65 @@ def _ratio(name: str) -> Column:
     return F.col(over) / F.greatest(F.col(under), F.lit(1))
 
 
+_QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
+#: Name of each limit, its ratio, the side of the bulk it lies on, and its loosest forced value.
+_LIMITS = (
+    ("most_symbols", "symbols", 1, LEAST_SYMBOLS),
+    ("most_dup_lines", "dup_lines", 1, LEAST_DUP_LINES),
+    ("longest", "word_length", 1, LEAST_LONG_WORDS),
+    ("shortest", "word_length", -1, MOST_SHORT_WORDS),
+)
+
+
+def _beyond_quartile(q: Column, sign: int) -> Column:
+    return q[3 if sign > 0 else 1] + sign * SPREAD * (q[3] - q[1])
+
+
+def _beyond_median(q: Column, sign: int) -> Column:
+    """A limit that only the half of the rows away from it shapes."""
+    return q[2] + HALF_SPREAD * (q[2] - q[0 if sign > 0 else 4])
+
+
 def limits(measured: DataFrame) -> DataFrame:
     """One row per language and source: ``lang, source`` and the limits of each ratio.
 
     Sketches are built per task and merged; rows that fail a base rule don't shape the limits.
     """
     ratios = measured.where(~base_failed()).select("lang", "source", *[_ratio(r).alias(r) for r in _RATIOS])
-    quartiles = [F.percentile_approx(r, [0.25, 0.75], SKETCH).alias(r) for r in _RATIOS]
+    sketches = [F.percentile_approx(r, _QUANTILES, SKETCH).alias(r) for r in _RATIOS]
     one = F.lit(1).alias("one")
-    own = ratios.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *quartiles).select("*", one)
-    every = ratios.agg(*quartiles).select(one, *[F.col(r).alias(f"all_{r}") for r in _RATIOS])
-    met = own.join(every, "one")
+    own = saved(ratios.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *sketches), "sketches")
+    every = ratios.agg(*sketches).select(one, *[F.col(r).alias(f"all_{r}") for r in _RATIOS])
+
+    half = [_beyond_median(F.col(ratio), sign).alias(name) for name, ratio, sign, _ in _LIMITS]
+    votes = own.where(F.col("n") >= MIN_GROUP).select("lang", *half)
+
+    def usual(prefix: str) -> list[Column]:
+        return [F.percentile_approx(name, 0.5, SKETCH).alias(f"{prefix}_{name}") for name, *_ in _LIMITS]
+
+    by_lang = votes.groupBy(F.col("lang").alias("__lang")).agg(F.count(F.lit(1)).alias("groups"), *usual("lang"))
+    by_lang = by_lang.where(F.col("groups") >= MIN_GROUPS)
+    met = (
+        own.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+        .withColumn("one", one)
+        .join(every, "one")
+        .join(votes.agg(*usual("table")).withColumn("one", one), "one")
+    )
 
-    def bound(name: str, sign: int) -> Column:
-        q = F.when(F.col("n") >= MIN_GROUP, F.col(name)).otherwise(F.col(f"all_{name}"))
-        return q[1 if sign > 0 else 0] + sign * SPREAD * (q[1] - q[0])
+    def bound(name: str, ratio: str, sign: int, forced: float) -> Column:
+        q, a = F.col(ratio), F.col(f"all_{ratio}")
+        loosest, tightest = (F.greatest, F.least) if sign > 0 else (F.least, F.greatest)
+        norm = F.coalesce(f"lang_{name}", f"table_{name}", _beyond_median(a, sign))
+        norm = loosest(norm, F.lit(forced))
+        apart = q[0] > norm if sign > 0 else q[4] < norm
+        limit = (
+            F.when(F.col("n") < MIN_GROUP, tightest(_beyond_quartile(a, sign), norm))
+            .when(apart, _beyond_quartile(q, sign))
+            .otherwise(tightest(_beyond_quartile(q, sign), norm))
+        )
+        return loosest(limit, F.lit(forced)).alias(name)
 
-    return met.select(
-        "lang",
-        "source",
-        F.greatest(bound("symbols", 1), F.lit(LEAST_SYMBOLS)).alias("most_symbols"),
-        F.greatest(bound("dup_lines", 1), F.lit(LEAST_DUP_LINES)).alias("most_dup_lines"),
-        F.greatest(bound("word_length", 1), F.lit(LEAST_LONG_WORDS)).alias("longest"),
-        F.least(bound("word_length", -1), F.lit(MOST_SHORT_WORDS)).alias("shortest"),
-    )
+    return met.select("lang", "source", *[bound(*limit) for limit in _LIMITS])
 
 
 def judge(measured: DataFrame, bounds: DataFrame) -> DataFrame:

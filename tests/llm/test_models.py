@@ -193,6 +193,31 @@ def test_limits_follow_the_group(frame):
     assert all(kept[r[0]] for r in noisy + clean) and not kept[999]
 
 
+@pytest.mark.parametrize("share", [30, 50, 80])
+def test_junk_in_a_mixed_group_goes(frame, share):
+    """However much of one source is junk, it goes and the clean texts stay; one source is noisy throughout."""
+    draw = random.Random(share)
+
+    def clean(i, source):
+        return (i, prose(draw, 80), "en", source, 1)
+
+    def junk(i, source):
+        return (i, prose(draw, 80).replace(" ", draw.choice((" #", " #$", " $#&")), draw.randint(40, 79)), "en", source, 1)
+
+    mixed = [(junk if i % 100 < share else clean)(i, "mixed") for i in range(300)]
+    rows = mixed + [clean(1000 + i, f"s{i % 2}") for i in range(240)]
+    rows += [(2000 + i, prose(draw, 60) + " # $" * draw.randint(8, 12), "en", "code", 1) for i in range(120)]
+    kept = {r.doc_id for r in quality_rules.quality_rules(frame(rows)).collect() if r.kept}
+    assert kept == {r[0] for r in rows} - {i for i in range(300) if i % 100 < share}
+
+
+def test_junk_in_small_groups_goes(frame):
+    draw = random.Random(6)
+    rows = [(i, prose(draw, 80).replace(" ", " #$" if i % 10 < 3 else " "), "en", f"s{i // 40}", 1) for i in range(240)]
+    kept = {r.doc_id for r in quality_rules.quality_rules(frame(rows)).collect() if r.kept}
+    assert kept == {i for i in range(240) if i % 10 >= 3}
+
+
 def test_good_rows_keep_their_columns(frame, messy):
     docs = frame(messy)
     left = quality_rules.keep_good(docs)
