@@ -1,8 +1,8 @@
 """Secrets: fixed patterns, and strings that stay incompressible next to what is known.
 
 The patterns find assignments, access keys and long hex runs.  The method then looks at other long
-strings with letters and digits near a sensitive word: it compresses their surroundings with and without
-them, with a dictionary of the corpus's own identifiers, and reports those whose
+strings on the lines around a sensitive word, before and after it: it compresses their surroundings on both sides
+with and without them, with a dictionary of the corpus's own identifiers, and reports those whose
 marginal size is close to their length: neither the surrounding code nor the identifiers explain them.
 """
 
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from opslens.llm.store import batch
 
 KINDS = ("assign", "access", "hex", "novel")
-#: Identifiers in the dictionary, and bytes before a string that count as its surroundings.
+#: Identifiers in the dictionary, and bytes on either side of a string that count as its surroundings.
 IDENTIFIERS = 2000
 AROUND = 160
-#: A sensitive word must stand at most this many bytes before the string.
-NEAR = 40
+#: Strings are looked for on the line of a sensitive word and this many lines before and after it.
+LINES = 2
 MIN_NOVEL = 16
 #: Marginal compressed bytes per byte of the string.
 LEAST_NOVELTY = 0.7
@@ -40,9 +40,18 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _MIN_ASSIGN, _MIN_ACCESS = 6, 20
 
 _SENSITIVE = re.compile(rb"passw|secret|token|api.?key|credential|private|bearer|auth|login", re.IGNORECASE)
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_NOVEL)
+#: Printable characters without blanks, quotes, brackets, commas and semicolons.
+_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=.!@&#$%%^*~?:|\\-]{%d,}" % MIN_NOVEL)
+#: What stands around the value in such a run: names with = or :, and punctuation.
+_NAMED = re.compile(rb"(?:[A-Za-z_][A-Za-z0-9_.-]*[=:]+)*")
+_MARKS = b".:?|"
+#: Addresses are judged by their parts.
+_ADDRESS = re.compile(rb".*[A-Za-z][A-Za-z0-9+.-]*://|[A-Za-z0-9._+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,6}[^A-Za-z0-9@]*$")
+_PART = re.compile(rb"[A-Za-z0-9+_=%%-]{%d,}" % MIN_NOVEL)
+_LETTER = re.compile(rb"[A-Za-z]")
 _IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_]{4,}")
-_MIXED = re.compile(rb"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
+#: Words inside a long identifier.
+_PIECE = re.compile(rb"(?<![A-Za-z])[A-Za-z][a-z]{4,14}(?![a-z])|(?<=[a-z])[A-Z][a-z]{4,14}(?![a-z])")
 
 Span = tuple[int, str, int]
 
@@ -54,23 +63,54 @@ def base_spans(text: bytes) -> list[Span]:
     return found + [(m.start(), "hex", m.end()) for m in _HEX.finditer(text)]
 
 
-def novelty(string: bytes, before: bytes, packer: zstandard.ZstdCompressor) -> float:
-    """Compressed bytes that ``string`` adds to what stands before it, per byte."""
-    return (len(packer.compress(before + string)) - len(packer.compress(before))) / len(string)
+def novelty(string: bytes, before: bytes, packer: zstandard.ZstdCompressor, after: bytes = b"") -> float:
+    """Compressed bytes that ``string`` adds to what stands around it, per byte; copies of itself don't explain it."""
+    known = after.replace(string, b" ") + b"\n" + before.replace(string, b" ")
+    return (len(packer.compress(known + string)) - len(packer.compress(known))) / len(string)
 
 
-def novel_spans(text: bytes, base: list[Span], packer: zstandard.ZstdCompressor) -> list[Span]:
-    found = []
-    done = 0
+def _regions(text: bytes) -> Iterator[tuple[int, int]]:
+    """Stretches of the lines around sensitive words; apart, in order."""
+    start = end = line = 0
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(word.end(), done)):
-            if m.start() - word.end() > NEAR:
-                break
-            done = m.end()
-            if not _MIXED.match(m[0]) or any(s < m.end() and m.start() < e for s, _, e in base):
+        if word.start() < line:
+            continue  # the line of the word before
+        line = text.find(b"\n", word.end()) + 1 or len(text)
+        first, last = word.start(), word.end()
+        for _ in range(LINES + 1):
+            first = max(text.rfind(b"\n", 0, first), 0)
+            last = text.find(b"\n", last) + 1 or len(text) + 1
+        if first > end:
+            yield start, end
+            start = first
+        end = max(end, min(last, len(text)))
+    yield start, end
+
+
+def _candidates(text: bytes) -> Iterator[tuple[int, int]]:
+    for start, end in _regions(text):
+        for m in _CANDIDATE.finditer(text, start, end):
+            if _ADDRESS.match(m[0]):
+                yield from (part.span() for part in _PART.finditer(text, *m.span()))
                 continue
-            if novelty(m[0], text[max(0, m.start() - AROUND) : m.start()], packer) >= LEAST_NOVELTY:
-                found.append((m.start(), "novel", m.end()))
+            value = _NAMED.match(m[0]).end()
+            size = len(m[0].rstrip(_MARKS))
+            if size - value >= MIN_NOVEL:
+                yield m.start() + value, m.start() + size
+            elif size >= MIN_NOVEL and not m[0][value:size].strip(b"=:"):
+                yield m.start(), m.start() + size
+
+
+def novel_spans(text: bytes, base: list[Span], packer: zstandard.ZstdCompressor) -> list[Span]:
+    if not _SENSITIVE.search(text):
+        return []
+    found = []
+    for start, end in _candidates(text):
+        if not _LETTER.search(text, start, end) or any(s < end and start < e for s, _, e in base):
+            continue
+        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        if novelty(text[start:end], before, packer, after) >= LEAST_NOVELTY:
+            found.append((start, "novel", end))
     return found
 
 
@@ -92,7 +132,7 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
 
 
 def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of identifiers on lines with a sensitive word; none that could be a secret itself."""
+    """Counts of identifiers on lines with a sensitive word; none that could be a secret itself, so no long ones."""
     for b in batches:
         counts: Counter[bytes] = Counter()
         for text in _texts(b):
@@ -103,7 +143,7 @@ def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     end = text.find(b"\n", word.end())
                     end = len(text) if end < 0 else end
                     found = _IDENTIFIER.findall(text, start, end)
-                    counts.update(w for w in found if len(w) < MIN_NOVEL or not _MIXED.match(w))
+                    counts.update(p for w in found for p in (_PIECE.findall(w) if len(w) >= MIN_NOVEL else [w]))
         if counts:
             yield pa.RecordBatch.from_pydict(
                 {"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())}

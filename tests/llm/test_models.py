@@ -122,6 +122,30 @@ def test_secrets(frame, messy, empty):
     assert secret_scan.secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ('{"value": "q7Zk1Vb9Xw3Rt5Lm8Np2", "name": "api_token"}', "q7Zk1Vb9Xw3Rt5Lm8Np2"),
+        ('<login realm="main" kind="service account" region="west one" value="q7Zk1Vb9Xw3Rt5Lm8Np2"/>', "q7Zk1Vb9Xw3Rt5Lm8Np2"),
+        ("the credentials:\n  a line between that says nothing more about any of them\n  q7Zk1Vb9Xw3Rt5Lm8Np2\n", "q7Zk1Vb9Xw3Rt5Lm8Np2"),
+        ("the bearer qWxZvbNmKlopTRyuAsDf is here", "qWxZvbNmKlopTRyuAsDf"),
+        ("login with q7.Zk!1Vb@9Xw&3Rt5Lm today", "q7.Zk!1Vb@9Xw&3Rt5Lm"),
+        ("login with key=q7Zk1Vb9Xw3Rt5Lm8Np2. Then key=q7Zk1Vb9Xw3Rt5Lm8Np2.", "q7Zk1Vb9Xw3Rt5Lm8Np2"),
+    ],
+)
+def test_secrets_on_either_side_of_the_word(frame, text, secret):
+    (row,) = secret_scan.secrets(frame([(1, text, "en", "s", 1)])).collect()
+    spans = [s.split(":") for s in row.spans.split(",") if s]
+    found = [text[int(a) : int(b)] for kind, a, b in spans if kind == "novel"]
+    assert found == [secret] * text.count(secret)
+
+
+def test_text_behind_a_string_explains_it():
+    text = b"login alphaBetaGammaDelta9 = join(alphaBeta, GammaDelta9, alphaBetaGamma)"
+    packer = __import__("zstandard").ZstdCompressor(level=19, write_content_size=False)
+    assert secret_scan.novel_spans(text, [], packer) == []
+
+
 def test_targets_equal_repeated_redistribution(spark):
     draw = random.Random(9)
     for turn in range(6):
