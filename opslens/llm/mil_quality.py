@@ -4,27 +4,27 @@ A document is a bag of passages of ``PASSAGE`` words.  Every passage is encoded
 and character shares, gated attention weighs the passages, and the weighted representation is
 scored.  Only documents have labels; the attention learns which passages they come from.
 
-The model is fitted on at most ``SAMPLE`` labelled training rows, the first in the order of a hash,
-with at most ``SAMPLE_PASSAGES`` passages of each, evenly spread.  Scoring reads every passage of every text.
+The model is fitted on at most ``SAMPLE`` labelled training rows, the first in the order of a hash, with all
+their passages, which minibatches read from a file.  Scoring reads every passage of every text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.store import held_out
+from opslens.llm.store import held_out, saved
 from opslens.llm.text import Words, chunks, mix
 
 HELD_OUT = 5
 THRESHOLD = 0.3
 PASSAGE = 64
 SAMPLE = 8192
-SAMPLE_PASSAGES = 32
 BUCKETS = 96
 HIDDEN = 24
 GATE = 12
@@ -141,11 +141,13 @@ class Attention:
         }
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Attention:
-    """Adam over minibatches of bags."""
-    every = np.concatenate(bags)
+def fit(bags: Sequence[np.ndarray], labels: np.ndarray, seed: int = 5) -> Attention:
+    """Adam over minibatches of bags; only those of one minibatch are in memory if ``bags`` lie in a file."""
+    n = sum(len(x) for x in bags)
+    mean = sum(x.sum(0, dtype=np.float64) for x in bags) / n
+    spread = np.sqrt(sum(((x - mean) ** 2).sum(0) for x in bags) / n)
     prior = float(np.clip(labels.mean(), 0.01, 0.99))
-    model = Attention(every.mean(0), every.std(0) + 0.02, prior)
+    model = Attention(mean.astype(np.float32), (spread + 0.02).astype(np.float32), prior)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     draw, turn = np.random.default_rng(seed), 0
@@ -170,12 +172,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for words in chunks(b["text"], lower=False):
             x, bounds = passages(words)
-            bags = []
-            for i in range(len(words)):
-                own = x[bounds[i] : bounds[i + 1]]
-                if len(own) > SAMPLE_PASSAGES:
-                    own = own[np.linspace(0, len(own) - 1, SAMPLE_PASSAGES).astype(int)]
-                bags.append(own.tobytes())
+            bags = [x[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(words))]
             label = b["label"].slice(words.first, len(words))
             order = b["spot"].slice(words.first, len(words))
             yield pa.RecordBatch.from_arrays([order, label, pa.array(bags, pa.binary())], names=["spot", "label", "bag"])
@@ -213,11 +210,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Attention | None:
     # At most SAMPLE rows, so it may be broadcast.
     met = texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
     sample = met.select("spot", "label", "text").mapInArrow(_encode, "spot long, label double, bag binary")
-    rows = sample.toPandas().sort_values("spot")
-    if rows.empty:
-        return None
-    bags = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in rows["bag"]]
-    return fit(bags, rows["label"].to_numpy(np.float32))
+    rows = []
+    with tempfile.TemporaryFile() as file:
+        for r in saved(sample, "bags").toLocalIterator():
+            rows.append((r["spot"], r["label"], file.tell() // (4 * WIDTH), len(r["bag"]) // (4 * WIDTH)))
+            file.write(r["bag"])
+        if not rows:
+            return None
+        file.flush()
+        every = np.memmap(file, np.float32, "r").reshape(-1, WIDTH)
+        rows.sort()
+        bags = [every[at : at + n] for _, _, at, n in rows]
+        return fit(bags, np.array([label for _, label, *_ in rows], np.float32))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -102,6 +102,15 @@ def test_quality_scores_of_odd_rows(spark, frame, messy, empty):
     assert mil_quality.quality_scores(empty, labels).count() == 0
 
 
+def test_training_reads_every_passage_of_a_long_text():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" for i in range(64 * 50)), "short"]
+    rows = pa.RecordBatch.from_pydict({"spot": [1, 2], "label": [1.0, 0.0], "text": texts})
+    bags = [x for b in mil_quality._encode(iter([rows])) for x in b.column(2).to_pylist()]
+    assert [len(x) // (4 * mil_quality.WIDTH) for x in bags] == [50, 1]
+
+
 def test_secrets(frame, messy, empty):
     texts = [
         "password = 'hunter22x' and PASSWD:\"short\" token=abc",
