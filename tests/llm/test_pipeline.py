@@ -14,7 +14,7 @@ from opslens.llm.queries import ORACLES, QUERIES
 
 def test_one_query_per_operator():
     numbers = [m[1] for q in QUERIES if (m := re.match(r"op(\d+)_", q))]
-    assert sorted(map(int, numbers)) == list(range(1, 11))
+    assert sorted(map(int, numbers)) == list(range(1, 14))
     assert "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
 
 
