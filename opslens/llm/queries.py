@@ -15,10 +15,12 @@ from opslens.llm import (
     mixing,
     near_dedup,
     packing,
+    prefix_trie,
     quality_rules,
     secret_scan,
     spelling,
     substring_dedup,
+    url_filter,
     warc,
 )
 from opslens.llm.store import table
@@ -79,6 +81,27 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: (host, path, verdict).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no rule fits, mirrors are blocked: URLs of pages whose HTML an earlier page has."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.url_filter(pages, rules, url_filter.mirrored_urls(pages))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -96,6 +119,8 @@ QUERIES: dict[str, Query] = {
         op8_warc,
         op9_quality_rules,
         op10_near_dedup,
+        op11_url_filter,
+        op12_prefix_trie,
         op13_spelling_variants,
     )
 }
@@ -128,5 +153,91 @@ ORACLES: dict[str, str] = {
         FROM firsts
     """,
 }
+RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+ORACLES["op11_url_filter"] = rf"""
+    WITH parts AS (
+        SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) END AS rest
+        FROM pages
+    ), parsed AS (
+        SELECT *, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+               list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+                   lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|\z)'))) AS params
+        FROM parts
+    ), urls AS (
+        SELECT page_id, html, host, path, CASE WHEN rest IS NOT NULL THEN
+               regexp_replace(regexp_replace(host, ':(80|443)\z', ''), '\.\z', '') || regexp_replace(path, '/+\z', '')
+               || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical
+        FROM parsed
+    ), rules(rule_host, rule_path, rule_verdict) AS (VALUES {RULE_ROWS}),
+    mirrors AS (
+        SELECT DISTINCT canonical
+        FROM (SELECT canonical, page_id > min(page_id) OVER (PARTITION BY html) AS later FROM urls WHERE html <> '')
+        WHERE later AND canonical IS NOT NULL
+    ), ruled AS (
+        SELECT page_id, rule_host || rule_path AS rule, rule_verdict
+        FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) = 1
+    )
+    SELECT u.page_id, host, path, rule,
+           coalesce(rule_verdict, CASE WHEN m.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+           m.canonical IS NOT NULL AS listed
+    FROM urls u LEFT JOIN ruled r ON r.page_id = u.page_id LEFT JOIN mirrors m ON m.canonical = u.canonical
+"""
+#: CRC-32 bit by bit; DuckDB has no function for it.
+CRC32 = """
+    xor(list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, byte: list_reduce(
+            list_prepend(xor(crc, byte), list_transform(range(8), lambda bit: bit)),
+            lambda r, bit: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)
+    ), 4294967295::BIGINT)
+"""
+ORACLES["op12_prefix_trie"] = f"""
+    WITH turns AS (
+        SELECT conv_id, role, text, digest,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos
+        FROM (SELECT *, sha256(length(role) || ':' || role || text) AS digest
+              FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                    FROM conversations WHERE conv_id IS NOT NULL))
+    ), convs AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC32.format("conv_id::VARCHAR")} % 6 AS h
+        FROM (SELECT DISTINCT conv_id FROM turns)
+    ), rebuilt AS (
+        SELECT c.conv_id, 0 AS own, pos, text, digest FROM convs c JOIN turns t ON t.conv_id = c.base AND pos < h
+        UNION ALL
+        SELECT c.conv_id, 1, pos, text, digest FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos >= h
+    ), steps AS (
+        SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars,
+               sha256(string_agg(digest, ',') OVER w) AS node
+        FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)
+        UNION ALL
+        SELECT conv_id, 0, 0, 'root' FROM convs
+    ), nodes AS (
+        SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(chars) AS chars
+        FROM steps GROUP BY node
+    ), linked AS (
+        SELECT n.*, p.node AS parent, q.conv_id AS parent_conv_id
+        FROM nodes n
+        LEFT JOIN steps p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+        LEFT JOIN nodes q ON q.node = p.node
+    ), counted AS (
+        SELECT l.*, coalesce(k.n, 0) AS n_children
+        FROM linked l LEFT JOIN (SELECT parent, count(*) AS n FROM linked GROUP BY parent) k ON k.parent = l.node
+    ), sums AS (
+        SELECT s.node, count(*) FILTER (WHERE c.n_children = 0) AS n_leaves,
+               sum((c.n_convs - 1) * c.chars)::BIGINT AS saved_tokens
+        FROM counted c JOIN steps s ON s.conv_id = c.conv_id AND s.depth <= c.depth
+        GROUP BY s.node
+    ), ends AS (
+        SELECT s.node, sha256(string_agg(s.conv_id::VARCHAR, ',' ORDER BY s.conv_id)) AS ends_sha256
+        FROM steps s JOIN (SELECT conv_id, max(depth) AS depth FROM steps GROUP BY conv_id) m USING (conv_id, depth)
+        GROUP BY s.node
+    )
+    SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens,
+           coalesce(ends_sha256, sha256('')) AS ends_sha256
+    FROM counted JOIN sums USING (node) LEFT JOIN ends USING (node)
+"""
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

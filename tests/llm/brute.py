@@ -156,3 +156,42 @@ def spelling_forms(rows, least=5, often=3):
         return w
 
     return {(w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}
+
+
+def trie_nodes(rows):
+    """Nodes of the prefix trie of (conv_id, turn, role, text) rows."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            tie = sha(f"{len(role)}:{role}{text}".encode())
+            own[c].append((turn is not None, turn or 0, tie, role, text))
+    turns = {c: [t[3:] for t in sorted(v)] for c, v in own.items()}
+    members, ends, texts = defaultdict(list), defaultdict(list), {(): ""}
+    for c in sorted(turns):
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - int(math.fmod(c, 100))
+        whole = tuple(turns.get(base, [])[:h] + turns[c][h:])
+        for d in range(len(whole) + 1):
+            members[whole[:d]].append(c)
+        ends[whole].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, convs in members.items():
+        tokens = (len(convs) - 1) * len(p[-1][1]) if p else 0
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += children[p] == 0
+            saved[p[:d]] += tokens
+    return [
+        (
+            convs[0],
+            len(p),
+            members[p[:-1]][0] if p else None,
+            len(convs),
+            children[p],
+            leaves[p],
+            saved[p],
+            sha(",".join(map(str, ends[p])).encode()),
+        )
+        for p, convs in members.items()
+    ]

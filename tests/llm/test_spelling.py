@@ -65,7 +65,7 @@ def test_messy_table(frame, messy):
 
 
 def test_chains_ties_long_runs_and_letters(frame):
-    texts = ["abcdef " * 3, "abcdefg " * 6, "abcdefgh " * 12 + "abcdefgx " * 12, "ÀÉÿ÷×é " * 5, "ÀÉÿ÷×e " * 12]
+    texts = ["abcdef " * 4, "abcdefg " * 12, "abcdefgh " * 30 + "abcdefgx " * 30, "ÀÉÿ÷×é " * 5, "ÀÉÿ÷×e " * 12]
     texts += ["q" * 70 + " " + "q" * 71, ("q" * 70 + " ") * 8 + ("q" * 71 + " ") * 3, "ABCDEF1ABCDEF", None, ""]
     rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
     got = {tuple(r) for r in spelling.spelling_variants(frame(rows)).collect()}
