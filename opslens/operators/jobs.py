@@ -94,7 +94,8 @@ def expand_schedule(
 ) -> DataFrame:
     """Run times of daily and weekly schedules between two dates, both included.
 
-    A schedule of another kind gives one row without a run time and with a ``problem``.  At most one row per minute and day comes out of a schedule, whatever its settings.
+    A schedule of another kind gives one row without a run time and with a ``problem``.  At most one row per
+    minute and day comes out of a schedule, whatever its settings.
     """
     start_day, end_day = F.lit(str(first)).cast("date"), F.lit(str(last)).cast("date")
     s = schedules

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions import all_of
 
+
 def lookup(
     df: DataFrame,
     table: DataFrame,

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import concat_nullsafe, holds, like_ci, quotename
+from opslens.operators.ranking import numbered
+from opslens.sources.workdir import reliable_checkpoint
 
 # Principal type codes.
 GROUP_USER = "G"
@@ -154,7 +156,9 @@ def role_gap(
     missing user gets no add-member command either, because it would fail.
 
     ``scope`` names the server columns of all four; ``database`` those that tell databases apart among
-    users and their roles.  With it the gap is judged in every database that has users.
+    users and their roles.  With it the gap is judged in every database that has users.  The logins
+    of a server then are numbered, and 64 of them compared at once: the word of those that have the role in a
+    database is taken from the word of those wanted.  So logins are never paired with databases that hold them.
     """
     members = (
         logins.where(F.col("type").isin(*MAPPABLE_TYPES) & like_ci("name", login_like))
@@ -166,11 +170,8 @@ def role_gap(
         .select(*scope, "sid", F.col("name").alias("login_name"))
     )
     inside = [*scope, *database]
-    if database:
-        if not scope:
-            raise ValueError("database columns need the server columns in scope")
-        # Every login meets every database of its server: that is the report.
-        members = members.join(users.select(*inside).distinct(), list(scope))
+    if database and not scope:
+        raise ValueError("database columns need the server columns in scope")
     with_role = (
         users.where(F.col("type").isin(*MAPPABLE_TYPES))
         .join(
@@ -194,6 +195,8 @@ def role_gap(
             quotename(F.coalesce("user_name", "login_name")),
         ),
     )
+    if database:
+        members = _without_role(members, with_role, users.select(*inside).distinct(), scope, inside)
     return (
         members.join(with_role, [*inside, "sid"], "left")
         .where(~holds(F.col("has_role")))
@@ -207,6 +210,29 @@ def role_gap(
     )
 
 
+def _without_role(
+    members: DataFrame, with_role: DataFrame, databases: DataFrame, scope: Sequence[str], inside: Sequence[str]
+) -> DataFrame:
+    """Every wanted login with every database of its server in which it lacks the role.
+
+    A word of 64 logins that meets a database either shows a gap there, or as many members as it has logins.
+    """
+    scope, inside = list(scope), list(inside)
+    wanted = numbered(members, scope, [F.col("sid"), F.col("login_name")], "__number")
+    wanted = reliable_checkpoint(wanted)
+    word, bit = F.floor(F.col("__number") / 64).alias("__word"), (F.col("__number") % 64).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = wanted.groupBy(*scope, word).agg(F.bit_or(mask).alias("__wanted"))
+    holders = with_role.where("has_role").select(*inside, "sid").join(wanted, [*scope, "sid"])
+    have = holders.groupBy(*inside, word).agg(F.bit_or(mask).alias("__have"))
+    met = databases.join(words, scope).join(have, [*inside, "__word"], "left")
+    gaps = met.withColumn("__gap", F.col("__wanted").bitwiseAND(F.bitwise_not(F.coalesce("__have", F.lit(0).cast("long")))))
+    is_set = "filter(sequence(0, 63), b -> (shiftrightunsigned(__gap, b) & 1L) = 1L)"
+    open_ = gaps.where("__gap <> 0").select(*inside, "__word", F.explode(F.expr(is_set)).alias("__bit"))
+    open_ = open_.select(*inside, (F.col("__word") * 64 + F.col("__bit")).alias("__number"))
+    return open_.join(wanted, [*scope, "__number"]).drop("__number")
+
+
 def ag_job_steps(steps: DataFrame, replicated_databases: DataFrame) -> DataFrame:
     """T-SQL steps in replicated databases that do not yet check for the primary replica."""
     guarded = concat_nullsafe(

@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 
 from opslens.sources.workdir import reliable_checkpoint
 
-_POSITION = "__position"
-_RANGE = "__range"
+POSITION = "__position"
+RANGE = "__range"
 _RANGE_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """``row_number`` per key.  ``order`` has to be total within a key."""
-    rows = _in_ranges(df, keys, order)
-    before = _carry(rows.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("rows")), "rows")
-    first = F.shiftleft(F.col(_RANGE), _RANGE_BITS)
-    rows = rows.join(F.broadcast(before), _RANGE).withColumn(
-        name, F.col(_POSITION) - first + F.col("rows_before") + 1
+    rows = in_ranges(df, keys, order)
+    before = _carry(rows.groupBy(RANGE).agg(F.count(F.lit(1)).alias("rows")), "rows")
+    first = F.shiftleft(F.col(RANGE), _RANGE_BITS)
+    rows = rows.join(F.broadcast(before), RANGE).withColumn(
+        name, F.col(POSITION) - first + F.col("rows_before") + 1
     )
     if keys:
         starts = rows.groupBy(*keys).agg((F.min(name) - 1).alias("__start"))
@@ -40,16 +40,16 @@ def running_sum(
 
     As in SQL, NULL values add nothing and the total is NULL before a key's first value.
     """
-    rows = _in_ranges(df, keys, order)
+    rows = in_ranges(df, keys, order)
     total, known = F.coalesce(F.sum(value), F.lit(0)), F.count(value)
-    before = _carry(rows.groupBy(_RANGE).agg(total.alias("total"), known.alias("known")), "total", "known")
+    before = _carry(rows.groupBy(RANGE).agg(total.alias("total"), known.alias("known")), "total", "known")
     inside = (
-        Window.partitionBy(_RANGE)
-        .orderBy(_POSITION)
+        Window.partitionBy(RANGE)
+        .orderBy(POSITION)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = rows.select("*", F.sum(value).over(inside).alias(name), F.count(value).over(inside).alias("__known"))
-    rows = local.join(F.broadcast(before), _RANGE)
+    rows = local.join(F.broadcast(before), RANGE)
     rows = rows.withColumn(name, F.coalesce(name, F.lit(0)) + F.col("total_before")).withColumn(
         "__known", F.col("__known") + F.col("known_before")
     )
@@ -58,7 +58,7 @@ def running_sum(
         (F.col("__known") - F.col(value).isNotNull().cast("int")).alias("known"),
     )
     if keys:
-        starts = rows.groupBy(*keys).agg(F.min_by(opening, F.col(_POSITION)).alias("__start"))
+        starts = rows.groupBy(*keys).agg(F.min_by(opening, F.col(POSITION)).alias("__start"))
         rows = _join_keys(rows, starts, keys)
         own, count = F.col(name) - F.col("__start.total"), F.col("__known") - F.col("__start.known")
     else:
@@ -66,24 +66,24 @@ def running_sum(
     return rows.withColumn(name, F.when(count > 0, own)).select(*df.columns, name)
 
 
-def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Globally sorted rows with their range and position.
 
     Checkpointed, because the position is read by several branches and must
     stay the same when a lost task is run again.
     """
     ordered = df.orderBy(*[F.col(k) for k in keys], *order)
-    placed = ordered.withColumn(_POSITION, F.monotonically_increasing_id())
+    placed = ordered.withColumn(POSITION, F.monotonically_increasing_id())
     return reliable_checkpoint(
-        placed.withColumn(_RANGE, F.shiftright(F.col(_POSITION), _RANGE_BITS))
+        placed.withColumn(RANGE, F.shiftright(F.col(POSITION), _RANGE_BITS))
     )
 
 
 def _carry(totals: DataFrame, *columns: str) -> DataFrame:
     """Totals of all earlier ranges: one row per sort partition, hence small and bounded."""
-    earlier = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
-        _RANGE, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in columns]
+        RANGE, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in columns]
     )
 
 

@@ -131,85 +131,92 @@ def space_report(
 
     An unknown type falls back to type 1, the flat file list.  The levels use
     different measures (drive totals of type 2 are maxima of the volume, the
-    rest are sums), so they are three aggregates stacked, not one rollup.
+    rest are sums).  Each file is expanded into its row of every level and all levels are grouped at
+    once, so the files are read and shuffled once; the rows of the upper levels combine before that.
     """
     space = file_space(files, drive_letters, databases, scope=scope)
     if report_type not in (2, 3):
         return resize_advice(space)
     by_drive = report_type == 2
-    blank = F.lit("")
-
-    detail = resize_advice(space).select(
-        *scope,
-        F.lit(1).alias("detail_type"),
-        concat_nullsafe("        --> ", F.col("file_name")).alias("label"),
-        "drive_letter", "database_name", *_MEASURES,
-        F.col("used_perc").cast("decimal(12,2)").alias("used_perc"),
-        "group_name", F.col("type_desc").alias("file_type"), "file_name",
-        "shrink_command", "expand_command", "physical_name",
-    )
-
-    empty = [
-        blank.alias(c)
-        for c in ("group_name", "file_type", "file_name", "shrink_command", "expand_command", "physical_name")
-    ]
-    # A file of size zero counts as one MB in the denominator, as in the single-file ratio.
-    base = space.withColumn(
-        "total_or_one", F.when(F.col("total_mb") == 0, F.lit(1)).otherwise(F.col("total_mb"))
+    levels = _levels(space, by_drive, scope)
+
+    kind, file = F.col("level.detail_type"), F.col("level.file")
+    is_file, is_database, is_drive = (kind == k for k in (1, 2, 3))
+    name, drive = F.col("level.database_name"), F.col("level.drive_letter")
+    volume = F.col("level.logical_volume_name")
+    volume = F.when(F.length(volume) > 0, concat_nullsafe("(", volume, ")"))
+    label = (
+        F.when(is_file, concat_nullsafe("        --> ", file["file_name"]))
+        .when(is_database, concat_nullsafe("   --> " if by_drive else "", name))
+        .otherwise(concat_nullsafe("" if by_drive else "   --> ", drive, ": ", volume))
     )
 
-    database_keys = ["database_name", "drive_letter"] if by_drive else ["database_name"]
-    per_database = (
-        base.groupBy(*scope, *database_keys)
-        .agg(*_sums(), F.sum("total_or_one").alias("whole"))
-        .select(
-            *scope,
-            F.lit(2).alias("detail_type"),
-            concat_nullsafe("   --> " if by_drive else "", F.col("database_name")).alias("label"),
-            F.col("drive_letter") if by_drive else blank.alias("drive_letter"),
-            "database_name", *_MEASURES,
-            _used_perc(F.col("used_mb"), F.col("whole")).alias("used_perc"),
-            *empty,
-        )
-    )
+    def measure(m: str) -> Column:
+        upper = F.col(m)
+        if by_drive:
+            upper = F.when(is_drive, F.col(f"disk_{m}")).otherwise(upper)
+        return F.when(is_file, file[m]).otherwise(upper).cast(TOTAL_MB).alias(m)
 
-    drive_keys = ["drive_letter", "logical_volume_name"] + ([] if by_drive else ["database_name"])
+    whole = _used_perc(F.col("used_mb"), F.col("whole"))
     if by_drive:
-        measures = [
-            F.max("disk_total_mb").cast(TOTAL_MB).alias("total_mb"),
-            F.max("disk_used_mb").cast(TOTAL_MB).alias("used_mb"),
-            F.max("disk_free_mb").cast(TOTAL_MB).alias("free_mb"),
-            F.max("disk_used_perc").cast("decimal(12,2)").alias("used_perc"),
-        ]
-    else:
-        measures = [*_sums(), _used_perc(F.sum("used_mb"), F.sum("total_or_one")).alias("used_perc")]
-    volume = F.when(
-        F.length("logical_volume_name") > 0, concat_nullsafe("(", F.col("logical_volume_name"), ")")
-    )
-    per_drive = (
-        base.groupBy(*scope, *drive_keys)
-        .agg(*measures)
-        .select(
-            *scope,
-            F.lit(3).alias("detail_type"),
-            concat_nullsafe("" if by_drive else "   --> ", F.col("drive_letter"), ": ", volume).alias("label"),
-            "drive_letter",
-            blank.alias("database_name") if by_drive else F.col("database_name"),
-            *_MEASURES, "used_perc",
-            *empty,
-        )
-    )
-
+        whole = F.when(is_drive, F.col("disk_used_perc").cast("decimal(12,2)")).otherwise(whole)
+    used_perc = F.when(is_file, file["used_perc"].cast("decimal(12,2)")).otherwise(whole).alias("used_perc")
+    # A row of the flat list that occurs twice is shown twice.
+    repeats = F.explode(F.sequence(F.lit(1), F.when(is_file, F.col("files").cast("int")).otherwise(1)))
+    report = levels.select(
+        *scope,
+        kind.alias("detail_type"),
+        label.alias("label"),
+        F.when(is_database & F.lit(not by_drive), "").otherwise(drive).alias("drive_letter"),
+        F.when(is_drive & F.lit(by_drive), "").otherwise(name).alias("database_name"),
+        *[measure(m) for m in _MEASURES],
+        used_perc,
+        *[
+            F.when(is_file, file[c]).otherwise("").alias(a)
+            for c, a in (("group_name", "group_name"), ("type_desc", "file_type"), ("file_name", "file_name"))
+        ],
+        repeats.alias("__repeat"),
+        F.when(is_file, file["physical_name"]).otherwise("").alias("physical_name"),
+    ).drop("__repeat")
+    commands = ("shrink_command", "expand_command")
+    report = resize_advice(report).drop("shrink_target_mb", "expand_target_gb")
+    report = report.withColumns({c: F.when(F.col("detail_type") == 1, F.col(c)).otherwise("") for c in commands})
     return (
-        detail.unionByName(per_database)
-        .unionByName(per_drive)
-        .withColumn("total_text", F.format_number(F.round("total_mb", 0), 0))
+        report.withColumn("total_text", F.format_number(F.round("total_mb", 0), 0))
         .withColumn("used_text", F.format_number(F.floor("used_mb"), 0))
         .withColumn("free_text", F.format_number(F.round("free_mb", 0), 0))
         .withColumn("used_perc_text", concat_nullsafe(F.col("used_perc"), "%"))
     )
 
 
+def _levels(space: DataFrame, by_drive: bool, scope: Sequence[str]) -> DataFrame:
+    """Files, databases and drives with their totals, from one grouping over the key of each level."""
+    file_columns = ("database_id", "file_id", "file_name", "type_desc", "group_name", "physical_name", *_MEASURES, "used_perc")
+    file = F.struct(*file_columns)
+    none = F.lit(None)
+
+    def level(detail_type: int, database: bool, drive: bool, volume: bool) -> Column:
+        return F.struct(
+            F.lit(detail_type).alias("detail_type"),
+            (F.col("database_name") if database else none.cast("string")).alias("database_name"),
+            (F.col("drive_letter") if drive else none.cast("string")).alias("drive_letter"),
+            (F.col("logical_volume_name") if volume else none.cast("string")).alias("logical_volume_name"),
+            F.when(F.lit(detail_type == 1), file).alias("file"),
+        )
+
+    keys = F.array(level(1, True, True, False), level(2, True, by_drive, False), level(3, not by_drive, True, True))
+    # A file of size zero counts as one MB in the denominator, as in the single-file ratio.
+    one = F.when(F.col("total_mb") == 0, F.lit(1)).otherwise(F.col("total_mb"))
+    expanded = space.withColumn("total_or_one", one).withColumn("level", F.explode(keys))
+    return expanded.groupBy(*scope, "level").agg(
+        *_sums(),
+        F.sum("total_or_one").alias("whole"),
+        F.max("disk_used_perc").alias("disk_used_perc"),
+        F.count(F.lit(1)).alias("files"),
+        *[F.max(f"disk_{m}").alias(f"disk_{m}") for m in _MEASURES],
+    )
+
+
 def report_order(report_type: int = 2) -> list[str]:
     """Columns that sort a layered report for display."""
     levels = ["drive_letter", "database_name"] if report_type == 2 else ["database_name", "drive_letter"]

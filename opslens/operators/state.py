@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from opslens.functions import any_of, concat_nullsafe, holds, quotename
 from opslens.operators.ranking import numbered, running_sum
+from opslens.sources.parts import (
+    PART,
+    bucket_of,
+    commit,
+    group_of,
+    listing,
+    read_parts,
+    versions,
+    write_parts,
+)
 
 
 def merge_state(
@@ -64,6 +75,51 @@ def apply_changes(changes: DataFrame, keys: Sequence[str], measures: Sequence[st
     )
 
 
+def upsert(
+    current: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    measures: Sequence[str],
+    scope: Sequence[str] = (),
+    groups: int = 64,
+    buckets: int = 16,
+) -> list[str]:
+    """Bring a state table up to date with a poll, and rewrite only the buckets in which something changed.
+
+    ``scope`` names the key columns that tell what was polled (the database): rows of other databases stay, and
+    their buckets are not even read.  Returns the buckets that were rewritten.  The first look compares keys
+    and measures only to find these; only they are read again and written.
+    """
+    spark = current.sparkSession
+    rows = current.select(*keys, *measures)
+    schema = rows.schema
+    bucket = bucket_of(scope, keys, groups, buckets)
+    listed = listing(spark, path)
+    there = sorted({p for t, p in listed if t == "rows"})
+    if scope:
+        polled = {r[0] for r in rows.select(group_of(scope, groups)).distinct().collect()}
+        there = [p for p in there if p.partition("-")[0] in polled]
+    marks = rows.select(*scope).distinct() if scope else None
+    known = read_parts(spark, path, "rows", schema, there, listed)
+    changes = merge_state(known, rows, keys, measures, marks)
+    changed = changes.where("action <> 'KEEP'").select(bucket.alias(PART)).distinct()
+    touched = sorted(r[0] for r in changed.collect())
+    if not touched:
+        return []
+    old = read_parts(spark, path, "rows", schema, touched, listed)
+    new = rows.where(bucket.isin(touched))
+    after = apply_changes(merge_state(old, new, keys, measures, marks), keys, measures)
+    version = max(versions(spark, path), default=0) + 1
+    write_parts(after.withColumn(PART, bucket), path, "rows", version)
+    commit(spark, path, version, ["rows"], touched)
+    return touched
+
+
+def read_state(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest version of a table that ``upsert`` keeps."""
+    return read_parts(spark, path, "rows", schema)
+
+
 def index_inventory(index_stats: DataFrame, index_keys: Sequence[str]) -> DataFrame:
     """Uncompressed index partitions with the page and partition totals of their index.
 

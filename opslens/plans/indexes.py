@@ -24,16 +24,18 @@ from opslens.operators.maintenance import (
 )
 from opslens.operators.selection import select_by_spec
 from opslens.operators.state import (
-    apply_changes,
     compression_worklist,
     cumulative,
     index_inventory,
     mark_done,
     merge_state,
+    read_state,
+    upsert,
     within_budget,
 )
 from opslens.plans.inputs import Inputs
 from opslens.plans.registry import query
+from opslens.sources.workdir import fresh_path
 
 KEYS = ["database_id", "object_id", "partition_number"]
 MEASURES = ["row_cnt", "page_count", "data_compression"]
@@ -63,7 +65,11 @@ def q_merge_state(t: Inputs) -> DataFrame:
       data_compression FROM v_index_now""",
 )
 def q_merge_apply(t: Inputs) -> DataFrame:
-    return apply_changes(merge_state(t.index_prev, t.index_now, KEYS, MEASURES), KEYS, MEASURES)
+    """A state table written from one poll and brought up to date with the next, bucket by bucket."""
+    path = fresh_path(t.spark, "index-state")
+    upsert(t.index_prev, path, KEYS, MEASURES)
+    upsert(t.index_now, path, KEYS, MEASURES)
+    return read_state(t.spark, path, t.index_now.select(*KEYS, *MEASURES).schema)
 
 
 @query(

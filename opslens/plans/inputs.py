@@ -362,6 +362,34 @@ SELECT concat('Q', o_orderkey) AS database_name, o_orderkey AS database_order,
 FROM {orders}
 """
 
+# Requests are polled on the hour, sessions every two hours, seven minutes earlier.
+VIEWS["v_request_poll"] = """
+SELECT concat('S', o_custkey % 7) AS server_id,
+  CAST('2024-01-01 00:00:00' AS {ts}) + INTERVAL '1' HOUR * CAST(o_orderkey % 9 AS INT) AS snapshot_ts,
+  o_orderkey AS request_id, o_custkey % 97 AS session_id, concat('DB', o_custkey % 25) AS database_name,
+  CASE o_orderstatus WHEN 'F' THEN 'BACKUP DATABASE' WHEN 'O' THEN 'SELECT' ELSE 'RESTORE LOG' END AS command
+FROM {orders}
+"""
+
+VIEWS["v_session_poll"] = """
+SELECT DISTINCT concat('S', l_suppkey % 7) AS server_id,
+  CAST('2024-01-01 00:53:00' AS {ts}) + INTERVAL '1' HOUR * CAST(l_linenumber * 2 AS INT) AS snapshot_ts,
+  l_suppkey % 97 AS session_id, concat('L', l_suppkey % 97, '-', l_linenumber) AS login_name,
+  l_linenumber % 3 AS open_transaction_count
+FROM {lineitem} WHERE (l_suppkey + l_linenumber) % 5 <> 0
+"""
+
+# Items of the selection lists of five servers, some thousands at scale.
+VIEWS["v_list_item"] = """
+SELECT c_custkey % 5 AS server_id, c_custkey AS position, CASE c_custkey % 9
+    WHEN 0 THEN concat(upper(n_name), '_', c_custkey + 20) WHEN 1 THEN concat(' ', substr(n_name, 1, 3), '%', c_custkey % 100)
+    WHEN 2 THEN concat('%_', c_custkey) WHEN 3 THEN concat('%', lower(substr(n_name, 2, 4)), '%', c_custkey % 10, '%')
+    WHEN 4 THEN concat('-%9', c_custkey % 100) WHEN 5 THEN concat('[', n_name, '_', c_custkey, ']')
+    WHEN 6 THEN concat('-', n_name, '_', c_custkey) WHEN 7 THEN concat('%', c_custkey % 1000, '%')
+    ELSE CASE WHEN c_custkey % 5 = 3 THEN '-SYSTEM_DATABASES' ELSE concat('A_', n_name) END END AS item
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+"""
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 

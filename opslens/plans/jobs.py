@@ -18,10 +18,12 @@ from opslens.operators.jobs import (
 from opslens.operators.selection import order_databases, select_by_spec
 from opslens.plans.inputs import EVENTS_AS_OF, Inputs
 from opslens.plans.registry import query
-from opslens.sources import log_finish, log_start, read_snapshot, sink_append
-from opslens.sources.sinks import pair_log
+from opslens.sources import close_polls, log_finish, log_start, read_snapshot, write_polls
+from opslens.sources.sinks import advance_pairs, pair_log, read_pairs
 from opslens.sources.workdir import fresh_path
 
+EVENTS_MIDDLE = "2024-01-16"
+
 
 @query(
     "q_cmdlog_outcome",
@@ -114,19 +116,32 @@ def q_queue_sync(t: Inputs) -> DataFrame:
     return queue_sync(queue, order_databases(chosen, "DATABASE_NAME_ASC"))
 
 
-@query(
-    "q_cmdlog_roundtrip",
-    """SELECT id, database_name, command_type, concat(command_type, ' ', database_name) AS command_text, start_time, end_time,
-      CAST(CASE WHEN end_time IS NOT NULL THEN error_number END AS BIGINT) AS error_number FROM v_command_log""",
-)
+_PAIRED = """SELECT id, database_name, command_type, concat(command_type, ' ', database_name) AS command_text, start_time, end_time,
+      CAST(CASE WHEN end_time IS NOT NULL THEN error_number END AS BIGINT) AS error_number FROM v_command_log"""
+
+
+@query("q_cmdlog_roundtrip", _PAIRED)
 def q_cmdlog_roundtrip(t: Inputs) -> DataFrame:
     """Start and finish events appended to a log, read back and paired."""
+    return pair_log(t.spark.read.parquet(_written_log(t))).drop("error_message")
+
+
+@query("q_cmdlog_advance", _PAIRED)
+def q_cmdlog_advance(t: Inputs) -> DataFrame:
+    """The same pairs from a table that is brought up to date three times, from new days and open starts."""
+    log, path = _written_log(t), fresh_path(t.spark, "command-pairs")
+    for until in ("2024-01-10", EVENTS_MIDDLE, "2024-04-01"):
+        advance_pairs(t.spark, log, path, until)
+    return read_pairs(t.spark, path).drop("error_message")
+
+
+def _written_log(t: Inputs) -> str:
     log, path = t.command_log, fresh_path(t.spark, "command-log")
     text = F.concat_ws(" ", "command_type", "database_name")
     log_start(log.withColumn("command_text", text), path, F.col("start_time"))
     finished = log.where(F.col("end_time").isNotNull()).withColumn("error_message", F.lit(None).cast("string"))
     log_finish(finished, path, F.col("end_time"))
-    return pair_log(t.spark.read.parquet(path)).drop("error_message")
+    return path
 
 
 @query(
@@ -136,7 +151,10 @@ def q_cmdlog_roundtrip(t: Inputs) -> DataFrame:
       WHERE q.server_id = p.server_id AND q.snapshot_ts <= TIMESTAMP '{EVENTS_AS_OF}')""",
 )
 def q_snapshot_scan(t: Inputs) -> DataFrame:
-    """Polls written as a collector would, and the last one of each server read back."""
+    """Polls of thirty days written with their manifest, the first half closed; the last one of each server read back."""
     path = fresh_path(t.spark, "polls")
-    sink_append(t.poll, path, ("snapshot_date",))
+    middle = F.lit(EVENTS_MIDDLE).cast("date")
+    write_polls(t.poll.where(F.col("snapshot_date") < middle), path)
+    write_polls(t.poll.where(F.col("snapshot_date") >= middle), path)
+    close_polls(t.spark, path, EVENTS_MIDDLE)
     return read_snapshot(t.spark, "log_space", path, EVENTS_AS_OF).drop("snapshot_date")

@@ -17,6 +17,7 @@ from opslens.operators.principals import (
     wrong_default_schema,
     wrong_domain,
 )
+from opslens.operators.selection import require_nonempty
 from opslens.plans.inputs import Inputs
 from opslens.plans.registry import query
 from opslens.sources import for_each_partition_of
@@ -130,6 +131,38 @@ def q_role_gap(t: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "q_role_gap_all",
+    """WITH m AS (SELECT principal_id % 3 AS server_id, sid, name FROM v_login WHERE type IN ('S', 'U') AND in_server_role),
+      u AS (SELECT principal_id * 2 % 3 AS server_id, principal_id % 40 AS database_id, sid, name, type, in_db_role FROM v_dbuser),
+      d AS (SELECT DISTINCT server_id, database_id FROM u)
+    SELECT d.server_id, d.database_id, m.name AS login_name, u.name AS user_name,
+      CASE WHEN u.name IS NULL THEN concat('CREATE USER [', m.name, '] FOR LOGIN [', m.name, ']') END AS create_user_command,
+      concat('ALTER ROLE [db_monitor] ADD MEMBER [', coalesce(u.name, m.name), ']') AS add_member_command
+    FROM d JOIN m ON m.server_id = d.server_id LEFT JOIN u
+      ON u.server_id = d.server_id AND u.database_id = d.database_id AND u.sid = m.sid AND u.type IN ('S', 'U')
+    WHERE u.name IS NULL OR NOT u.in_db_role""",
+)
+def q_role_gap_all(t: Inputs) -> DataFrame:
+    """The gap in every database of three servers."""
+    logins = t.login.withColumn("server_id", F.col("principal_id") % 3)
+    users = t.dbuser.withColumns(
+        {"server_id": F.col("principal_id") * 2 % 3, "database_id": F.col("principal_id") % 40}
+    )
+    member = F.col("principal_id").alias("member_principal_id")
+    holders = logins.where("in_server_role")
+    require_nonempty(holders, "nobody has the server role")
+    return role_gap(
+        logins,
+        holders.select("server_id", member),
+        users,
+        users.where("in_db_role").select("server_id", "database_id", member),
+        "db_monitor",
+        scope=["server_id"],
+        database=["database_id"],
+    )
+
+
 @query(
     "q_ag_job_steps",
     """SELECT job_name, CAST(step_id AS BIGINT) AS step_id, database_name,

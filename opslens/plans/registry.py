@@ -27,6 +27,7 @@ _MODULES = (
     "backup",
     "jobs",
     "streams",
+    "polls",
 )
 
 

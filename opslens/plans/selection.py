@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import safe_name
+from opslens.operators.patterns import select_by_list
 from opslens.operators.selection import (
     command_for_each,
     duplicate_names,
@@ -41,6 +42,27 @@ def q_select_databases(t: Inputs) -> DataFrame:
     return _selected(t).select("database_id", "name", "start_position")
 
 
+_LISTS = """WITH items AS (SELECT server_id, position, trim(item) AS text FROM v_list_item),
+  parsed AS (SELECT server_id, position, NOT starts_with(text, '-') AS include, ltrim(text, '-') AS body FROM items),
+  patterns AS (SELECT server_id, position, include, body = 'SYSTEM_DATABASES' AS is_system,
+    CASE WHEN body = 'SYSTEM_DATABASES' THEN '%' ELSE replace(trim(body, '[]'), '_', '$_') END AS pattern FROM parsed),
+  matched AS (SELECT d.database_id, min(CASE WHEN include THEN position END) AS start_position, bool_or(NOT include) AS gone
+    FROM v_database d JOIN patterns p ON p.server_id = d.database_id % 5 AND d.name ILIKE p.pattern ESCAPE '$'
+      AND (NOT is_system OR d.database_type = 'S') GROUP BY d.database_id)"""
+
+
+@query(
+    "q_select_by_server",
+    f"""{_LISTS} SELECT d.database_id % 5 AS server_id, d.database_id, d.name, m.start_position
+    FROM v_database d JOIN matched m ON m.database_id = d.database_id WHERE m.start_position IS NOT NULL AND NOT m.gone""",
+)
+def q_select_by_server(t: Inputs) -> DataFrame:
+    """A selection list for every server, from a table of items."""
+    databases = t.database.withColumn("server_id", F.col("database_id") % 5)
+    chosen = select_by_list(databases, t.list_item, scope=["server_id"], type_column="database_type").where("selected")
+    return chosen.select("server_id", "database_id", "name", "start_position")
+
+
 @query(
     "q_select_groups",
     """SELECT database_id, name, concat('AG_', n_regionkey) AS group_name,

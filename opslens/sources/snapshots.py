@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.functions.expr import ts
+from opslens.sources.manifest import has_manifest, read_newest
 from opslens.sources.schemas import SCHEMAS
 
 
@@ -21,7 +22,7 @@ def scan_all(
     servers: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every poll of one kind over the whole fleet; date and server prune partitions."""
-    df = spark.read.schema(SCHEMAS[kind]).parquet(path)
+    df = spark.read.schema(SCHEMAS[kind]).parquet(path).drop("write")
     if since is not None:
         df = df.where(F.col("snapshot_date") >= F.lit(str(since)).cast("date"))
     if until is not None:
@@ -41,9 +42,12 @@ def read_snapshot(
 ) -> DataFrame:
     """The last poll of each server, not later than ``as_of``.
 
-    The last polls come from a scan of the key columns alone.  Their dates are join keys, so that the scan
-    of the rows skips the other dates' folders.  Polls before ``since`` (default: none) are left out.
+    A table written by ``write_polls`` has a manifest, and only the files of those polls are read.  For
+    other tables they come from a scan of the key columns up to ``as_of``, which ``since`` shortens; polls before it
+    are left out.
     """
+    if has_manifest(spark, path):
+        return read_newest(spark, kind, path, as_of, servers, since)
     polls = scan_all(spark, kind, path, since=since, until=str(as_of)[:10], servers=servers).where(
         F.col("snapshot_ts") <= ts(as_of)
     )

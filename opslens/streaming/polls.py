@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 from opslens.functions import as_event_time, as_wall_clock
 from opslens.operators.snapshots import snapshot_retention
+from opslens.sources.folders import names
+from opslens.sources.parts import PART, commit, listing, part_of, read_parts, versions, write_parts
 from opslens.sources.workdir import fresh_path
 
 # Settings a stream is started with: state outside the heap, written as changes, and session
@@ -46,19 +48,29 @@ def activity_windows(
     """Requests, waits and blocked requests per tumbling or sliding window.
 
     Counts combine before the shuffle, so a busy database costs one row per
-    task and window.
+    task and window.  A sliding window is put together from panes, tumbling windows as long as the slide,
+    which have to divide the window: an event is counted once, in its pane, and only finished panes are added
+    to the windows that hold them.
     """
-    bucket = F.window(time, window, slide) if slide else F.window(time, window)
-    return (
+    pane = F.window(time, slide or window)
+    counted = (
         activity.withColumn(time, as_event_time(time))
         .withWatermark(time, delay)
-        .groupBy(bucket.alias("w"), *keys)
+        .groupBy(pane.alias("w"), *keys)
         .agg(
             F.count(F.lit(1)).alias("requests"),
             F.count_if("is_waiting").alias("waits"),
             F.count_if("is_blocked").alias("blocked"),
         )
-        .select(
+    )
+    if slide:
+        _check_panes(window, slide)
+        counts = ("requests", "waits", "blocked")
+        counted = counted.groupBy(F.window(F.window_time("w"), window, slide).alias("w"), *keys).agg(
+            *[F.sum(c).alias(c) for c in counts]
+        )
+    return (
+        counted.select(
             as_wall_clock("w.start").alias("window_start"),
             as_wall_clock("w.end").alias("window_end"),
             *keys,
@@ -69,6 +81,21 @@ def activity_windows(
     )
 
 
+def _check_panes(window: str, slide: str) -> None:
+    length, step = _duration(window), _duration(slide)
+    if not step or length % step:
+        raise ValueError(f"a window of {window} is no whole number of slides of {slide}")
+
+
+def _duration(text: str) -> timedelta:
+    """A duration such as ``1 day 12 hours``, in units of fixed length."""
+    words = text.split()
+    units = [w.lower().rstrip("s") + "s" for w in words[1::2]]
+    if len(words) % 2 or not set(units) <= {"weeks", "days", "hours", "minutes", "seconds", "milliseconds"}:
+        raise ValueError(f"not a duration: {text}")
+    return sum((timedelta(**{u: int(n)}) for n, u in zip(words[::2], units, strict=True)), timedelta())
+
+
 def blocked_episodes(
     polls: DataFrame,
     gap: str = "2 hours",
@@ -171,29 +198,29 @@ def retention_on_trigger(
     """Decide retention on every trigger over the newest poll of each server.
 
     ``snapshots`` are polls: rows with ``snapshot_ts`` and the server columns ``scope``.  Only the rows of
-    a server's newest poll count, one per snapshot, and that poll's time is the clock.  What a trigger
-    leaves is written once under its batch id, so a repeated batch replaces itself, and the
-    next trigger reads that version only: its work follows the current set, not the history.
-    Returns the decisions of the last trigger; none before the first poll.
+    a server's newest poll count, one per snapshot, and that poll's time is the clock.  State and decisions are
+    kept in a part for each server.  A trigger reads and rewrites those of the servers in its batch, both
+    under its batch id, so its work follows the batch and a repeated batch replaces itself.
+    Returns the decisions of every server's last trigger; none before the first poll.
     """
     spark = snapshots.sparkSession
     path = path or fresh_path(spark, label)
     schema = snapshots.schema
-    state, decided = f"{path}/state", f"{path}/decided"
-    done: list[int] = _versions(spark, state)
+    tables = ["state", "decided"]
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        earlier = [v for v in done if v < batch_id]
-        polls = batch
-        if earlier:
-            kept = session.read.schema(schema).parquet(f"{state}/version={earlier[-1]}")
-            polls = kept.unionByName(batch)
-        newest_poll(polls, scope).write.mode("overwrite").parquet(f"{state}/version={batch_id}")
-        current = session.read.schema(schema).parquet(f"{state}/version={batch_id}")
+        rows = batch.withColumn(PART, part_of(scope))
+        touched = [r[0] for r in rows.select(PART).distinct().collect()]
+        if batch_id in versions(session, path) or not touched:
+            return
+        kept = read_parts(session, path, "state", schema, touched, listing(session, path))
+        polls = newest_poll(kept.unionByName(batch), scope)
+        write_parts(polls.withColumn(PART, part_of(scope)), path, "state", batch_id)
+        current = session.read.schema(schema).parquet(*_written(session, path, "state", batch_id))
         decisions = snapshot_retention(current, files(), F.col("snapshot_ts"), scope=scope, **limits)
-        decisions.write.mode("overwrite").parquet(f"{decided}/version={batch_id}")
-        done[:] = [*earlier, batch_id]
+        write_parts(decisions.withColumn(PART, part_of(scope)), path, "decided", batch_id)
+        commit(session, path, batch_id, tables, touched)
 
     query = (
         snapshots.writeStream.foreachBatch(on_batch)
@@ -202,10 +229,13 @@ def retention_on_trigger(
         .start()
     )
     query.awaitTermination()
-    if done:
-        return spark.read.parquet(f"{decided}/version={done[-1]}")
-    nothing = spark.createDataFrame([], schema)
-    return snapshot_retention(nothing, files(), F.col("snapshot_ts"), scope=scope, **limits)
+    nothing = snapshot_retention(spark.createDataFrame([], schema), files(), F.col("snapshot_ts"), scope=scope, **limits)
+    return read_parts(spark, path, "decided", nothing.schema) if versions(spark, path) else nothing
+
+
+def _written(spark: SparkSession, path: str, table: str, version: int) -> list[str]:
+    folder = f"{path}/{table}/version={version}"
+    return [f"{folder}/{n}" for n in names(spark, folder) if n.startswith(f"{PART}=")]
 
 
 def newest_poll(polls: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -214,13 +244,3 @@ def newest_poll(polls: DataFrame, scope: Sequence[str]) -> DataFrame:
     last = polls.groupBy(*keys).agg(F.max("snapshot_ts").alias("snapshot_ts"))
     newest = polls.join(last, [*keys, "snapshot_ts"], "left_semi")
     return newest.dropDuplicates([*keys, "source_database_id", "database_id"])
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions below a folder, oldest first."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(place):
-        return []
-    names = [f.getPath().getName() for f in store.listStatus(place)]
-    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))

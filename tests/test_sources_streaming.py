@@ -7,7 +7,7 @@ from opslens.operators.jobs import cmdlog_outcome
 from opslens.operators.sessions import sessions_all, who
 from opslens.plans.inputs import AS_OF, Inputs
 from opslens.sources import SCHEMAS, for_each_partition_of, log_finish, log_start, read_snapshot, scan_all, sink_append
-from opslens.sources.sinks import pair_log
+from opslens.sources.sinks import advance_pairs, pair_log, read_pairs
 from opslens.sources.workdir import work_dir
 from opslens.streaming import (
     activity_windows,
@@ -66,6 +66,39 @@ def test_command_log_round_trip(spark, tmp_path, rows):
     ]
 
 
+def test_pairs_advance_by_new_days_and_open_starts(spark, tmp_path, rows):
+    log, path = str(tmp_path / "log"), str(tmp_path / "pairs")
+    plan = "id long, database_name string, command_type string, command_text string"
+    done = "id long, error_number int, error_message string"
+
+    def start(day, *ids):
+        log_start(spark.createDataFrame([(i, "d", "KILL", f"KILL {i}") for i in ids], plan), log, f"2024-01-{day} 10:00:00")
+
+    def finish(day, *ids):
+        log_finish(spark.createDataFrame([(i, i % 2, None) for i in ids], done), log, f"2024-01-{day} 11:00:00")
+
+    start("01", 1, 2, 3)
+    finish("01", 1)
+    advance_pairs(spark, log, path, "2024-01-02")
+    start("02", 4)
+    finish("02", 2, 4)
+    finish("03", 9)  # its start was never logged
+    advance_pairs(spark, log, path, "2024-01-03")
+    before = {str(f) for f in (tmp_path / "pairs" / "finished").rglob("*.parquet")}
+    advance_pairs(spark, log, path, "2024-01-03")  # repeated: nothing to do
+    assert {str(f) for f in (tmp_path / "pairs" / "finished").rglob("*.parquet")} == before
+    found = rows(read_pairs(spark, path), "id", F.dayofmonth("start_time"), F.dayofmonth("end_time"), "error_number")
+    assert found == [(1, 1, 1, 1), (2, 1, 2, 0), (3, 1, None, None), (4, 2, 2, 0)]
+
+    # The next run opens the files of the open starts and of the new days, and no others.
+    start("03", 5)
+    finish("04", 5, 3)
+    advance_pairs(spark, log, path, "2024-01-06")
+    read = {str(f) for f in (tmp_path / "pairs" / "finished").rglob("*.parquet")}
+    assert before < read and all("part=d20240103" in f or "part=d20240104" in f for f in read - before)
+    assert rows(read_pairs(spark, path)) == rows(pair_log(spark.read.parquet(log)))
+
+
 def test_one_query_over_matching_databases(spark, rows):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "database_id long, v string")
     databases = spark.createDataFrame([(1, True), (2, False)], "database_id long, is_read_only boolean")
