@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import concat_nullsafe
@@ -13,6 +13,8 @@ from opslens.operators.selection import eq_filters, like_filters
 from opslens.sources.workdir import reliable_checkpoint
 
 ARROW = " <-- "
+#: Ids that travel with a session; a power of two.
+BLOCK = 64
 
 
 def blocking_chains(
@@ -26,9 +28,10 @@ def blocking_chains(
     Pointer doubling: each round every open session adopts the pointer of the
     session it points to, so a chain of depth d closes in log2(d) joins instead
     of d.  Sessions in a cycle, or whose blocker is gone, never reach a root
-    and do not appear; the loop ends when a round reaches no new root.  Only
-    ids travel through the rounds; each round writes the sessions still open, which
-    cuts the lineage.
+    and do not appear; the loop ends when a round reaches no new root.
+
+    No text travels through the rounds, only ids: besides root and pointer the last ``BLOCK`` ids at most.  The chain of
+    a session deeper than that is put together afterwards, once, from the blocks of its ancestors.
     """
     scope = list(scope)
     ident = F.col(session).cast("long")
@@ -41,20 +44,19 @@ def blocking_chains(
         F.when(is_root, ident).alias("root"),
         F.when(~is_root, parent).alias("pointer"),
         F.when(is_root, 0).otherwise(1).cast("long").alias("level"),
-        F.when(is_root, "").otherwise(F.concat(F.lit(ARROW), ident.cast("string"))).alias("tail"),
+        F.array(ident).alias("ids"),
     )
     state = reliable_checkpoint(state)
     rooted = [state.where(F.col("root").isNotNull())]
     open_ = state.where(F.col("root").isNull())
+    blocks, reach = None, 1
     while not open_.isEmpty():
-        target = reduce(DataFrame.unionByName, [*rooted, open_]).select(
-            *scope,
-            F.col("id").alias("pointer"),
-            F.col("root").alias("t_root"),
-            F.col("pointer").alias("t_pointer"),
-            F.col("level").alias("t_level"),
-            F.col("tail").alias("t_tail"),
-        )
+        if reach == BLOCK:
+            blocks = open_.select(*scope, "id", F.col("pointer").alias("up"), "ids")
+        everyone = reduce(DataFrame.unionByName, [*rooted, open_])
+        target = everyone.select(*scope, F.col("id").alias("pointer"), *_named("t_", "root", "pointer", "level", "ids"))
+        # Every open session is ``reach`` levels below its pointer.  Once that is a block, ids no longer grow.
+        ids = F.concat("t_ids", "ids") if reach < BLOCK else F.lit(None).cast("array<long>")
         stepped = open_.join(target, [*scope, "pointer"]).select(
             *scope,
             "id",
@@ -62,7 +64,7 @@ def blocking_chains(
             F.col("t_root").alias("root"),
             F.col("t_pointer").alias("pointer"),
             (F.col("t_level") + F.col("level")).alias("level"),
-            F.concat("t_tail", "tail").alias("tail"),
+            ids.alias("ids"),
         )
         stepped = reliable_checkpoint(stepped)
         arrived = stepped.where(F.col("root").isNotNull())
@@ -70,13 +72,62 @@ def blocking_chains(
             break
         rooted.append(arrived)
         open_ = stepped.where(F.col("root").isNull())
-    return reduce(DataFrame.unionByName, rooted).select(
+        reach *= 2
+    chains = reduce(DataFrame.unionByName, rooted)
+    near = F.array_join(F.transform("ids", lambda i: i.cast("string")), ARROW)
+    if blocks is None:
+        chains = chains.select("*", near.alias("blocking_chain"))
+    else:
+        shallow = chains.where(F.col("ids").isNotNull()).select("*", near.alias("blocking_chain"))
+        deep = chains.where(F.col("ids").isNull())
+        chains = shallow.unionByName(deep.join(_long_chains(deep, shallow, blocks, scope), [*scope, "id"]))
+    return chains.select(
         *scope,
         F.col("id").alias(session),
         F.col("blocker").alias(blocker),
         F.col("root").alias("root_session_id"),
         "level",
-        F.concat(F.col("root").cast("string"), F.col("tail")).alias("blocking_chain"),
+        "blocking_chain",
+    )
+
+
+def _named(prefix: str, *columns: str) -> list[Column]:
+    return [F.col(c).alias(f"{prefix}{c}") for c in columns]
+
+
+def _long_chains(deep: DataFrame, shallow: DataFrame, blocks: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Chain texts of sessions below the first ``BLOCK`` levels.
+
+    ``blocks`` has the last ids of a session and, as ``up``, the ancestor that stands before them.  All such
+    ancestors of a session, at most one for each block of its chain, come from doubling
+    again, on ids; then their texts are collected, each by the session it belongs to.
+    """
+    scope = list(scope)
+    step = reliable_checkpoint(blocks.drop("ids").join(deep.select(*scope, "id"), [*scope, "id"], "left_semi"))
+    above = step.select(*scope, "id", F.lit(1).cast("long").alias("far"), "up")
+    reach = 1
+    while True:
+        further = step.select(*scope, F.col("id").alias("up"), F.col("up").alias("t_up"))
+        onward = above.join(further, [*scope, "up"])
+        onward = onward.select(*scope, "id", (F.col("far") + reach).alias("far"), F.col("t_up").alias("up"))
+        onward = reliable_checkpoint(onward)
+        if onward.isEmpty():
+            break
+        above = above.unionByName(onward)
+        step = step.select(*scope, "id", F.col("up").alias("middle")).join(
+            step.select(*scope, F.col("id").alias("middle"), "up"), [*scope, "middle"]
+        )
+        step = reliable_checkpoint(step.select(*scope, "id", "up"))
+        reach *= 2
+    own = F.array_join(F.transform("ids", lambda i: i.cast("string")), ARROW).alias("text")
+    texts = blocks.select(*scope, F.col("id").alias("up"), own).unionByName(
+        shallow.select(*scope, F.col("id").alias("up"), F.col("blocking_chain").alias("text"))
+    )
+    self_ = deep.select(*scope, "id", F.lit(0).cast("long").alias("far"), F.col("id").alias("up"))
+    pieces = above.unionByName(self_).join(texts, [*scope, "up"])
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("far")).alias("far"), "text")))
+    return pieces.groupBy(*scope, "id").agg(
+        F.array_join(F.transform(ordered, lambda p: p["text"]), ARROW).alias("blocking_chain")
     )
 
 
