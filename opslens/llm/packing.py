@@ -10,32 +10,35 @@ once more through the same steps together with those of other blocks.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
-from sys import byteorder
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.store import batch, row_ids, saved
+from opslens.llm.text import chunks
 
 CAPACITY = 2048
 END_ID = 0
 BLOCK = 4096
 ISLANDS = 3
 EPOCHS = 2
-GENERATIONS = 4
+GENERATIONS = 6
 POPULATION = 4
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a worker keeps at hand.
-CACHE_WORDS = 250_000
+#: Ids of words that a worker keeps at hand, distinct pieces of words, and the greatest length of these.
+CACHE_IDS = 1 << 23
+CACHE_PARTS = 300_000
+CACHE_LENGTH = 64
+#: New words that are sorted in among the others together.
+LEVEL = 1 << 16
 
 _PIECES = pa.schema(
     [
@@ -56,31 +59,42 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _letters_of_bytes() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: visible ones for themselves, then from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+_LETTER_OF_BYTE = _letters_of_bytes()
+
+
 class WordIds:
-    """Token ids of texts, looked up word by word.
+    """Token ids of texts, gathered with numpy from those of their distinct words.
 
     The tokenizer's pieces never span ASCII white space, so a text's ids are those of its words in a row.
-    Words of plain Latin letters, digits and marks are split into pieces here, as the tokenizer would, and each new
-    piece goes to the tokenizer's model; any other word goes through the whole tokenizer.
+    Words are told apart by 64-bit hashes.  New ones are learned together: plain words of Latin letters, digits and marks
+    are split into pieces here, as the tokenizer would, and each new piece goes to the tokenizer's
+    model; any other word goes through the whole tokenizer.
     """
 
     _made: dict[str, WordIds] = {}
 
-    #: Latin characters that normalisation leaves alone, without white space, controls and special tokens.
-    _plain = re.compile(r"(?:(?!<\|)[\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f])+")
-    #: Fixed value: the tokenizer's own split, for lower-case text.
-    _split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    #: Lines with more than Latin characters that normalisation leaves alone, or with the start of a special token.
+    _odd = re.compile(r"^[^\n]*?(?:<\||[^\n\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f])[^\n]*$", re.MULTILINE)
+    #: Fixed value: the tokenizer's own split, for lower-case text of those characters; and the ends of words.
+    _letters = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    _digits = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    _split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_digits}]|[^\s{_letters}{_digits}]+|\n")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
-        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, list[int]] = {}
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -88,35 +102,87 @@ class WordIds:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            mapped = part if part.isascii() else self.as_bytes.pre_tokenize_str(part)[0][0]
-            ids = self.parts[part] = _raw(t.id for t in self.tokenize(mapped))
-        return ids
-
-    def __call__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self._plain.fullmatch(text):
-            ids = b"".join(map(self._part, self._split.findall(text.lower())))
-        else:
-            ids = _raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        self.words[word] = ids
+    def _forget(self) -> None:
+        self.ids = np.zeros(0, "<u4")
+        # Sorted hashes with the places of their ids: all that was learned, and what was learned since it was sorted.
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.levels = [nothing, nothing]
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and counts in ``ids`` of distinct hashes; a count of -1 where unknown."""
+        starts, counts = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1)
+        for known, first, size in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                starts[hit], counts[hit] = first[at[hit]], size[at[hit]]
+        return starts, counts
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        if len(self.ids) > CACHE_IDS:
+            self._forget()
+        found = self._learned(words)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), "<u4", int(sizes.sum()))
+        first = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, flat])
+        new = hashes, first, sizes
+        self.levels[1] = _sorted(self.levels[1], new)
+        if len(self.levels[1][0]) > LEVEL:
+            self.levels = [_sorted(*self.levels), tuple(a[:0] for a in new)]
+
+    def _learned(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of new words, in their order."""
+        texts = [w.decode() for w in words]
+        odd = set(self._odd.findall("\n".join(texts)))
+        plain = self._split_up("\n".join(t for t in texts if t not in odd))
+        whole = self.tokenizer.encode
+        return [whole(t, add_special_tokens=False).ids if t in odd else next(plain) for t in texts]
+
+    def _split_up(self, lines: str) -> Iterator[list[int]]:
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        get, ids = self.parts.get, []
+        for part in self._split.findall(lines.lower()):
+            if part == "\n":
+                yield ids
+                ids = []
+            else:
+                ids = ids + (get(part) or self._part(part))
+        yield ids
+
+    def _part(self, part: str) -> list[int]:
+        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTER_OF_BYTE)
+        ids = [t.id for t in self.tokenize(mapped)]
+        if len(part) <= CACHE_LENGTH:
+            self.parts[part] = ids
         return ids
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        get = self.words.get
-        for text in texts:
-            yield b"".join([get(w) or self(w) for w in text.split()])
-
-
-def _raw(ids: Iterable[int]) -> bytes:
-    return array("I", ids).tobytes() if byteorder == "little" else np.fromiter(ids, "<u4").tobytes()
+    def encode(self, column: pa.Array) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text; null is empty."""
+        for words in chunks(column, lower=False):
+            distinct, where, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+            starts, counts = self._places(distinct)
+            new = np.flatnonzero(counts < 0)
+            if len(new):
+                data, spans = words.data.tobytes(), where[new]
+                pairs = zip(words.starts[spans].tolist(), words.ends[spans].tolist(), strict=True)
+                self._learn(distinct[new], [data[a:z] for a, z in pairs])
+                starts, counts = self._places(distinct)
+                if (counts < 0).any():  # learning began anew
+                    self._learn(distinct, [data[a:z] for a, z in zip(words.starts[where], words.ends[where], strict=True)])
+                    starts, counts = self._places(distinct)
+            sizes = counts[back]
+            ends = np.cumsum(sizes)
+            ids = self.ids[np.repeat(starts[back] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+            bounds = (4 * np.concatenate([[0], ends])[words.bounds]).tolist()
+            yield from (ids[a:z] for a, z in itertools.pairwise(bounds))
+
+
+def _sorted(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    both = [np.concatenate(pair) for pair in zip(one, other, strict=True)]
+    order = np.argsort(both[0], kind="stable")
+    return tuple(a[order] for a in both)
 
 
 def _pieces(path: str):
@@ -124,9 +190,8 @@ def _pieces(path: str):
         ids, words, end = row_ids(), WordIds.of(path), np.uint32(END_ID).tobytes()
         step = 4 * CAPACITY
         for b in batches:
-            texts = [t or b"" for t in b["text"].cast(pa.binary()).to_pylist()]
             rows = []
-            for doc_id, raw in zip(b["doc_id"].to_pylist(), words.encode(texts), strict=True):
+            for doc_id, raw in zip(b["doc_id"].to_pylist(), words.encode(b["text"]), strict=True):
                 rid, raw = next(ids), raw + end
                 for piece, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
@@ -179,21 +244,22 @@ def _by_size(items: np.ndarray, lengths: np.ndarray, draw: np.random.Generator,
     return items[np.argsort(-lengths[items] * (1 + blur * draw.random(len(items))), kind="stable")]
 
 
-def _fresh(lengths: np.ndarray, draw: np.random.Generator, blur: float) -> Packing:
+def _fresh(lengths: np.ndarray, draw: np.random.Generator) -> Packing:
+    """Best fit of the items in random order."""
     bins = np.zeros(len(lengths), np.int64)
-    best_fit(bins, np.zeros(0, np.int64), _by_size(np.arange(len(lengths)), lengths, draw, blur), lengths)
+    best_fit(bins, np.zeros(0, np.int64), draw.permutation(len(lengths)), lengths)
     return Packing(bins, lengths)
 
 
 def crossover(into: Packing, source: Packing, lengths: np.ndarray, draw: np.random.Generator) -> Packing:
-    """A child of ``into`` with some of the fullest bins of ``source``."""
+    """A child of ``into`` with some of the fullest bins of ``source``, and without its own emptiest quarter."""
     weights = source.loads / CAPACITY + draw.random(len(source.loads)) * 0.05
     chosen = np.argsort(-weights)[: max(1, len(weights) // 4)]
     chosen = chosen[draw.random(len(chosen)) < 0.5]
     injected = np.isin(source.bins, chosen)
     hit = np.zeros(len(into.loads), bool)
     hit[into.bins[injected]] = True
-    worst = np.argsort(into.loads)[: 1 + int(draw.integers(3))]
+    worst = np.argsort(into.loads)[: len(into.loads) // 4 + 1]
     hit[worst] = True
     displaced = np.flatnonzero(hit[into.bins] & ~injected)
     bins = into.bins.astype(np.int64)
@@ -202,27 +268,28 @@ def crossover(into: Packing, source: Packing, lengths: np.ndarray, draw: np.rand
     # Injected bins keep their contents; they are numbered after the others.
     added = np.zeros(len(source.loads), np.int64)
     added[chosen] = source.loads[chosen]
-    best_fit(bins, np.concatenate([loads, added]), _by_size(displaced, lengths, draw, 0.1), lengths)
+    best_fit(bins, np.concatenate([loads, added]), _by_size(displaced, lengths, draw, 0.02), lengths)
     return Packing(bins, lengths)
 
 
 def evolve(lengths: np.ndarray, elites: list[np.ndarray], seed: list[int]) -> Packing:
-    """One island's epoch, from the elites that live there; ends early at the lower bound."""
+    """One island's epoch, from the elites that live there and packings in no particular order.
+
+    Every epoch breeds at least one generation; it ends early at the lower bound.
+    """
     draw = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // CAPACITY)
     people = [Packing(e, lengths) for e in elites]
     while len(people) < POPULATION:
-        people.append(_fresh(lengths, draw, 0.0 if not people else 0.2))
-        if len(people[-1].loads) == least:
-            return people[-1]
+        people.append(_fresh(lengths, draw))
     for _ in range(GENERATIONS):
         people.sort(key=lambda p: p.worth, reverse=True)
-        if len(people[0].loads) <= least:
-            break
         people = people[:POPULATION]
         for _ in range(POPULATION // 2):
             a, b = draw.choice(len(people), 2, replace=False)
             people.append(crossover(people[a], people[b], lengths, draw))
+        if min(len(p.loads) for p in people) <= least:
+            break
     return max(people, key=lambda p: p.worth)
 
 

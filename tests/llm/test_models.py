@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import base_scores, measures, secret_spans, sha, water_fill, words
 from conftest import prose
@@ -207,13 +208,10 @@ def test_quality_measures(frame, messy, empty):
 
 def test_windows_that_share_a_hash_are_counted_by_words(frame, messy, monkeypatch):
     """With a hash of one value every window collides; the words decide."""
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(quality_rules, "_packed", lambda i: i.cast("long"))
     rows = [r for r in messy if len(words(r[1])) < 400]
     found = quality_rules.measure(frame(rows, clash=False), ["doc_id"]).collect()
     assert Counter((r.doc_id, r.n_repeat_words) for r in found) == Counter((r[0], measures(r[1])[4]) for r in rows)
-    assert F.lit(0) is not None
 
 
 def test_limits_follow_the_group(frame):
@@ -289,19 +287,53 @@ def test_word_ids_equal_the_tokenizer_on_odd_texts():
     path = packing.tokenizer_path()
     plain, ours = Tokenizer.from_file(path), packing.WordIds(path)
     for text in ("", " ", "a\x0bb c\x0cd", "don't <|endoftext|>x", "é ́x a\xa0b c\x85d ΑΣ İ", "漢字 😀 ＡＢ１２ 3.14"):
-        ids = np.frombuffer(next(ours.encode([text.encode()])), "<u4").tolist()
+        ids = np.frombuffer(next(ours.encode(pa.array([text]))), "<u4").tolist()
         assert ids == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_stay_right_when_words_are_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_IDS", 50)
+    monkeypatch.setattr(packing, "CACHE_PARTS", 20)
+    monkeypatch.setattr(packing, "LEVEL", 7)
+    path, draw = packing.tokenizer_path(), random.Random(8)
+    plain, ours = Tokenizer.from_file(path), packing.WordIds(path)
+    for _ in range(6):
+        texts = [None, "", *(prose(draw, 40, "abé'1—") for _ in range(5)), "x" * 5000]
+        got = [np.frombuffer(i, "<u4").tolist() for i in ours.encode(pa.array(texts))]
+        assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_islands_improve_and_keep_every_item():
     draw = np.random.default_rng(7)
     lengths = draw.integers(500, 1100, 400).astype(np.int32)
-    first = packing._fresh(lengths, draw, 0.2)
-    child = packing.crossover(first, packing._fresh(lengths, draw, 0.2), lengths, draw)
+    first = packing._fresh(lengths, draw)
+    child = packing.crossover(first, packing._fresh(lengths, draw), lengths, draw)
     for p in (first, child):
         assert np.bincount(p.bins, lengths).max() <= packing.CAPACITY and len(p.bins) == 400
     best = packing.evolve(lengths, [first.bins], [1, 2, 3])
-    assert best.worth >= first.worth
+    assert best.worth > first.worth
+
+
+def test_every_epoch_breeds_and_nears_the_bound(monkeypatch):
+    """Nothing is packed by size at first; the bins go down from crossover to crossover."""
+    made = []
+    breed = packing.crossover
+
+    def counted(into, source, lengths, draw):
+        made.append((len(into.loads), len((child := breed(into, source, lengths, draw)).loads)))
+        return child
+
+    monkeypatch.setattr(packing, "crossover", counted)
+    draw = np.random.default_rng(3)
+    lengths = np.minimum(draw.geometric(1 / 500, 3000), 2047).astype(np.int32)
+    least = -(-int(lengths.sum()) // packing.CAPACITY)
+    best = packing.evolve(lengths, [], [1, 0, 0])
+    assert len(made) >= packing.POPULATION // 2
+    assert len(best.loads) <= made[0][0] - 5
+    again = packing.evolve(lengths, [best.bins], [1, 0, 1])
+    assert len(made) > packing.POPULATION // 2 and len(again.loads) <= len(best.loads) <= least + 3
 
 
 def _pages():
