@@ -14,8 +14,10 @@ import itertools
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from sys import byteorder
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ GENERATIONS = 6
 POPULATION = 4
 TOKENIZER = "word_bpe_49k.json"
 #: Ids of words that a worker keeps at hand, distinct pieces of words, and the greatest length of these.
-CACHE_IDS = 1 << 23
-CACHE_PARTS = 300_000
+CACHE_IDS = 1 << 21
+CACHE_PARTS = 150_000
 CACHE_LENGTH = 64
 #: New words that are sorted in among the others together.
 LEVEL = 1 << 16
@@ -122,8 +124,8 @@ class WordIds:
         if len(self.ids) > CACHE_IDS:
             self._forget()
         found = self._learned(words)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), "<u4", int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
         first = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate([self.ids, flat])
         new = hashes, first, sizes
@@ -131,29 +133,29 @@ class WordIds:
         if len(self.levels[1][0]) > LEVEL:
             self.levels = [_sorted(*self.levels), tuple(a[:0] for a in new)]
 
-    def _learned(self, words: list[bytes]) -> list[list[int]]:
+    def _learned(self, words: list[bytes]) -> list[bytes]:
         """Ids of new words, in their order."""
         texts = [w.decode() for w in words]
         odd = set(self._odd.findall("\n".join(texts)))
         plain = self._split_up("\n".join(t for t in texts if t not in odd))
         whole = self.tokenizer.encode
-        return [whole(t, add_special_tokens=False).ids if t in odd else next(plain) for t in texts]
+        return [_raw(whole(t, add_special_tokens=False).ids) if t in odd else next(plain) for t in texts]
 
-    def _split_up(self, lines: str) -> Iterator[list[int]]:
+    def _split_up(self, lines: str) -> Iterator[bytes]:
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
         get, ids = self.parts.get, []
         for part in self._split.findall(lines.lower()):
             if part == "\n":
-                yield ids
+                yield b"".join(ids)
                 ids = []
             else:
-                ids = ids + (get(part) or self._part(part))
-        yield ids
+                ids.append(get(part) or self._part(part))
+        yield b"".join(ids)
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         mapped = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTER_OF_BYTE)
-        ids = [t.id for t in self.tokenize(mapped)]
+        ids = _raw([t.id for t in self.tokenize(mapped)])
         if len(part) <= CACHE_LENGTH:
             self.parts[part] = ids
         return ids
@@ -179,6 +181,10 @@ class WordIds:
             yield from (ids[a:z] for a, z in itertools.pairwise(bounds))
 
 
+def _raw(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 def _sorted(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     both = [np.concatenate(pair) for pair in zip(one, other, strict=True)]
     order = np.argsort(both[0], kind="stable")
