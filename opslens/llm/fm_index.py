@@ -50,7 +50,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array of ``text``, in order at least to ``depth`` symbols (prefix doubling)."""
     n = len(text)
     rank = text.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     done = 1
     while True:
         placed = rank[order]
@@ -62,7 +62,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         follow = np.zeros(n, np.int64)
         follow[: n - done] = rank[done:] + 1
         rank = rank * (n + 1) + follow
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         done *= 2
 
 

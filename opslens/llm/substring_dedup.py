@@ -19,6 +19,7 @@ are counted by digest instead, over all tasks.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,11 +161,11 @@ def _masks(anchor: np.ndarray, digest: np.ndarray, starts: list[np.ndarray]) ->
 
 def search_shard(segments: pd.DataFrame) -> pd.DataFrame:
     """``anchor, digest, mask``: bit j of ``mask`` is set when the segment's window j occurs twice or more."""
-    split = [b.split() for b in segments["body"]]
-    numbers: dict[bytes, int] = {}
-    texts = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int64) for words in split]
+    found = list(chunks(pa.array(segments["body"], pa.binary()), lower=False))
+    distinct, symbols = np.unique(np.concatenate([words.hashes for words in found]), return_inverse=True)
+    texts = np.split(symbols + 1, np.cumsum(np.concatenate([words.sizes() for words in found]))[:-1])
     weights = segments["n"].to_numpy(np.int64)
-    index = FMIndex(texts, weights, len(numbers) + 1, LENGTH)
+    index = FMIndex(texts, weights, len(distinct) + 1, LENGTH)
     # A segment that occurs twice as a whole needs no search.
     whole = weights >= 2
     alone = np.flatnonzero(~whole)
@@ -256,27 +257,34 @@ _RESULT = pa.schema(
 )
 
 
-def covered_words(n: int, marks: list[dict] | None) -> np.ndarray:
-    """Words of n that lie in a marked window."""
-    edges = np.zeros(n + 1, np.int64)
-    for m in marks or ():
-        starts = m["first"] + np.flatnonzero([m["mask"] >> j & 1 for j in range(m["mask"].bit_length())])
-        np.add.at(edges, starts, 1)
-        np.add.at(edges, starts + LENGTH, -1)
-    return np.cumsum(edges[:-1]) > 0
+def covered_words(sizes: np.ndarray, marks: pa.ListArray) -> np.ndarray:
+    """Words that lie in a marked window, over texts of ``sizes`` words one after the other."""
+    base = np.cumsum(sizes) - sizes
+    owner = np.repeat(base, marks.value_lengths().fill_null(0).to_numpy())
+    flat = marks.flatten()
+    first, mask = flat.field("first").to_numpy(), flat.field("mask").to_numpy()
+    mark, window = np.nonzero((mask[:, None] >> np.arange(_SPAN)) & 1)
+    starts = owner[mark] + first[mark] + window
+    total = int(sizes.sum())
+    edges = np.bincount(starts, minlength=total + 1) - np.bincount(starts + LENGTH, minlength=total + 1)
+    return np.cumsum(edges[:total]) > 0
 
 
 def _strip(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            rows = []
-            for doc_id, body, marks in zip(b["doc_id"].to_pylist(), b["body"], b["marks"].to_pylist(), strict=True):
-                words = unpack.decompress(body.as_py()).split()
-                gone = covered_words(len(words), marks)
-                kept = b" ".join(words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+            split = [unpack.decompress(body.as_py()).split() for body in b["body"]]
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            gone = covered_words(sizes, b["marks"])
+            rows, end = [], 0
+            for doc_id, words in zip(b["doc_id"].to_pylist(), split, strict=True):
+                own = gone[end : end + len(words)]
+                end += len(words)
+                removed = int(own.sum())
+                kept = b" ".join(itertools.compress(words, (~own).tolist()) if removed else words)
                 text = kept.decode() if with_text else None
-                rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), text))
+                rows.append((doc_id, len(words), removed, hashlib.sha256(kept).hexdigest(), text))
             if rows:
                 yield batch(dict(zip(_RESULT.names, zip(*rows, strict=True), strict=True)), _RESULT)
 
@@ -291,7 +299,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, hot_segments: int =
     all once it has ``LENGTH`` words.  An empty table gives no rows.
     """
     keyed = _keyed(docs)
-    every = occurrences(keyed)
+    every = saved(occurrences(keyed), "occurrences")
     # Written first: a join of two shuffles can split a hot anchor, one below an aggregate cannot.
     often = saved(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "often")
     places = saved(every.join(often, "anchor", "left_semi"), "places")

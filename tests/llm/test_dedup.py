@@ -210,3 +210,25 @@ def test_substring_dedup(frame, messy, empty, hot):
     )
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in found) == expected
     assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_covered_words_of_several_texts():
+    marks = [
+        [{"first": 0, "mask": 0b101}, {"first": 40, "mask": 1 << 27}],
+        None,
+        [],
+        [{"first": 5, "mask": 1}, {"first": 5, "mask": 0b11}],
+    ]
+    sizes = np.array([110, 50, 0, 41])
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("mask", pa.int64())]))
+    got = substring_dedup.covered_words(sizes, pa.array([None, *marks], kind).slice(1))
+    want = []
+    for n, own in zip(sizes, marks, strict=True):
+        gone = [False] * n
+        for m in own or ():
+            for j in range(28):
+                if m["mask"] >> j & 1:
+                    at = m["first"] + j
+                    gone[at : at + 35] = [True] * 35
+        want += gone
+    assert got.tolist() == want
