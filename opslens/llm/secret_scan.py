@@ -30,6 +30,8 @@ LINES = 2
 MIN_NOVEL = 16
 #: Marginal compressed bytes per byte of the string.
 LEAST_NOVELTY = 0.7
+#: The same for strings of words, where each known word still costs some bytes.
+LEAST_WORDS = 0.85
 
 # The patterns of the contract.
 _ASSIGN = re.compile(
@@ -53,6 +55,10 @@ _IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_]{4,}")
 #: Words inside a long identifier.
 _PIECE = re.compile(rb"(?<![A-Za-z])[A-Za-z][a-z]{4,14}(?![a-z])|(?<=[a-z])[A-Z][a-z]{4,14}(?![a-z])")
 
+#: Words of two letters or more in one case, or with a capital, and marks between them: names of paths, constants, classes.
+_WORDS = re.compile(rb"[^A-Za-z0-9]*(?:(?:[A-Z]?[a-z]{2,15}|[A-Z]{2,15}(?![a-z]))[^A-Za-z0-9]*)+$")
+_WORD = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
 Span = tuple[int, str, int]
 
 
@@ -108,8 +114,12 @@ def novel_spans(text: bytes, base: list[Span], packer: zstandard.ZstdCompressor)
     for start, end in _candidates(text):
         if not _LETTER.search(text, start, end) or any(s < end and start < e for s, _, e in base):
             continue
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-        if novelty(text[start:end], before, packer, after) >= LEAST_NOVELTY:
+        string, before, after = text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        least = LEAST_NOVELTY
+        if _WORDS.match(string):  # told by its words, whatever their case
+            string, before, after = (b" ".join(_WORD.findall(t)).lower() for t in (string, before, after))
+            least = LEAST_WORDS
+        if novelty(string, before, packer, after) >= least:
             found.append((start, "novel", end))
     return found
 
@@ -144,6 +154,8 @@ def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     end = len(text) if end < 0 else end
                     found = _IDENTIFIER.findall(text, start, end)
                     counts.update(p for w in found for p in (_PIECE.findall(w) if len(w) >= MIN_NOVEL else [w]))
+                    named = (w for w in found if _WORDS.match(w))
+                    counts.update(p.lower() for w in named for p in _WORD.findall(w) if len(p) > 3)
         if counts:
             yield pa.RecordBatch.from_pydict(
                 {"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())}
