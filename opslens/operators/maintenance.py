@@ -562,6 +562,17 @@ def index_command(
 # ---------------------------------------------------------------- statistics
 
 
+# The version from which memory-optimized tables keep their statistics up to date and take samples,
+# and the engine editions that do so whatever their version.
+SAMPLED_MEMORY_VERSION = 13
+CLOUD_EDITIONS = (5, 8)
+
+
+def is_old_engine(version: str = "version", engine_edition: str = "engine_edition") -> Column:
+    """Whether memory-optimized tables need their statistics updated always, and only FULLSCAN or RESAMPLE works."""
+    return ~(holds(F.col(version) >= SAMPLED_MEMORY_VERSION) | holds(F.col(engine_edition).isin(*CLOUD_EDITIONS)))
+
+
 def choose_stats_update(
     rows: DataFrame,
     update: str | None = "ALL",
@@ -569,8 +580,9 @@ def choose_stats_update(
     only_modified: bool = False,
     modification_level: int | None = None,
     partition_level: bool = False,
+    old_engine: Column | None = None,
 ) -> DataFrame:
-    """Add ``update_statistics``.
+    """Add ``update_statistics``.  With ``old_engine`` (see ``is_old_engine``) also is_memory_optimized is looked at.
 
     Columns: stats_id, index_id, index_type, index_action, is_partition,
     partition_number, partition_count, is_incremental, row_cnt, modification_counter.
@@ -599,6 +611,8 @@ def choose_stats_update(
         due = holds(rate >= modification_level) | (
             (changed > 0) & (changed >= F.sqrt(F.col("row_cnt") * 1000.0))
         )
+    if old_engine is not None:
+        due = holds(due) | (holds(F.col("is_memory_optimized")) & old_engine)
     rebuilt = F.col("index_action").isin(REBUILD_ONLINE, REBUILD_OFFLINE)
     uncovered = ~F.col("is_partition") & ~holds(rebuilt)
     last = F.col("partition_number") == F.col("partition_count")
@@ -611,11 +625,15 @@ def choose_stats_update(
 
 
 def stats_mode(
-    sample: int | None = None, resample: bool = False, partition_level: bool = False
+    sample: int | None = None,
+    resample: bool = False,
+    partition_level: bool = False,
+    old_engine: Column | None = None,
 ) -> Column:
     """FULLSCAN, SAMPLE n PERCENT, RESAMPLE, or NULL for the server default.
 
-    Incremental statistics of a partition only support RESAMPLE.
+    Incremental statistics of a partition only support RESAMPLE, memory-optimized tables of an old engine
+    only that and FULLSCAN.
     """
     parts = []
     if sample is not None:
@@ -623,6 +641,8 @@ def stats_mode(
     if resample:
         parts.append("RESAMPLE")
     plain = F.lit(", ".join(parts) or None).cast("string")
+    if old_engine is not None and sample != 100:
+        plain = F.when(holds(F.col("is_memory_optimized")) & old_engine, F.lit("RESAMPLE")).otherwise(plain)
     incremental = F.lit(partition_level) & holds(F.col("is_incremental"))
     return F.when(incremental, F.lit("RESAMPLE")).otherwise(plain)
 

@@ -172,7 +172,7 @@ def with_child_tasks(
             F.col("wait_resource_text").alias("task_wait_resource"),
             _or_null(waits, "blocking_session_id", "long").alias("task_blocking_session_id"),
         )
-        expanded = left_join_hot(expanded, classified, wait_keys, null_keys=False)
+        expanded = expanded.join(classified, list(wait_keys), "left")  # no task is hot
     return expanded.unionByName(idle, allowMissingColumns=True)
 
 
@@ -246,11 +246,6 @@ def who(
         )
         s = s.join(c, by_session, "left" if restricted else "full")
     out = requests.join(s, by_session, "inner" if restricted else "left")
-    if batches is not None:
-        out = with_batch_text(out, batches, "left", scope).withColumn(
-            "executing_statement",
-            extract_statement("batch_text", "statement_start_offset", "statement_end_offset"),
-        )
     if grants is not None:
         out = with_memory(out, grants, scope)
     if groups is not None:
@@ -268,6 +263,11 @@ def who(
         out = out.join(task_count(tasks, by_request), by_request, "left").withColumn(
             "task_count", F.coalesce("task_count", F.lit(0))
         )
+    if batches is not None:  # last, so that no text goes through another join
+        out = with_batch_text(out, batches, "left", scope).withColumn(
+            "executing_statement",
+            extract_statement("batch_text", "statement_start_offset", "statement_end_offset"),
+        )
 
     out = (
         out.withColumn("elapsed_text", fmt_duration("total_elapsed_ms"))
@@ -279,6 +279,8 @@ def who(
         .withColumn("command_isolation", isolation_name("isolation_level"))
         .withColumn("session_isolation", isolation_name("session_isolation_level"))
     )
+    if "wait_time" in out.columns:
+        out = out.withColumn("wait_text", fmt_duration("wait_time"))
     return order_expr(where_expr(out, where, out.columns), order_by, out.columns)
 
 

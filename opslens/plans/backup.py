@@ -14,6 +14,7 @@ from opslens.operators.backup import (
     expired_files,
     latest_backup,
     stripe_plan,
+    unsafe_names,
     verify_status,
     with_roles,
 )
@@ -296,3 +297,16 @@ def q_last_check_order(t: Inputs) -> DataFrame:
     return order_by_last_check(databases, t.command_log).select(
         "database_id", "name", "last_command_time", "order_no"
     )
+
+
+_ODD_NAME = """CASE database_id % 5 WHEN 0 THEN concat('?*', chr(92), '/:') WHEN 1 THEN concat('<', name, '>') WHEN 2 THEN '| "'
+  ELSE name END"""
+
+
+@query(
+    "q_unsafe_names",
+    f"""SELECT database_id, name, concat('name has no file-system form: ', name) AS reason
+    FROM (SELECT database_id, {_ODD_NAME} AS name FROM v_database) d WHERE database_id % 5 IN (0, 2)""",
+)
+def q_unsafe_names(t: Inputs) -> DataFrame:
+    return unsafe_names(t.database.select("database_id", F.expr(_ODD_NAME).alias("name")))

@@ -17,6 +17,7 @@ from opslens.operators.maintenance import (
     index_comment,
     index_order,
     index_stats_catalog,
+    is_old_engine,
     is_partition,
     stats_command,
     stats_mode,
@@ -236,6 +237,39 @@ def q_stats_update(t: Inputs) -> DataFrame:
     )
 
 
+_OLD = "is_memory_optimized AND NOT (12 + object_id % 2 >= 13 OR object_id % 5 IN (0, 3))"
+
+
+@query(
+    "q_stats_update_old",
+    f"""WITH {_DECIDED}
+    SELECT database_id, object_id, CAST(partition_number AS BIGINT) AS partition_number, is_memory_optimized,
+      concat('UPDATE STATISTICS [', database_name, '].[dbo].[', object_name, '] [', index_name, '] WITH ',
+        CASE WHEN {_OLD} THEN 'RESAMPLE' ELSE 'SAMPLE 20 PERCENT' END,
+        CASE WHEN no_recompute THEN ', NORECOMPUTE' ELSE '' END) AS command_text
+    FROM decided WHERE index_type IN (1, 2, 3, 4, 7)
+      AND (modification_counter * 100 >= 50 * row_cnt OR (modification_counter > 0 AND modification_counter >= sqrt(row_cnt * 1000.0))
+        OR ({_OLD}))
+      AND CASE WHEN is_partition THEN partition_number = partition_count
+        ELSE coalesce(index_action NOT LIKE '%REBUILD%', true) END""",
+)
+def q_stats_update_old(t: Inputs) -> DataFrame:
+    """Servers of two versions and several editions; memory-optimized tables of the old ones have rules of their own."""
+    rows = choose_action(_with_partitions(t)).select(
+        "*",
+        F.lit(1).alias("index_id"),
+        F.lit(1).alias("stats_id"),
+        F.col("index_name").alias("stats_name"),
+        (12 + F.col("object_id") % 2).alias("version"),
+        F.when(F.col("object_id") % 5 == 0, 5).when(F.col("object_id") % 5 == 3, 8).otherwise(2).alias("engine_edition"),
+    )
+    old = is_old_engine()
+    chosen = choose_stats_update(rows, "ALL", modification_level=50, old_engine=old)
+    return chosen.where("update_statistics").select(
+        *KEYS, "is_memory_optimized", stats_command(stats_mode(sample=20, old_engine=old)).alias("command_text")
+    )
+
+
 # ---------------------------------------------------------------- catalogue
 
 _CATALOG_COLUMNS = [

@@ -390,6 +390,60 @@ SELECT c_custkey % 5 AS server_id, c_custkey AS position, CASE c_custkey % 9
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 """
 
+# Three servers that number their sessions alike, with every column of the activity report.
+_SERVER_SESSION = "({0} + 1) % 3 AS server_id, CAST(FLOOR(({0} + 1) / 3) AS BIGINT) AS session_id"
+
+VIEWS["v_wide_session"] = f"""
+SELECT {_SERVER_SESSION.format("c_custkey")}, c_name AS login_name,
+  CASE WHEN c_custkey % 4 = 0 THEN concat('ORIG-', c_custkey) ELSE NULL END AS original_login_name,
+  concat('HOST', c_nationkey) AS host_name, concat('app-', c_nationkey) AS program_name, c_mktsegment AS status,
+  c_custkey % 10 <> 0 AS is_user_process, CAST(c_custkey % 7 AS INT) AS isolation_level,
+  CAST(c_nationkey % 3 AS INT) AS open_transaction_count, CAST(c_custkey % 500 AS INT) AS memory_usage,
+  CAST('2024-01-01 00:00:00' AS {{ts}}) + INTERVAL '1' SECOND * CAST(c_custkey AS INT) AS login_time,
+  CAST(c_custkey % 9 AS INT) AS group_id, concat('10.0.', c_nationkey, '.', c_custkey % 250) AS client_net_address,
+  CASE WHEN c_custkey % 3 = 0 THEN 'Shared memory' ELSE 'TCP' END AS net_transport, 'SQL' AS auth_scheme
+FROM {{customer}}
+"""
+
+VIEWS["v_wide_request"] = f"""
+SELECT {_SERVER_SESSION.format("o_custkey")}, o_orderkey AS request_id, o_orderpriority AS status,
+  CASE o_orderstatus WHEN 'F' THEN 'BACKUP DATABASE' WHEN 'O' THEN 'SELECT' ELSE 'RESTORE LOG' END AS command,
+  concat('DB', o_custkey % 25) AS database_name,
+  CASE WHEN o_orderkey % 5 = 0 THEN CAST(FLOOR(o_custkey / 6) AS BIGINT) ELSE CAST(0 AS BIGINT) END AS blocking_session_id,
+  CAST(FLOOR(o_totalprice * 1000) AS BIGINT) AS total_elapsed_ms, CAST(FLOOR(o_totalprice * 10) AS BIGINT) AS cpu_ms,
+  CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'LCK_M_S' ELSE 'PAGEIOLATCH_SH' END AS wait_type,
+  CAST(FLOOR(o_totalprice * 7) AS BIGINT) AS wait_time, concat('LAST', o_orderkey % 5) AS last_wait_type,
+  concat('PAGE: 5:1:', o_orderkey) AS wait_resource, CAST(o_orderkey % 10000 AS DOUBLE) / 100 AS percent_complete,
+  o_orderkey % 9973 AS reads, o_orderkey % 31 AS writes, o_orderkey % 100003 AS logical_reads,
+  CAST(o_orderkey % 7 AS INT) AS isolation_level, o_orderdate AS start_time
+FROM {{orders}}
+"""
+
+VIEWS["v_wide_grant"] = f"""
+SELECT {_SERVER_SESSION.format("o_custkey")}, o_orderkey AS request_id, o_orderkey % 7919 AS requested_memory_kb,
+  o_orderkey % 7907 AS granted_memory_kb, o_orderkey % 7901 AS required_memory_kb, o_orderkey % 7883 AS used_memory_kb,
+  o_orderkey % 7879 AS max_used_memory_kb, o_orderkey % 7877 AS ideal_memory_kb, o_totalprice AS query_cost,
+  o_orderdate AS request_time, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderdate END AS grant_time
+FROM {{orders}} WHERE o_orderkey % 3 <> 0
+"""
+
+VIEWS["v_wide_task"] = f"""
+SELECT DISTINCT {_SERVER_SESSION.format("o_custkey")}, o_orderkey AS request_id, CAST(l_linenumber AS INT) AS exec_context_id,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'SUSPENDED' ELSE 'RUNNING' END AS task_state,
+  CAST(o_orderkey % 13 + l_linenumber AS INT) AS context_switches_count, CAST(l_linenumber % 4 AS INT) AS scheduler_id,
+  CAST(o_orderkey % 3 AS INT) AS pending_io_count, o_orderkey % 4096 AS pending_io_byte_count,
+  CAST(o_orderkey % 64 AS INT) AS pending_io_byte_average
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
+"""
+
+VIEWS["v_wide_wait"] = f"""
+SELECT DISTINCT {_SERVER_SESSION.format("o_custkey")}, CAST(l_linenumber AS INT) AS exec_context_id,
+  CASE l_linenumber % 3 WHEN 0 THEN 'PAGELATCH_SH' WHEN 1 THEN 'CXPACKET' ELSE 'LCK_M_X' END AS wait_type,
+  concat('5:1:', CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber * 8088 ELSE 3 END) AS resource_description,
+  CAST(FLOOR(o_custkey / 9) AS BIGINT) AS blocking_session_id
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
+"""
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 

@@ -228,6 +228,59 @@ def q_who_full(t: Inputs) -> DataFrame:
     )
 
 
+_WIDE = [
+    "server_id", "request_id", "session_id", "login_name", "executer", "host_name", "command", "status", "database_name",
+    "blocking_session_id", "elapsed_text", "cpu_text", "wait_type", "wait_text", "last_wait_type", "wait_resource",
+    "percent_complete_text", "command_isolation", "session_isolation", "memory_usage", "login_time", "reads", "writes",
+    "logical_reads", "start_time", "resource_pool", "client_net_address", "net_transport", "auth_scheme", "query_cost",
+    "request_time", "grant_time", "task_count", "exec_context_id", "task_state", "context_switches_count",
+    "scheduler_id", "pending_io_count", "pending_io_byte_count", "pending_io_byte_average", "task_wait_type",
+    "task_wait_resource", "task_blocking_session_id",
+]
+_WIDE_MEMORY = ["requested", "granted", "required", "used", "max_used", "ideal"]
+
+
+@query(
+    "q_who_wide",
+    f"""WITH counts AS (SELECT server_id, session_id, request_id, count(*) AS n FROM v_wide_task GROUP BY 1, 2, 3),
+    waits AS (SELECT *, CASE WHEN wait_type LIKE 'PAGE%' THEN CAST(split_part(resource_description, ':', 3) AS BIGINT) END AS p
+      FROM v_wide_wait),
+    classified AS (SELECT *, CASE WHEN p = 1 OR p % 8088 = 0 THEN '(Is PFS Page)' WHEN p = 2 OR p % 511232 = 0 THEN '(Is GAM Page)'
+      WHEN p = 3 OR (p - 1) % 511232 = 0 THEN '(Is SGAM Page)' ELSE '' END AS page_class FROM waits)
+    SELECT r.server_id, r.request_id, r.session_id, coalesce(s.original_login_name, s.login_name) AS login_name,
+      s.program_name AS executer, s.host_name, r.command, r.status, r.database_name, r.blocking_session_id,
+      {_duration('r.total_elapsed_ms')} AS elapsed_text, {_duration('r.cpu_ms')} AS cpu_text, r.wait_type,
+      {_duration('r.wait_time')} AS wait_text, r.last_wait_type, r.wait_resource,
+      concat(CAST(CAST(ROUND(r.percent_complete, 2) AS DECIMAL(15, 2)) AS VARCHAR), '%') AS percent_complete_text,
+      {_isolation('r.isolation_level')} AS command_isolation, {_isolation('s.isolation_level')} AS session_isolation,
+      CAST(s.memory_usage AS BIGINT) AS memory_usage, s.login_time, r.reads, r.writes, r.logical_reads, r.start_time,
+      g.name AS resource_pool, s.client_net_address, s.net_transport, s.auth_scheme, m.query_cost, m.request_time, m.grant_time,
+      coalesce(n, 0) AS task_count, CAST(k.exec_context_id AS BIGINT) AS exec_context_id, k.task_state,
+      CAST(k.context_switches_count AS BIGINT) AS context_switches_count, CAST(k.scheduler_id AS BIGINT) AS scheduler_id,
+      CAST(k.pending_io_count AS BIGINT) AS pending_io_count, k.pending_io_byte_count,
+      CAST(k.pending_io_byte_average AS BIGINT) AS pending_io_byte_average, w.wait_type AS task_wait_type,
+      concat(w.resource_description, w.page_class) AS task_wait_resource, w.blocking_session_id AS task_blocking_session_id,
+      {", ".join(f"m.{c}_memory_kb / 1024.0 AS {c}_memory_mb" for c in _WIDE_MEMORY)}
+    FROM v_wide_request r JOIN v_wide_session s ON s.server_id = r.server_id AND s.session_id = r.session_id AND s.is_user_process
+    LEFT JOIN v_group g ON g.server_id = r.server_id AND g.group_id = s.group_id
+    LEFT JOIN v_wide_grant m ON m.server_id = r.server_id AND m.session_id = r.session_id AND m.request_id = r.request_id
+    LEFT JOIN counts c ON c.server_id = r.server_id AND c.session_id = r.session_id AND c.request_id = r.request_id
+    LEFT JOIN v_wide_task k ON k.server_id = r.server_id AND k.session_id = r.session_id AND k.request_id = r.request_id
+    LEFT JOIN classified w ON w.server_id = k.server_id AND w.session_id = k.session_id AND w.exec_context_id = k.exec_context_id""",
+)
+def q_who_wide(t: Inputs) -> DataFrame:
+    """The whole width of the report, a row per task, over three servers that number their sessions alike."""
+    sessions = t.wide_session
+    report = who(
+        t.wide_request, sessions, connections=sessions, grants=t.wide_grant, groups=t.group, tasks=t.wide_task,
+        waits=t.wide_wait, child_tasks=True, scope=["server_id"],
+    )
+    resource = F.when(F.col("task_wait_type").isNull(), "").otherwise(F.col("task_wait_resource"))
+    report = report.withColumn("task_wait_resource", resource)
+    memory = [F.col(f"{c}_memory_mb").cast("double").alias(f"{c}_memory_mb") for c in _WIDE_MEMORY]
+    return report.select(*_WIDE, *memory)
+
+
 @query(
     "q_wait_object",
     f"""SELECT w.request_id, CAST(w.exec_context_id AS BIGINT) AS exec_context_id, w.kind AS resource_kind,

@@ -66,6 +66,27 @@ def q_space_file(t: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "q_space_volumes",
+    f"""SELECT database_id % 2 AS server_id, drive_letter, database_name, file_id, file_name,
+      CASE WHEN file_id % 5 = 0 THEN '(log)' ELSE group_name END AS group_name, {_DISK_COLUMNS},
+      CASE WHEN file_id % 5 = 0 THEN 0.0 ELSE {_mb('total_c')} END AS total_mb,
+      CASE WHEN file_id % 5 = 0 THEN 0.0 ELSE {_mb('used_c')} END AS used_mb
+    FROM ({_FILES}) f""",
+)
+def q_space_volumes(t: Inputs) -> DataFrame:
+    """Volumes list every file of two servers; the sizes of some databases' files could not be read."""
+    files = t.file.withColumn("server_id", F.col("database_id") % 2)
+    sizes = files.where("file_id % 5 <> 0").select(
+        "server_id", "database_id", "file_id", "size_pages", "used_pages", "group_name"
+    )
+    volumes = files.drop("size_pages", "used_pages", "group_name")
+    return file_space(sizes, volumes=volumes, scope=["server_id"]).select(
+        "server_id", "drive_letter", "database_name", "file_id", "file_name", "group_name", "disk_total_mb",
+        "disk_used_mb", "disk_used_perc", "disk_free_mb", "total_mb", "used_mb",
+    )
+
+
 @query(
     "q_space_database",
     f"""SELECT drive_letter, logical_volume_name, database_name, max({_disk('total_bytes')}) AS disk_total_mb,
