@@ -34,15 +34,16 @@ _TYPED = f"""{_BASES}, step1 AS (SELECT *, CASE WHEN recovery_model_desc IN ('FU
 
 def _typed(t: Inputs, databases: DataFrame | None = None) -> DataFrame:
     databases = t.database if databases is None else databases
-    return decide_backup_type(databases, "LOG", t.backup, modification_level=50, scope=())
+    return decide_backup_type(databases, "LOG", t.backup, modification_level=50, scope=t.scope)
 
 
 @query(
     "q_backup_type",
     f"WITH {_TYPED} SELECT database_id, name, recovery_model_desc, backup_type FROM typed",
+    fleet=True,
 )
 def q_backup_type(t: Inputs) -> DataFrame:
-    return _typed(t).select("database_id", "name", "recovery_model_desc", "backup_type")
+    return _typed(t).select(*t.scope, "database_id", "name", "recovery_model_desc", "backup_type")
 
 
 @query(
@@ -66,17 +67,18 @@ def q_backup_type(t: Inputs) -> DataFrame:
         AND date_diff('second', last_log_backup_time, TIMESTAMP '{AS_OF}') < 3600 THEN 'log_throttle' END) AS failed_rules
       FROM typed)
     SELECT database_id, name, backup_type, failed_rules = '' AS eligible, failed_rules FROM failed""",
+    fleet=True,
 )
 def q_backup_eligible(t: Inputs) -> DataFrame:
     databases = t.database
     roles = ["availability_group", "availability_group_role", "is_preferred_replica"]
     with_role = with_roles(
         databases.drop(*roles, "log_shipping_role"),
-        databases.where(F.col("availability_group").isNotNull()).select("database_id", *roles),
+        databases.where(F.col("availability_group").isNotNull()).select(*t.scope, "database_id", *roles),
         None,
         databases.where(F.col("log_shipping_role") == "PRIMARY"),
         databases.where(F.col("log_shipping_role") == "SECONDARY"),
-        scope=(),
+        scope=t.scope,
     )
     judged = backup_eligible(
         _typed(t, with_role),
@@ -86,7 +88,7 @@ def q_backup_eligible(t: Inputs) -> DataFrame:
         min_seconds_since_log=3600,
     )
     return judged.select(
-        "database_id", "name", "backup_type", "eligible",
+        *t.scope, "database_id", "name", "backup_type", "eligible",
         F.array_join("failed_rules", ",").alias("failed_rules"),
     )
 
@@ -96,9 +98,9 @@ _LATEST = """SELECT b.database_id, max(b.backup_start_date) AS latest_backup FRO
   WHERE NOT b.is_damaged AND (b.type IN ('D', 'I') OR b.database_backup_lsn < d.differential_base_lsn) GROUP BY 1"""
 
 
-@query("q_latest_backup", _LATEST)
+@query("q_latest_backup", _LATEST, fleet=True)
 def q_latest_backup(t: Inputs) -> DataFrame:
-    return latest_backup(t.backup, t.database, scope=())
+    return latest_backup(t.backup, t.database, scope=t.scope)
 
 
 _CUTOFF = f"""{_TYPED}, latest AS ({_LATEST}),
@@ -114,20 +116,21 @@ _CUTOFF = f"""{_TYPED}, latest AS ({_LATEST}),
 
 def _cutoffs(t: Inputs) -> DataFrame:
     # Up to one failed set is tolerated here, so that both outcomes occur in the test data.
-    status = verify_status(t.backup).withColumn("verify_ok", F.col("failed_sets") <= 1)
+    key = [*t.scope, "database_id"]
+    status = verify_status(t.backup, key).withColumn("verify_ok", F.col("failed_sets") <= 1)
     databases = (
         _typed(t)
-        .join(latest_backup(t.backup, t.database, scope=()), "database_id", "left")
-        .join(status.select("database_id", "verify_ok"), "database_id", "left")
+        .join(latest_backup(t.backup, t.database, scope=t.scope), key, "left")
+        .join(status.select(*key, "verify_ok"), key, "left")
         .withColumn("backup_output", F.lit(0))
     )
     return cleanup_cutoff(databases, "LOG", AS_OF, cleanup_hours=24, mirror_cleanup_hours=48)
 
 
-@query("q_cleanup_cutoff", f"WITH {_CUTOFF} SELECT * FROM cutoffs")
+@query("q_cleanup_cutoff", f"WITH {_CUTOFF} SELECT * FROM cutoffs", fleet=True)
 def q_cleanup_cutoff(t: Inputs) -> DataFrame:
     return _cutoffs(t).select(
-        "database_id", "backup_type", "cleanup_before", "mirror_cleanup_before"
+        *t.scope, "database_id", "backup_type", "cleanup_before", "mirror_cleanup_before"
     )
 
 
@@ -136,10 +139,11 @@ def q_cleanup_cutoff(t: Inputs) -> DataFrame:
     f"""WITH {_CUTOFF} SELECT b.database_id, b.database_backup_lsn, b.backup_start_date, c.cleanup_before
     FROM v_backup b JOIN cutoffs c ON c.database_id = b.database_id
     WHERE b.type = 'L' AND b.backup_start_date < c.cleanup_before""",
+    fleet=True,
 )
 def q_expired_files(t: Inputs) -> DataFrame:
-    return expired_files(t.backup, _cutoffs(t), scope=()).select(
-        "database_id", "database_backup_lsn", "backup_start_date", "cleanup_before"
+    return expired_files(t.backup, _cutoffs(t), scope=t.scope).select(
+        *t.scope, "database_id", "database_backup_lsn", "backup_start_date", "cleanup_before"
     )
 
 
@@ -266,19 +270,20 @@ _TABLES = "tables AS (SELECT DISTINCT database_id, object_name FROM v_index_cur)
     UNION ALL SELECT c.database_id, name, 'DBCC_CHECKTABLE', concat('[dbo].[', object_name, ']'),
       concat('USE [', name, ']; DBCC CHECKTABLE (''[dbo].[', object_name, ']'') WITH NO_INFOMSGS, ALL_ERRORMSGS, DATA_PURITY, TABLOCK')
     FROM checkable c JOIN tables g ON g.database_id = c.database_id""",
+    fleet=True,
 )
 def q_check_plan(t: Inputs) -> DataFrame:
     databases = check_eligible(t.database, replicas="PRIMARY")
     filegroups = (
         t.file.where(F.col("group_name").isNotNull())
-        .select("database_id", F.col("group_name").alias("filegroup_name"))
+        .select(*t.scope, "database_id", F.col("group_name").alias("filegroup_name"))
         .distinct()
     )
-    objects = t.index_cur.select("database_id", "schema_name", "object_name").distinct()
+    objects = t.index_cur.select(*t.scope, "database_id", "schema_name", "object_name").distinct()
     plans = [
-        check_plan(databases, "CHECKDB", physical_only=True, max_dop=2, lock_timeout=5, scope=()),
-        check_plan(databases, "CHECKFILEGROUP,CHECKCATALOG", filegroups=filegroups, no_index=True, scope=()),
-        check_plan(databases, "CHECKALLOC,CHECKTABLE", objects=objects, tab_lock=True, scope=()),
+        check_plan(databases, "CHECKDB", physical_only=True, max_dop=2, lock_timeout=5, scope=t.scope),
+        check_plan(databases, "CHECKFILEGROUP,CHECKCATALOG", filegroups=filegroups, no_index=True, scope=t.scope),
+        check_plan(databases, "CHECKALLOC,CHECKTABLE", objects=objects, tab_lock=True, scope=t.scope),
     ]
     return plans[0].unionByName(plans[1]).unionByName(plans[2])
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF = "2001-08-01 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -450,10 +451,17 @@ _NAME = re.compile(r"\{(\w+)\}")
 class Inputs:
     """The views, and the raw tables, of one data folder."""
 
+    #: Server columns of the views.
+    scope: tuple[str, ...] = ()
+
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    def each(self, df: DataFrame, view: str = "") -> DataFrame:
+        """Rows as every server has them."""
+        return df
+
     def path(self, table: str) -> str:
         return f"{self.sf_dir}/{table}.parquet"
 
@@ -479,6 +487,49 @@ class Inputs:
         return self.sql(VIEWS[view])
 
 
+# Rows that the second server of ``Fleet`` lacks; its ids are those of the first.
+SECOND_SERVER = {
+    "v_database": "database_id % 3 <> 0",
+    "v_backup": "database_backup_lsn % 4 <> 1",
+    "v_file": "file_id % 5 <> 2",
+    "v_login": "principal_id % 3 <> 1",
+    "v_dbuser": "principal_id % 4 <> 1",
+    "v_permission": "grantee_principal_id % 3 <> 0",
+    "v_job": "job_number % 3 <> 0",
+    "v_queue": "database_order % 4 <> 0",
+    "v_request": "request_id % 5 <> 0",
+    "v_wait": "request_id % 3 <> 0",
+    "v_wait_name": "object_id % 4 <> 0",
+    "v_partition": "hobt_id % 4 <> 0",
+    "v_index_cur": "object_id % 3 <> 0",
+}
+
+
+class Fleet(Inputs):
+    """The views of two servers that number everything alike, the second one with fewer rows."""
+
+    scope = ("server_id",)
+
+    def each(self, df: DataFrame, view: str = "") -> DataFrame:
+        first = df.withColumn("server_id", F.lit("A"))
+        second = df.where(SECOND_SERVER.get(view, "true")).withColumn("server_id", F.lit("B"))
+        return first.unionByName(second)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.each(super().__getattr__(name), f"v_{name}")
+
+
+def on_two_servers(sql: str) -> str:
+    """An oracle over one server's views, run by itself on each server of ``Fleet``."""
+    views = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
+    second = sql
+    for v in views:
+        second = re.sub(rf"\b{v}\b", f"{v}_second", second)
+    fewer = ", ".join(f"{v}_second AS (SELECT * FROM {v} WHERE {SECOND_SERVER.get(v, 'true')})" for v in views)
+    return f"""WITH {fewer} SELECT 'A' AS server_id, a.* FROM ({sql}) a
+      UNION ALL SELECT 'B' AS server_id, b.* FROM ({second}) b"""
+
+
 def oracle_view(name: str) -> str:
     text = _NAME.sub(lambda m: "TIMESTAMP" if m[1] == "ts" else m[1], VIEWS[name])
     return f"{name} AS ({text.strip()})"

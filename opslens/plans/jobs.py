@@ -94,9 +94,11 @@ def q_schedule_runs(t: Inputs) -> DataFrame:
       WHEN q.database_end_time IS NOT NULL THEN 'DONE' WHEN r.request_id IS NOT NULL THEN 'RUNNING' ELSE 'DEAD' END AS queue_state
     FROM v_queue q LEFT JOIN v_request r ON r.session_id = q.session_id AND r.request_id = q.request_id
       AND r.start_time = q.request_start_time""",
+    fleet=True,
 )
 def q_queue_state(t: Inputs) -> DataFrame:
-    return queue_state(t.queue, t.request, scope=()).select("database_name", "database_order", "queue_state")
+    states = queue_state(t.queue, t.request, scope=t.scope)
+    return states.select(*t.scope, "database_name", "database_order", "queue_state")
 
 
 @query(

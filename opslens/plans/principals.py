@@ -77,10 +77,11 @@ def q_wrong_domain(t: Inputs) -> DataFrame:
     FROM v_dbuser u LEFT JOIN v_permission p ON p.grantee_principal_id = u.principal_id AND p.type = 'CO'
     WHERE u.type IN ('U', 'S', 'G', 'C', 'K', 'E', 'X') AND u.principal_id > 4
       AND (p.state NOT IN ('G', 'W') OR p.state IS NULL)""",
+    fleet=True,
 )
 def q_no_connect(t: Inputs) -> DataFrame:
-    return users_without_connect(t.dbuser, t.permission, scope=()).select(
-        "principal_id", "name", "type", "connect_state", "has_db_access", "command_text"
+    return users_without_connect(t.dbuser, t.permission, scope=t.scope).select(
+        *t.scope, "principal_id", "name", "type", "connect_state", "has_db_access", "command_text"
     )
 
 
@@ -90,10 +91,11 @@ def q_no_connect(t: Inputs) -> DataFrame:
       concat('ALTER AUTHORIZATION ON DATABASE::[', d.name, '] TO [sa]') AS command_text
     FROM v_database d LEFT JOIN v_login l ON l.sid = d.owner_sid
     WHERE d.database_id > 4 AND d.owner_sid <> '{SYSTEM_SID}'""",
+    fleet=True,
 )
 def q_db_owner(t: Inputs) -> DataFrame:
-    return db_owner_drift(t.database, t.login, SYSTEM_SID, scope=()).select(
-        "database_id", "name", "owner_name", "command_text"
+    return db_owner_drift(t.database, t.login, SYSTEM_SID, scope=t.scope).select(
+        *t.scope, "database_id", "name", "owner_name", "command_text"
     )
 
 
@@ -102,10 +104,11 @@ def q_db_owner(t: Inputs) -> DataFrame:
     f"""SELECT j.name, j.job_id, l.name AS owner_name,
       concat('EXEC dbo.sp_update_job @job_id = ''', j.job_id, ''', @owner_login_name = ''{SYSTEM_OWNER}''') AS command_text
     FROM v_job j JOIN v_login l ON l.sid = j.owner_sid WHERE l.name <> '{SYSTEM_OWNER}'""",
+    fleet=True,
 )
 def q_job_owner(t: Inputs) -> DataFrame:
-    return job_owner_drift(t.job, t.login, SYSTEM_OWNER, scope=()).select(
-        "name", "job_id", "owner_name", "command_text"
+    return job_owner_drift(t.job, t.login, SYSTEM_OWNER, scope=t.scope).select(
+        *t.scope, "name", "job_id", "owner_name", "command_text"
     )
 
 
@@ -117,17 +120,18 @@ def q_job_owner(t: Inputs) -> DataFrame:
       CASE WHEN u.name IS NULL THEN concat('CREATE USER [', m.name, '] FOR LOGIN [', m.name, ']') END AS create_user_command,
       concat('ALTER ROLE [db_monitor] ADD MEMBER [', coalesce(u.name, m.name), ']') AS add_member_command
     FROM m LEFT JOIN u ON u.sid = m.sid WHERE u.name IS NULL OR NOT u.in_db_role""",
+    fleet=True,
 )
 def q_role_gap(t: Inputs) -> DataFrame:
     logins, users = t.login, t.dbuser
     return role_gap(
         logins,
-        logins.where("in_server_role").select(F.col("principal_id").alias("member_principal_id")),
+        logins.where("in_server_role").select(*t.scope, F.col("principal_id").alias("member_principal_id")),
         users,
-        users.where("in_db_role").select(F.col("principal_id").alias("member_principal_id")),
+        users.where("in_db_role").select(*t.scope, F.col("principal_id").alias("member_principal_id")),
         "db_monitor",
         login_like="%customer%",
-        scope=(),
+        scope=t.scope,
     )
 
 

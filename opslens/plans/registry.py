@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DecimalType, IntegerType, ShortType
 
-from opslens.plans.inputs import VIEWS, Inputs, oracle_view
+from opslens.plans.inputs import VIEWS, Fleet, Inputs, on_two_servers, oracle_view
 from opslens.session import tune
 
 Build = Callable[[Inputs], DataFrame]
@@ -31,11 +31,13 @@ _MODULES = (
 )
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Build], Build]:
+def query(name: str, oracle: str | None = None, fleet: bool = False) -> Callable[[Build], Build]:
+    """Register a plan and its SQL.  With ``fleet`` both run over two servers, the SQL on each by itself."""
+
     def register(build: Build) -> Build:
-        _PLANS[name] = build
+        _PLANS[name] = (lambda t: build(Fleet(t.spark, t.sf_dir))) if fleet else build
         if oracle is not None:
-            _ORACLES[name] = _with_views(oracle)
+            _ORACLES[name] = _with_views(on_two_servers(oracle) if fleet else oracle)
         return build
 
     return register

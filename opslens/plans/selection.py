@@ -164,11 +164,12 @@ def q_foreach_command(t: Inputs) -> DataFrame:
     "q_db_replica_anti",
     """SELECT database_id, name FROM v_database
     WHERE NOT (availability_group IS NOT NULL AND n_nationkey % 3 = 0 AND n_regionkey = 1)""",
+    fleet=True,
 )
 def q_db_replica_anti(t: Inputs) -> DataFrame:
     databases = t.database
     states = databases.where(F.col("availability_group").isNotNull()).select(
-        "database_id", F.col("n_nationkey").alias("replica_id")
+        *t.scope, "database_id", F.col("n_nationkey").alias("replica_id")
     )
     replicas = t.table("nation").select(
         F.col("n_nationkey").alias("replica_id"),
@@ -179,8 +180,9 @@ def q_db_replica_anti(t: Inputs) -> DataFrame:
         F.col("r_regionkey").alias("group_id"),
         F.when(F.col("r_regionkey") == 1, "SRV_B").otherwise("SRV_A").alias("primary_replica"),
     )
-    return exclude_unreadable(databases, states, replicas, groups, "SRV_A", scope=()).select(
-        "database_id", "name"
+    replicas, groups = t.each(replicas), t.each(groups)
+    return exclude_unreadable(databases, states, replicas, groups, "SRV_A", scope=t.scope).select(
+        *t.scope, "database_id", "name"
     )
 
 
@@ -226,10 +228,11 @@ def q_db_order(t: Inputs) -> DataFrame:
     "q_dup_names",
     """SELECT file_id, file_name, same_name FROM v_file JOIN (SELECT upper(file_name) AS k, count(*) AS same_name FROM v_file
       GROUP BY 1 HAVING count(*) > 1) d ON d.k = upper(file_name)""",
+    fleet=True,
 )
 def q_dup_names(t: Inputs) -> DataFrame:
     files = t.file.withColumn("fs_name", safe_name("file_name"))
-    return duplicate_names(files, "fs_name", scope=()).select("file_id", "file_name", "same_name")
+    return duplicate_names(files, "fs_name", scope=t.scope).select(*t.scope, "file_id", "file_name", "same_name")
 
 
 @query(

@@ -291,21 +291,22 @@ def q_who_wide(t: Inputs) -> DataFrame:
     FROM ({_PARSED}) w LEFT JOIN v_partition p
       ON p.hobt_id = coalesce(w.hobt_id, w.page_id) AND p.database_id = w.wait_database_id
     LEFT JOIN v_wait_name n ON n.object_id = coalesce(w.wait_object_id, p.object_id) AND n.database_id = w.wait_database_id""",
+    fleet=True,
 )
 def q_wait_object(t: Inputs) -> DataFrame:
     partitions = t.partition
     pages = partitions.withColumn("page_id", F.col("hobt_id")).withColumn("file_id", F.lit(1))
     indexes = (
-        partitions.select("database_id", "object_id", "index_id")
+        partitions.select(*t.scope, "database_id", "object_id", "index_id")
         .distinct()
         .withColumn("index_name", F.concat_ws("_", F.lit("IX"), "database_id", "object_id", "index_id"))
     )
     resolved = resolve_wait_resource(
         with_wait_resource(t.wait), partitions, pages, t.wait_name, indexes,
-        ["request_id", "exec_context_id"], scope=(),
+        ["request_id", "exec_context_id"], scope=t.scope,
     )
     return resolved.select(
-        "request_id", "exec_context_id", "resource_kind", "wait_database_id", "object_id",
+        *t.scope, "request_id", "exec_context_id", "resource_kind", "wait_database_id", "object_id",
         "object_name", "index_id", "index_name", "partition_id",
     )
 

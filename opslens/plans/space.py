@@ -141,12 +141,12 @@ _EXPAND = """concat('ALTER DATABASE [', database_name, '] MODIFY FILE (NAME = N'
   (total_c * 15 + 1024000 - 1) // 1024000, 'GB, FILEGROWTH = 1GB)')"""
 
 
-@query("q_space_rollup", f"{_report_oracle(2)} UNION ALL {_report_oracle(3)}")
+@query("q_space_rollup", f"{_report_oracle(2)} UNION ALL {_report_oracle(3)}", fleet=True)
 def q_space_rollup(t: Inputs) -> DataFrame:
     files = t.file
     both = None
     for kind in (2, 3):
-        report = space_report(files, kind, scope=()).withColumn("report_type", F.lit(kind))
+        report = space_report(files, kind, scope=t.scope).withColumn("report_type", F.lit(kind))
         both = report if both is None else both.unionByName(report)
     return both.drop("physical_name", "used_perc_text")
 
@@ -239,13 +239,14 @@ def q_shrink_steps(t: Inputs) -> DataFrame:
       CASE WHEN e.new_name IS NULL THEN concat('CREATE DATABASE [', c.new_name, '] ON ', coalesce(file_list, ''),
         ' AS SNAPSHOT OF [', c.name, ']') END AS command_text
     FROM candidates c LEFT JOIN clauses k ON k.database_id = c.database_id LEFT JOIN existing e ON e.new_name = c.new_name""",
+    fleet=True,
 )
 def q_snapshot_plan(t: Inputs) -> DataFrame:
     databases = t.database
     existing = databases.where("is_read_only").select(
-        F.concat("name", F.lit("_Snapshot_20010801")).alias("name")
+        *t.scope, F.concat("name", F.lit("_Snapshot_20010801")).alias("name")
     )
-    return snapshot_plan(databases, t.file, existing, AS_OF, database_like="NATION_1%", scope=())
+    return snapshot_plan(databases, t.file, existing, AS_OF, database_like="NATION_1%", scope=t.scope)
 
 
 RETENTION_LIMITS = {
