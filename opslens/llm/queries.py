@@ -239,5 +239,94 @@ ORACLES["op12_prefix_trie"] = f"""
            coalesce(ends_sha256, sha256('')) AS ends_sha256
     FROM counted JOIN sums USING (node) LEFT JOIN ends USING (node)
 """
+ORACLES["op13_spelling_variants"] = """
+    WITH RECURSIVE crc AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, list_transform(range(8), lambda bit: bit)),
+            lambda r, bit: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END)) AS steps
+    ), runs AS (
+        SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+        WHERE length(run) >= 5 GROUP BY 1, 2
+    ), hashed AS (
+        SELECT run, n, xor(list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(
+                string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: unicode(c)::BIGINT)),
+            lambda r, c: CASE WHEN c < 128 THEN xor(steps[(xor(r, c) & 255) + 1], r >> 8)
+                ELSE xor(steps[(xor(xor(steps[(xor(r, 195) & 255) + 1], r >> 8), c - 64) & 255) + 1],
+                         xor(steps[(xor(r, 195) & 255) + 1], r >> 8) >> 8) END
+        ), 4294967295::BIGINT) AS h
+        FROM runs, crc
+    ), slipped AS (
+        SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+        FROM hashed
+    ), words AS (
+        SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+    ), gaps AS (
+        SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), near AS (
+        SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT g.word, w.word FROM gaps g JOIN words w ON w.word = g.rest
+        UNION SELECT w.word, g.word FROM gaps g JOIN words w ON w.word = g.rest
+    ), best AS (
+        SELECT r.word, count(*) AS n_near, first(r.other ORDER BY o.n DESC, r.other) AS other, max(o.n) AS other_n
+        FROM near r JOIN words o ON o.word = r.other GROUP BY r.word
+    ), forms AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+               CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+        FROM words w LEFT JOIN best b ON b.word = w.word
+    ), paths AS (
+        SELECT word, word AS root, form AS next FROM forms
+        UNION ALL
+        SELECT p.word, f.word, f.form FROM paths p JOIN forms f ON f.word = p.next
+    )
+    SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n
+    FROM forms f JOIN paths p ON p.word = f.word AND p.next IS NULL
+"""
+ORACLES["op2_substring_dedup"] = r"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), windows AS (
+        SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS h
+        FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs)
+    ), starts AS (
+        SELECT r, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+    ), words AS (
+        SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM docs
+    ), marked AS (
+        SELECT t.r, j, word, coalesce(max(i) OVER (PARTITION BY t.r ORDER BY j) >= j - 34, false) AS gone
+        FROM words t LEFT JOIN starts s ON s.r = t.r AND s.i = t.j
+    ), stripped AS (
+        SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept
+        FROM marked GROUP BY r
+    )
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM docs LEFT JOIN stripped USING (r)
+"""
+ORACLES["op10_near_dedup"] = r"""
+    WITH RECURSIVE docs AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), shingles AS (
+        SELECT DISTINCT r, hash(array_to_string(w[i : i + 1], ' ')) AS s
+        FROM (SELECT r, w, unnest(range(1, greatest(len(w), 2))) AS i FROM docs WHERE len(w) > 0)
+    ), sizes AS (
+        SELECT r, count(*) AS n FROM shingles GROUP BY r
+    ), shared AS (
+        SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2
+    ), links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b
+        WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+    ), both_ways AS (
+        SELECT a, b FROM links UNION SELECT b, a FROM links
+    ), reach AS (
+        SELECT a, b FROM both_ways UNION SELECT reach.a, l.b FROM reach JOIN both_ways l ON l.a = reach.b
+    ), firsts AS (
+        SELECT a AS r, min(d.doc_id) AS first_id FROM reach JOIN docs d ON d.r = reach.b GROUP BY a
+    )
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(first_id, doc_id)) AS component_id,
+           doc_id = least(doc_id, coalesce(first_id, doc_id)) AS kept
+    FROM docs LEFT JOIN sizes USING (r) LEFT JOIN firsts USING (r)
+"""
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
