@@ -5,13 +5,14 @@ and character shares, gated attention weighs the passages, and the weighted repr
 scored.  Only documents have labels; the attention learns which passages they come from.
 
 The model is fitted on at most ``SAMPLE`` labelled training rows, the first in the order of a hash, with all
-their passages, which minibatches read from a file.  Scoring reads every passage of every text.
+their passages.  They lie in a written table, from which every epoch streams its minibatches in an order of its own; the
+driver holds one minibatch and one partition.  Scoring reads every passage of every text.
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,25 +142,35 @@ class Attention:
         }
 
 
-def fit(bags: Sequence[np.ndarray], labels: np.ndarray, seed: int = 5) -> Attention:
-    """Adam over minibatches of bags; only those of one minibatch are in memory if ``bags`` lie in a file."""
-    n = sum(len(x) for x in bags)
-    mean = sum(x.sum(0, dtype=np.float64) for x in bags) / n
-    spread = np.sqrt(sum(((x - mean) ** 2).sum(0) for x in bags) / n)
-    prior = float(np.clip(labels.mean(), 0.01, 0.99))
+def _minibatches(bags: DataFrame, epoch: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Passages, bounds and labels of ``BATCH`` bags at a time, in an order that depends on the epoch."""
+    rows = bags.orderBy(F.xxhash64(F.lit(epoch), "spot"), "spot", "bag").toLocalIterator()
+    while chosen := list(itertools.islice(rows, BATCH)):
+        parts = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in chosen]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        yield np.concatenate(parts), bounds, np.array([r["label"] for r in chosen], np.float32)
+
+
+def fit(bags: DataFrame) -> Attention | None:
+    """Adam over minibatches of written ``bags`` (spot, label, bag); None without any."""
+    total, squares, n, labels = np.zeros(WIDTH), np.zeros(WIDTH), 0, []
+    for x, _, y in _minibatches(bags, 0):
+        total, squares, n = total + x.sum(0, dtype=np.float64), squares + (x.astype(np.float64) ** 2).sum(0), n + len(x)
+        labels.append(y)
+    if not n:
+        return None
+    mean = total / n
+    spread = np.sqrt(np.maximum(squares / n - mean**2, 0))
+    prior = float(np.clip(np.concatenate(labels).mean(), 0.01, 0.99))
     model = Attention(mean.astype(np.float32), (spread + 0.02).astype(np.float32), prior)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
-    draw, turn = np.random.default_rng(seed), 0
+    turn = 0
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS) + RATE / 20
-        order = draw.permutation(len(bags))
-        for at in range(0, len(order), BATCH):
-            chosen = order[at : at + BATCH]
-            x = np.concatenate([bags[i] for i in chosen])
-            bounds = np.concatenate([[0], np.cumsum([len(bags[i]) for i in chosen])])
+        for x, bounds, y in _minibatches(bags, epoch + 1):
             turn += 1
-            for k, slope in model.slopes(x, bounds, labels[chosen]).items():
+            for k, slope in model.slopes(x, bounds, y).items():
                 slope = slope + DECAY * model.p[k]
                 first[k] = 0.9 * first[k] + 0.1 * slope
                 second[k] = 0.99 * second[k] + 0.01 * slope * slope
@@ -207,21 +218,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Attention | None:
         .limit(SAMPLE)
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # At most SAMPLE rows, so it may be broadcast.
-    met = texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    # At most SAMPLE rows, so it may be broadcast.  Of rows that repeat an id one counts, told by its text.
+    met = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "spot", "label")
+    met = met.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     sample = met.select("spot", "label", "text").mapInArrow(_encode, "spot long, label double, bag binary")
-    rows = []
-    with tempfile.TemporaryFile() as file:
-        for r in saved(sample, "bags").toLocalIterator():
-            rows.append((r["spot"], r["label"], file.tell() // (4 * WIDTH), len(r["bag"]) // (4 * WIDTH)))
-            file.write(r["bag"])
-        if not rows:
-            return None
-        file.flush()
-        every = np.memmap(file, np.float32, "r").reshape(-1, WIDTH)
-        rows.sort()
-        bags = [every[at : at + n] for _, _, at, n in rows]
-        return fit(bags, np.array([label for _, label, *_ in rows], np.float32))
+    return fit(saved(sample, "bags"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
