@@ -114,7 +114,8 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
         "digest",
         "chars",
     )
-    root = convs.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("digest"), F.lit(0).alias("chars"))
+    nothing = {"depth": F.lit(0).cast("long"), "digest": F.lit(None).cast("string"), "chars": F.lit(0)}
+    root = convs.select("conv_id", *[value.alias(name) for name, value in nothing.items()])
     return taken.unionByName(own).unionByName(root)
 
 
@@ -124,9 +125,8 @@ def prefixes(turns: DataFrame) -> DataFrame:
     high = F.conv(F.substring(place, 1, 11), 16, 10).cast("decimal(14,0)")
     low = F.conv(F.substring(place, 12, 12), 16, 10).cast("decimal(15,0)")
     hashed = (high * F.lit(1 << 48).cast("decimal(15,0)") + low).cast("decimal(28,0)")
-    valued = turns.select(
-        "conv_id", "depth", "chars", F.when(F.col("depth") > 0, hashed).otherwise(F.lit(0)).cast("decimal(28,0)").alias("own")
-    )
+    own = F.when(F.col("depth") > 0, hashed).otherwise(F.lit(0)).cast("decimal(28,0)")
+    valued = turns.select("conv_id", "depth", "chars", own.alias("own"))
     steps = saved(running_sum(valued, ["conv_id"], [F.col("depth")], "own", "total"), "steps")
     lengths = steps.groupBy("conv_id").agg(F.max("depth").alias("length"))
     return saved(
@@ -151,9 +151,8 @@ def subtree_totals(nodes: DataFrame, steps: DataFrame, small: int = SMALL) -> Da
     if root is None:
         return nodes.select("node", F.col("leaves").alias("n_leaves"), F.col("tokens").alias("saved_tokens"))
     zero = F.lit(0).cast("long")
-    state = nodes.select(
-        "*", F.lit(root.node).alias("top"), F.lit(root.weight).alias("total"), zero.alias("n_leaves"), zero.alias("saved_tokens")
-    )
+    whole = [F.lit(root.node).alias("top"), F.lit(root.weight).alias("total")]
+    state = nodes.select("*", *whole, zero.alias("n_leaves"), zero.alias("saved_tokens"))
     ready = done = None
     while True:
         state = saved(state, "trie")
@@ -175,9 +174,8 @@ def _cut(state: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max(F.struct("depth", "node", "conv_id", "weight")).alias("c"), F.min("depth").alias("top_depth")
     )
     # The step just behind the centroid's depth tells whether a node lies under it, and in which part.
-    behind = steps.select(
-        F.col("conv_id").alias("__conv"), F.col("depth").alias("__depth"), F.col("node").alias("__part"), F.col("parent").alias("__up")
-    )
+    names = {"conv_id": "__conv", "depth": "__depth", "node": "__part", "parent": "__up"}
+    behind = steps.select(*[F.col(c).alias(n) for c, n in names.items()])
     placed = state.join(centroids, "top").join(
         behind, (F.col("conv_id") == F.col("__conv")) & (F.col("c.depth") + 1 == F.col("__depth")), "left"
     )
@@ -201,7 +199,8 @@ def _cut(state: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.col("n_leaves") + F.col("add_leaves")).alias("n_leaves"),
         (F.col("saved_tokens") + F.col("add_tokens")).alias("saved_tokens"),
     )
-    path = centroids.select(F.col("c.conv_id").alias("conv_id"), F.col("c.depth").alias("until"), "top_depth", F.col("c.weight").alias("lost"), "add_leaves", "add_tokens")
+    of_centroid = {"conv_id": "conv_id", "depth": "until", "weight": "lost"}
+    path = centroids.select(*[F.col(f"c.{c}").alias(n) for c, n in of_centroid.items()], "top_depth", "add_leaves", "add_tokens")
     path = path.join(steps.select("conv_id", "depth", "node"), "conv_id").where(
         (F.col("depth") >= F.col("top_depth")) & (F.col("depth") < F.col("until"))
     )
@@ -331,7 +330,8 @@ def members_at_end(ends: DataFrame) -> DataFrame:
             yield _table(out, PIECES)
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((n, p) for b in batches for n, p in zip(b.column("node").to_pylist(), b.column("ids").to_pylist(), strict=True))
+        columns = ((b.column("node").to_pylist(), b.column("ids").to_pylist()) for b in batches)
+        rows = (pair for nodes, ids in columns for pair in zip(nodes, ids, strict=True))
         out: list[tuple[str, str]] = []
         for node, group in itertools.groupby(rows, lambda r: r[0]):
             total = hashlib.sha256()
@@ -344,7 +344,8 @@ def members_at_end(ends: DataFrame) -> DataFrame:
         if out:
             yield _table(out, ENDS)
 
-    pieces = ends.select("node", "conv_id").orderBy("node", "conv_id").mapInArrow(join, "node string, first long, ids string")
+    ordered = ends.select("node", "conv_id").orderBy("node", "conv_id")
+    pieces = ordered.mapInArrow(join, "node string, first long, ids string")
     dealt = pieces.repartition("node").sortWithinPartitions("node", "first")
     return dealt.mapInArrow(digest, "node string, ends_sha256 string")
 
