@@ -3,8 +3,9 @@
 As a parameter a list becomes an expression over the scan (``select_by_spec``).  Thousands of lists cannot, and
 joining names with patterns by LIKE compares each with each.  Here every pattern is filed under the one literal
 that a matching name must hold: the whole name, else what stands before the first ``%``, else what
-stands behind the last, else the first three characters of its longest inner piece.  A name looks up its
-own literals by equality, and LIKE only sees the pairs that share one.
+stands behind the last, else the first three characters of its longest inner piece.  A pattern that a list
+repeats is filed once.  A name looks up its own literals by equality, and LIKE only sees the pairs that share
+one and differ in the rest.
 """
 
 from __future__ import annotations
@@ -47,8 +48,21 @@ def parse_items(items: DataFrame, item: str = "item") -> DataFrame:
     )
 
 
-def _pattern_key() -> tuple[Column, Column]:
-    """Kind and literal that a pattern is filed under; the kind tells the literal's length where that varies."""
+def distinct_patterns(parsed: DataFrame, scope: Sequence[str], position: str = "position") -> DataFrame:
+    """One row per pattern of a list, with its first ``__position``: later copies change no verdict.
+
+    Copies meet every name that shares their literal, so their pairs would grow with the square of the input.
+    """
+    return parsed.groupBy(*scope, "include", "pattern", "wanted_type", "wanted_group").agg(
+        F.min(position).alias("__position")
+    )
+
+
+def _pattern_key() -> tuple[Column, Column, Column]:
+    """Kind and literal that a pattern is filed under, and whether they are all of it.
+
+    The kind tells the literal's length where that varies.
+    """
     pieces = F.split("pattern", "%")
     first, last = F.element_at(pieces, 1), F.element_at(pieces, -1)
     longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("size"), p.alias("piece"))))
@@ -67,7 +81,9 @@ def _pattern_key() -> tuple[Column, Column]:
         .when(longest["size"] >= _GRAM, gram)
         .otherwise("")
     )
-    return kind, literal
+    # name, first%, %last, %
+    is_all = (F.size(pieces) == 1) | ((F.size(pieces) == 2) & ((first == "") | (last == "")))
+    return kind, literal, is_all
 
 
 def _name_keys(name: Column, kinds: Sequence[str]) -> Column:
@@ -112,21 +128,21 @@ def select_by_list(
     """
     scope = list(scope)
     parsed = parse_items(items, item).where("pattern <> ''")
-    kind, literal = _pattern_key()
-    filed = parsed.select(
-        *scope, F.col(position).alias("__position"), "include", "pattern", "wanted_type", "wanted_group",
-        kind.alias("kind"), literal.alias("literal"),
-    )
+    kind, literal, is_all = _pattern_key()
+    filed = distinct_patterns(parsed, scope, position).select(
+        "*", kind.alias("kind"), literal.alias("literal"), is_all.alias("is_all")
+    )
     kinds = sorted(r.kind for r in filed.select("kind").distinct().collect())
     own = F.col(type_column) if type_column else F.lit(None).cast("string")
     flag = F.col(group_flag_column) if group_flag_column else F.lit(None).cast("boolean")
     names = df.select(*scope, F.col(name).alias("__name"), own.alias("__type"), flag.alias("__flag")).distinct()
+    names = names.where(F.col("__name").isNotNull())  # matches no pattern, not even %
     low = F.lower("__name")
     asked = names.select("*", F.explode(_name_keys(low, kinds)).alias("key")).select(
         *names.columns, F.col("key.kind").alias("kind"), F.col("key.literal").alias("literal")
     )
     like = F.expr(r"lower(__name) LIKE replace(replace(pattern, '\\', '\\\\'), '_', '\\_')")
-    fits = like & holds(F.col("wanted_type").isNull() | (F.col("__type") == F.col("wanted_type")))
+    fits = (F.col("is_all") | like) & holds(F.col("wanted_type").isNull() | (F.col("__type") == F.col("wanted_type")))
     fits = fits & holds(F.col("wanted_group").isNull() | F.col("__flag"))
     matched = asked.join(filed, [*scope, "kind", "literal"]).where(fits)
     verdict = matched.groupBy(*names.columns).agg(

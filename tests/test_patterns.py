@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from opslens.operators.patterns import select_by_list
+from opslens.operators.patterns import distinct_patterns, parse_items, select_by_list
 from opslens.operators.selection import select_by_spec
 
 NAMES = "server_id int, database_id int, name string, kind string, grouped boolean"
@@ -56,3 +56,19 @@ def test_ten_thousand_patterns_need_no_nested_loop(spark):
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert chosen.count() > 5000
+
+
+def test_copies_of_a_pattern_are_filed_once(spark, rows):
+    texts = ["a%b%", "[a%b%]", "A%B%", "-a%b%", "%", "ALL_DATABASES", "USER_DATABASES", "%x"]
+    item = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("id") % len(texts) + 1).cast("int"))
+    items = spark.range(4_000).select((F.col("id") % 2).alias("server_id"), (F.col("id") + 5).alias("position"), item.alias("item"))
+    filed = distinct_patterns(parse_items(items), ["server_id"])
+    assert rows(filed, "server_id", "include", "pattern", "wanted_type", "__position") == [
+        (0, True, "%", "U", 11), (0, True, "%", None, 9), (0, True, "a%b%", None, 5),
+        (1, False, "a%b%", None, 8), (1, True, "%", None, 10), (1, True, "%x", None, 12), (1, True, "a%b%", None, 6),
+    ]
+    names = spark.createDataFrame([(0, "aXbX", "S"), (0, "c", "U"), (1, "aXbX", "U"), (1, "cx", "S")], "server_id int, name string, kind string")
+    got = select_by_list(names, items, scope=["server_id"], type_column="kind")
+    assert rows(got, "server_id", "name", "selected", "start_position") == [
+        (0, "aXbX", True, 5), (0, "c", True, 9), (1, "aXbX", False, 6), (1, "cx", True, 10),
+    ]
