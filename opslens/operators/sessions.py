@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import (
+    any_of,
     concat_nullsafe,
     extract_statement,
     fmt_duration,
@@ -153,18 +154,17 @@ def with_child_tasks(
 ) -> DataFrame:
     """One row per task of a request, with the wait of that task.
 
-    The task count tells which requests have no task, so the tasks themselves
-    meet the requests in an inner join, whose hot keys can be split on both sides.
+    Waits and counts meet the narrow tasks, and a request without a task gets one empty row among them.  Then the
+    requests, with all their columns, are joined once, in an inner join whose hot keys can be split on both sides.
     """
+    keys, wait_keys = list(keys), list(wait_keys)
     columns = [
         F.col(c).alias(f"task_{c}" if c in requests.columns else c)
         for c in tasks.columns
         if c not in keys
     ]
-    counted = requests.join(task_count(tasks, keys), list(keys), "left")
-    is_idle = F.col("task_count").isNull()
-    idle = counted.where(is_idle).withColumn("task_count", F.lit(0).cast("long"))
-    expanded = counted.where(~is_idle).join(tasks.select(*keys, *columns), list(keys))
+    counts = task_count(tasks, keys)
+    expanded = tasks.select(*keys, *columns)
     if waits is not None:
         classified = classify_page(waits).select(
             *wait_keys,
@@ -172,8 +172,13 @@ def with_child_tasks(
             F.col("wait_resource_text").alias("task_wait_resource"),
             _or_null(waits, "blocking_session_id", "long").alias("task_blocking_session_id"),
         )
-        expanded = expanded.join(classified, list(wait_keys), "left")  # no task is hot
-    return expanded.unionByName(idle, allowMissingColumns=True)
+        expanded = expanded.join(classified, wait_keys, "left")  # no task is hot
+    expanded = expanded.join(counts, keys)
+    idle = requests.select(*keys).distinct().join(counts, keys, "left_anti")
+    none = F.lit(0).cast("long").alias("task_count")
+    expanded = expanded.unionByName(idle.select("*", none), allowMissingColumns=True)
+    unnamed = requests.where(any_of(F.col(k).isNull() for k in keys)).withColumn("task_count", none)
+    return requests.join(expanded, keys).unionByName(unnamed, allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------- activity report

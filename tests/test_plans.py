@@ -74,6 +74,17 @@ def test_a_busy_session_is_read_once_for_its_tasks(spark, sf_dir, no_broadcast):
     assert both == alone + 2  # the waits and their owners
 
 
+def test_waits_meet_narrow_tasks_and_requests_come_last(spark, sf_dir, no_broadcast):
+    t = Inputs(spark, sf_dir)
+    sessions = t.wide_session
+    report = who(t.wide_request, sessions, tasks=t.wide_task, waits=t.wide_wait, child_tasks=True, scope=["server_id"])
+    plan = physical(report).split("== Initial Plan ==")[-1]
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "request_id" in joins[0] and "exec_context_id" not in joins[0]
+    wide = [line for line in plan.splitlines() if "Exchange" in line and "exec_context_id" in line]
+    assert wide and sum("total_elapsed_ms" in line for line in wide) == 0
+
+
 def test_role_gap_pairs_no_login_with_a_database(spark, sf_dir, no_broadcast):
     """Every join of the gap is on keys; logins meet databases as words of 64."""
     plan = physical(QUERIES["q_role_gap_all"](spark, sf_dir))

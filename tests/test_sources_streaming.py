@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslens.operators.jobs import cmdlog_outcome
-from opslens.operators.sessions import sessions_all, who
+from opslens.operators.sessions import sessions_all, who, with_child_tasks
 from opslens.plans.inputs import AS_OF, Inputs
 from opslens.sources import SCHEMAS, for_each_partition_of, log_finish, log_start, read_snapshot, scan_all, sink_append
 from opslens.sources.sinks import advance_pairs, pair_log, read_pairs
@@ -134,6 +134,26 @@ def test_child_tasks_and_placeholders(spark, sf_dir):
     assert expanded.select("request_id").distinct().count() == plain.count()
 
 
+def test_every_request_keeps_its_tasks_or_one_empty_row(spark, rows):
+    requests = spark.createDataFrame(
+        [(1, 10, "a"), (1, 11, "b"), (1, 11, "c"), (1, None, "d"), (None, 10, "e"), (2, 10, "f"), (2, 10, "g")],
+        "session_id long, request_id long, command string",
+    )
+    tasks = spark.createDataFrame(
+        [(1, 10, 0), (1, 10, 1), (2, 10, 0), (3, 10, 0), (1, None, 5)], "session_id long, request_id long, exec_context_id int"
+    )
+    waits = spark.createDataFrame(
+        [(1, 1, "LCK", "x"), (2, 0, "PAGELATCH_SH", "5:1:1"), (2, 0, "LCK", "y")],
+        "session_id long, exec_context_id int, wait_type string, resource_description string",
+    )
+    got = with_child_tasks(requests, tasks, waits)
+    assert rows(got, "command", "task_count", "exec_context_id", "task_wait_resource") == sorted([
+        ("a", 2, 0, None), ("a", 2, 1, "x"), ("b", 0, None, None), ("c", 0, None, None), ("d", 0, None, None),
+        ("e", 0, None, None), ("f", 1, 0, "5:1:1(Is PFS Page)"), ("f", 1, 0, "y"), ("g", 1, 0, "5:1:1(Is PFS Page)"),
+        ("g", 1, 0, "y"),
+    ], key=repr)
+
+
 # ---------------------------------------------------------------- streams of several files
 
 
