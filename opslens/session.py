@@ -9,6 +9,9 @@ TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 _ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Merged partitions are measured compressed: 64 MB of short keys are millions of groups, over 1 GB in one
+    # task's hash table.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when the grouping behind the join then needs its own shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

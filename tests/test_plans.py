@@ -89,3 +89,10 @@ def test_role_gap_pairs_no_login_with_a_database(spark, sf_dir, no_broadcast):
     """Every join of the gap is on keys; logins meet databases as words of 64."""
     plan = physical(QUERIES["q_role_gap_all"](spark, sf_dir))
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "__word" in plan
+
+
+def test_merged_shuffle_partitions_stay_small(spark, sf_dir):
+    """Also where the session's own target is large, a task of 1 GB of short keys stays within some 100 MB."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    QUERIES["q_check_plan"](spark, sf_dir)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
