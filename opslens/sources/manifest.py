@@ -33,15 +33,15 @@ def manifest_path(path: str) -> str:
 def write_polls(df: DataFrame, path: str) -> None:
     """Append polls (rows with the fleet columns) to a table, and say in its manifest where they are.
 
-    Rows are laid out by date, poll time and server, so that a file holds few polls.  The date always
-    is that of the poll time.
+    Rows are dealt by poll and sorted, so that a file holds few polls.  They are hashed, not split by range: a range
+    is sampled first, which computes all rows twice.  The date always is that of the poll time.
     """
     spark = df.sparkSession
     path = path.rstrip("/")
     name = f"{_WRITE}={uuid.uuid4().hex}"
     order = ["snapshot_date", "snapshot_ts", "server_id"]
     rows = df.withColumn("snapshot_date", F.col("snapshot_ts").cast("date"))
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("snapshot_date").parquet(f"{path}/{name}")
+    rows.repartition(*order).sortWithinPartitions(*order).write.partitionBy("snapshot_date").parquet(f"{path}/{name}")
     file = F.concat(F.lit(f"{name}/"), F.substring_index("_metadata.file_path", f"/{name}/", -1))
     written = spark.read.schema(f"{_schema(df)}, snapshot_date date").parquet(f"{path}/{name}")
     entries = written.groupBy("server_id", "snapshot_ts", "snapshot_date", file.alias("file")).agg(

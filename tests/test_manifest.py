@@ -100,3 +100,16 @@ def test_files_without_a_manifest_row_do_not_count(spark, month):
     stray.write.partitionBy("snapshot_date").parquet(f"{month}/write=failed")
     newest = read_snapshot(spark, "log_space", month, "2024-03-01 00:00:00")
     assert {r.log_size_mb for r in newest.collect()} == {2918.0}
+
+
+def test_rows_are_computed_once_for_a_write(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    days = polls(spark, range(3))
+    write_polls(days.mapInArrow(count, days.schema), str(tmp_path / "p"))
+    assert seen.value == days.count()
