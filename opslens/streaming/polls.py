@@ -16,13 +16,14 @@ from opslens.sources.folders import names
 from opslens.sources.parts import PART, commit, listing, part_of, read_parts, versions, write_parts
 from opslens.sources.workdir import fresh_path
 
-# Settings a stream is started with: state outside the heap, written as changes, and session
-# windows merged inside each task before their rows meet.
+# Settings a stream is started with: state outside the heap, written as changes and not counted (a count
+# reads each key before it is written), and session windows merged inside each task before their rows meet.
 _STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 

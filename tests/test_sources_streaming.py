@@ -2,6 +2,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from opslens.operators.jobs import cmdlog_outcome
 from opslens.operators.sessions import sessions_all, who, with_child_tasks
@@ -213,6 +214,24 @@ def test_commands_pair_across_triggers(spark, events, rows):
     assert not out.where("is_unfinished").isEmpty()
 
 
+def test_pairing_writes_its_state_without_reading_it_first(spark, events, monkeypatch):
+    """For a start and its finish the state reports three reads; with one more for each write it was six."""
+    started, start = [], DataStreamWriter.start
+
+    def watched(writer, *args, **kwargs):
+        started.append(start(writer, *args, **kwargs))
+        return started[-1]
+
+    monkeypatch.setattr(DataStreamWriter, "start", watched)
+    whole = read_stream(spark, events, spark.read.parquet(events).schema)
+    starts = whole.select(F.col("event_id").alias("id"), F.col("ts").alias("start_time"))
+    finishes = starts.select("id", F.col("start_time").alias("end_time"), F.lit(0).alias("error_number"))
+    assert run_to_table(pair_commands(starts, finishes), "pairs-asked").count() == spark.read.parquet(events).count()
+    state = started[0].recentProgress[0].stateOperators[0]
+    assert state.numRowsUpdated == 2 * spark.read.parquet(events).count()
+    assert 0 < state.customMetrics["rocksdbGetCount"] <= 2 * state.numRowsUpdated
+
+
 def test_retention_sees_all_earlier_triggers(spark, sf_dir, tmp_path, rows):
     t = Inputs(spark, sf_dir)
     path = str(tmp_path / "snapshots")
