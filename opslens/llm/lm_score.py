@@ -51,6 +51,9 @@ _PAIR_ROWS = (CLASSES + 1) ** 2
 _ROWS = 2 * WORD_ROWS + 2 * _PAIR_ROWS
 _BLOCK = 512
 _COUNT_BUFFER = 400_000
+#: Logits within it need no shift: 64 exponentials of them sum to a finite 32-bit number above zero.
+_SAFE = 80.0
+_STEPS = 48
 
 
 @dataclass
@@ -167,11 +170,16 @@ class Model:
         return kind[at], rows
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
-        out = self.weights[rows[0]]
+        """Logits of each token, up to a constant of its own; their exponentials and the sums of them are finite."""
+        out = self.weights.take(rows[0], axis=0)
+        more = np.empty_like(out)
         for r in rows[1:]:
-            out += self.weights[r]
+            # Rows are in range; other modes of take go through one more copy.
+            out += self.weights.take(r, axis=0, out=more, mode="clip")
         out += self.prior
-        out -= out.max(axis=1, keepdims=True)
+        # A maximum per token costs as much as two features; two over all tokens tell whether it is needed.
+        if not -_SAFE < out.min(initial=0) <= out.max(initial=0) < _SAFE:
+            out -= out.max(axis=1, keepdims=True)
         return out
 
 
@@ -212,21 +220,44 @@ def first_model(counts: DataFrame) -> tuple[Model, int, int, tuple[np.ndarray, n
     return model, n, v, (hashes[order], top["c"].to_numpy(np.int64)[order])
 
 
+def _sums(p: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct feature rows, how often each occurs, and the sum of ``p`` (one row a token) over its tokens.
+
+    Features are put in order of falling count, so those with a k-th occurrence lead: all k-th occurrences are
+    added in one step.  Few features occur more than ``_STEPS`` times; the rest of these is added up one by one.
+    """
+    keys = rows.ravel().astype(np.min_scalar_type(_ROWS))  # short keys are sorted by radix
+    order = np.argsort(keys, kind="stable")
+    placed = keys[order]
+    token = order % len(p)
+    first = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
+    times = np.diff(np.append(first, len(keys)))
+    by = np.argsort(-times, kind="stable")
+    first, times = first[by], times[by]
+    total = p.take(token[first], axis=0)
+    reach = np.searchsorted(-times, -np.arange(1, _STEPS + 1)).tolist()  # features with more than k occurrences
+    for k, n in enumerate(reach[:-1], 1):
+        if not n:
+            break
+        total[:n] += p.take(token[first[:n] + k], axis=0)
+    for i in range(reach[-1]):
+        total[i] += p.take(token[first[i] + _STEPS : first[i] + times[i]], axis=0).sum(axis=0)
+    return placed[first].astype(np.int64), times, total
+
+
 def descend(model: Model, kind: np.ndarray, rows: np.ndarray, seen: np.ndarray) -> None:
     """Minibatch steps over the tokens; steps of a feature shrink as it is seen more often."""
     for at in range(0, len(kind), BATCH):
         r, y = rows[:, at : at + BATCH], kind[at : at + BATCH]
-        p = np.exp(model.logits(r))
-        p /= p.sum(axis=1, keepdims=True)
+        p = model.logits(r)
+        np.exp(p, out=p)
+        p /= np.einsum("ij->i", p)[:, None]
         p[np.arange(len(y)), y] -= 1
-        for f in r:
-            order = np.argsort(f, kind="stable")
-            placed = f[order]
-            first = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
-            slope = np.add.reduceat(p[order], first, axis=0)
-            touched = placed[first]
-            seen[touched] += np.diff(np.append(first, len(placed)))
-            model.weights[touched] -= (STEP / np.sqrt(seen[touched]))[:, None] * slope
+        # Kinds of features have rows of their own, so one grouping serves all of them.
+        touched, times, slope = _sums(p, r)
+        seen[touched] += times
+        slope *= (STEP / np.sqrt(seen[touched]))[:, None]
+        model.weights[touched] -= slope
 
 
 def _round(shared):
@@ -318,8 +349,9 @@ def _score(shared):
                 for at in range(0, len(kind), BATCH):
                     y = kind[at : at + BATCH]
                     logits = model.logits(rows[:, at : at + BATCH])
-                    total = np.log(np.exp(logits).sum(axis=1))
-                    gain[at : at + BATCH] = (logits[np.arange(len(y)), y] - total) / np.log(10)
+                    chosen = logits[np.arange(len(y)), y]
+                    total = np.log(np.einsum("ij->i", np.exp(logits, out=logits)))
+                    gain[at : at + BATCH] = (chosen - total) / np.log(10)
                 gain += model.inside[kind]
                 own = t.hashes[t.at]
                 if len(hashes):

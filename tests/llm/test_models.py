@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -58,6 +59,67 @@ def test_lm_probabilities_sum_to_one(frame, messy):
     assert np.allclose(p.sum(1), 1)
 
 
+def _plain_steps(model, kind, rows, seen):
+    """The steps of lm_score.descend as first written, one sorted reduceat a feature."""
+    for at in range(0, len(kind), lm_score.BATCH):
+        r, y = rows[:, at : at + lm_score.BATCH], kind[at : at + lm_score.BATCH]
+        p = sum(model.weights[f] for f in r) + model.prior
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        for f in r:
+            order = np.argsort(f, kind="stable")
+            placed = f[order]
+            first = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
+            slope = np.add.reduceat(p[order], first, axis=0)
+            touched = placed[first]
+            seen[touched] += np.diff(np.append(first, len(placed)))
+            model.weights[touched] -= (lm_score.STEP / np.sqrt(seen[touched]))[:, None] * slope
+
+
+def _random_tokens(n):
+    """A model, and classes and feature rows of n tokens; a few features are frequent, as words are."""
+    draw = np.random.default_rng(8)
+    prior = np.log(draw.dirichlet(np.ones(lm_score.CLASSES))).astype(np.float32)
+    weights = draw.normal(size=(lm_score._ROWS, lm_score.CLASSES)).astype(np.float32)
+    none = np.zeros(0, np.uint64)
+    model = lm_score.Model(none, none, none, prior, prior, weights)
+    starts = np.cumsum([0, lm_score.WORD_ROWS, lm_score.WORD_ROWS, lm_score._PAIR_ROWS])
+    sizes = np.diff([*starts, lm_score._ROWS])
+    rows = np.stack([s + draw.zipf(1.3, n) % k for s, k in zip(starts, sizes, strict=True)])
+    return model, draw.integers(0, lm_score.CLASSES, n), rows
+
+
+def test_lm_steps_equal_plain_ones_in_less_time():
+    seconds = {}
+    for n in (1, 60, 10 * lm_score.BATCH + 77):
+        model, kind, rows = _random_tokens(n)
+        found = {}
+        for steps in (_plain_steps, lm_score.descend):
+            taken = []
+            for _ in range(3):
+                mine = lm_score.Model(**{**model.__dict__, "weights": model.weights.copy()})
+                seen = np.zeros(lm_score._ROWS, np.float32)
+                start = time.thread_time()
+                steps(mine, kind, rows, seen)
+                taken.append(time.thread_time() - start)
+            found[steps], seconds[steps] = (mine.weights, seen), min(taken)
+        (plain, counted), (weights, seen) = found[_plain_steps], found[lm_score.descend]
+        assert np.array_equal(counted, seen) and seen.sum() == 4 * n
+        assert np.allclose(plain, weights, atol=1e-4) and not np.allclose(model.weights, weights, atol=1e-3)
+    assert seconds[lm_score.descend] < 0.7 * seconds[_plain_steps]
+
+
+def test_lm_logits_beyond_the_range_of_exp():
+    model, _, rows = _random_tokens(500)
+    model.weights *= 100
+    total = np.exp(model.logits(rows)).sum(axis=1)
+    assert np.all(np.isfinite(total)) and np.all(total >= 1)
+    model.weights[:] = -100
+    total = np.exp(model.logits(rows)).sum(axis=1)
+    assert np.all(np.isfinite(total)) and np.all(total > 0)
+
+
 def test_gradient_of_the_attention_network():
     draw = np.random.default_rng(3)
     x, bounds, y = draw.normal(size=(9, 6)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
