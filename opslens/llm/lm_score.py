@@ -49,11 +49,17 @@ _BACK = 4  # words of history
 _NO_CLASS = CLASSES
 _PAIR_ROWS = (CLASSES + 1) ** 2
 _ROWS = 2 * WORD_ROWS + 2 * _PAIR_ROWS
+#: First row of each kind of features.
+_KINDS = [0, WORD_ROWS, 2 * WORD_ROWS, 2 * WORD_ROWS + _PAIR_ROWS]
 _BLOCK = 512
 _COUNT_BUFFER = 400_000
 #: Logits within it need no shift: 64 exponentials of them sum to a finite 32-bit number above zero.
 _SAFE = 80.0
 _STEPS = 48
+_PART = 1024
+_ROW = np.dtype((np.void, 4 * CLASSES))
+#: Sums of exponentials within it lost nothing that counts; others are taken again from shifted logits.
+_LEAST, _MOST = 1e-25, 1e35
 
 
 @dataclass
@@ -85,6 +91,16 @@ def tokens(words: Words) -> Tokens:
     return Tokens(hashes, endings, np.flatnonzero(real), np.concatenate([[0], np.cumsum(sizes + 1)]))
 
 
+def _distinct(h: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, an ending and the count of each; a hash table needs fewer steps than a sort of all."""
+    coded = pa.array(h).dictionary_encode()
+    at, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    place = np.empty(len(found), np.int64)
+    place[at] = np.arange(len(at))
+    order = np.argsort(found)
+    return found[order], endings[place[order]], np.bincount(at, minlength=len(found))[order]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts; a task holds ``_COUNT_BUFFER`` distinct words or so."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -104,9 +120,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for words in chunks(b["text"], lower=True):
             t = tokens(words)
-            h, first, c = np.unique(t.hashes[t.at], return_index=True, return_counts=True)
-            held.append((h, t.endings[t.at][first], c.astype(np.int64)))
-            size += len(h)
+            held.append(_distinct(t.hashes[t.at], t.endings[t.at]))
+            size += len(held[-1][0])
             if size > 2 * _COUNT_BUFFER:
                 held = [merged()]
                 size = len(held[0][0])
@@ -182,6 +197,81 @@ class Model:
             out -= out.max(axis=1, keepdims=True)
         return out
 
+    def shares(self, rows: np.ndarray, out: np.ndarray, more: np.ndarray) -> None:
+        """P(class | history) of each token into ``out``; ``more`` is working space of its size."""
+        self.weights.take(rows[0], axis=0, out=out, mode="clip")
+        for r in rows[1:]:
+            # Rows are in range; other modes of take go through one more copy.
+            out += self.weights.take(r, axis=0, out=more, mode="clip")
+        out += self.prior
+        with np.errstate(over="ignore"):
+            np.exp(out, out=out)
+            total = np.einsum("ij->i", out)
+        if not _LEAST < total.min(initial=1) <= total.max(initial=1) < _MOST:
+            np.exp(self.logits(rows), out=out)
+            total = np.einsum("ij->i", out)
+        out *= (1 / total)[:, None]
+
+
+class Scorer:
+    """log10 P(class | history) of tokens.  Weights stay as they are, so each has its exponential taken once."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        # Every token has one feature of each kind: the prior joins the first, and a constant a row changes no share.
+        self.weights = model.weights.copy()
+        self.weights[: _KINDS[1]] += model.prior
+        self.weights -= (self.weights.max(axis=1, keepdims=True) + self.weights.min(axis=1, keepdims=True)) / 2
+        # Then products of exponentials, in any order, are finite and above zero.
+        self.plain = np.maximum.reduceat(np.abs(self.weights).max(axis=1), _KINDS).sum() < _SAFE
+        self.factors = np.exp(self.weights) if self.plain else None
+
+    def gains(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        gain = np.empty(len(kind))
+        left, right = (np.empty((min(BATCH, len(kind)), CLASSES), np.float32) for _ in range(2))
+        flat = self.weights.ravel()
+        for at in range(0, len(kind), BATCH):
+            r, y = rows[:, at : at + BATCH], kind[at : at + BATCH]
+            if self.plain:
+                a, b = left[: len(y)], right[: len(y)]
+                self.factors.take(r[0], axis=0, out=a, mode="clip")
+                for other in r[1:-1]:
+                    a *= self.factors.take(other, axis=0, out=b, mode="clip")
+                total = np.einsum("ij,ij->i", a, self.factors.take(r[-1], axis=0, out=b, mode="clip"))
+                chosen = sum(flat.take(other * CLASSES + y) for other in r)
+            else:
+                logits = self.model.logits(r)
+                chosen = logits[np.arange(len(y)), y]
+                total = np.einsum("ij->i", np.exp(logits, out=logits))
+            gain[at : at + BATCH] = (chosen - np.log(total)) / np.log(10)
+        return gain
+
+
+class Known:
+    """Sorted hashes, and where those with the same leading bits begin; hashes spread evenly over these."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(1, len(hashes).bit_length() - 1)
+        self.hashes, self.shift = hashes, np.uint64(64 - bits)
+        lead = (hashes >> self.shift).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(lead, minlength=1 << bits))]).astype(np.int32)
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each hash in ``hashes``, or -1."""
+        place = np.full(len(wanted), -1, np.int64)
+        if not len(self.hashes):
+            return place
+        lead = (wanted >> self.shift).astype(np.int64)
+        at, stop = self.starts.take(lead), self.starts.take(lead + 1)
+        open_ = np.flatnonzero(at < stop)
+        at, stop, wanted = at.take(open_), stop.take(open_), wanted.take(open_)
+        while len(open_):
+            hit = self.hashes.take(at) == wanted
+            place[open_[hit]] = at[hit]
+            on = np.flatnonzero(~hit & (at + 1 < stop))
+            open_, at, stop, wanted = open_.take(on), at.take(on) + 1, stop.take(on), wanted.take(on)
+        return place
+
 
 def first_model(counts: DataFrame) -> tuple[Model, int, int, tuple[np.ndarray, np.ndarray]]:
     """A model without weights; tokens and distinct tokens in training; hashes and counts of frequent words.
@@ -228,36 +318,43 @@ def _sums(p: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     """
     keys = rows.ravel().astype(np.min_scalar_type(_ROWS))  # short keys are sorted by radix
     order = np.argsort(keys, kind="stable")
-    placed = keys[order]
-    token = order % len(p)
+    placed = keys.take(order)
+    token = np.tile(np.arange(len(p)), len(rows)).take(order)
     first = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
-    times = np.diff(np.append(first, len(keys)))
-    by = np.argsort(-times, kind="stable")
-    first, times = first[by], times[by]
-    total = p.take(token[first], axis=0)
+    times = np.diff(first, append=len(keys))
+    by = np.argsort((len(keys) - times).astype(np.min_scalar_type(len(keys))), kind="stable")
+    first, times = first.take(by), times.take(by)
+    total = p.take(token.take(first), axis=0)
     reach = np.searchsorted(-times, -np.arange(1, _STEPS + 1)).tolist()  # features with more than k occurrences
     for k, n in enumerate(reach[:-1], 1):
         if not n:
             break
-        total[:n] += p.take(token[first[:n] + k], axis=0)
+        total[:n] += p.take(token.take(first[:n] + k), axis=0)
     for i in range(reach[-1]):
         total[i] += p.take(token[first[i] + _STEPS : first[i] + times[i]], axis=0).sum(axis=0)
-    return placed[first].astype(np.int64), times, total
+    return placed.take(first).astype(np.int64), times, total
 
 
 def descend(model: Model, kind: np.ndarray, rows: np.ndarray, seen: np.ndarray) -> None:
     """Minibatch steps over the tokens; steps of a feature shrink as it is seen more often."""
+    room, more = (np.empty((min(BATCH, len(kind)), CLASSES), np.float32) for _ in range(2))
+    part = np.empty((_PART, CLASSES), np.float32)
+    # One item a row: numpy sets items at given places twice as fast as rows of numbers.
+    whole = model.weights.view(_ROW).ravel()
     for at in range(0, len(kind), BATCH):
         r, y = rows[:, at : at + BATCH], kind[at : at + BATCH]
-        p = model.logits(r)
-        np.exp(p, out=p)
-        p /= np.einsum("ij->i", p)[:, None]
-        p[np.arange(len(y)), y] -= 1
+        p = room[: len(y)]
+        model.shares(r, p, more[: len(y)])
+        p.reshape(-1)[np.arange(len(y)) * CLASSES + y] -= 1
         # Kinds of features have rows of their own, so one grouping serves all of them.
         touched, times, slope = _sums(p, r)
         seen[touched] += times
-        slope *= (STEP / np.sqrt(seen[touched]))[:, None]
-        model.weights[touched] -= slope
+        step = (STEP / np.sqrt(seen[touched]))[:, None]
+        for a in range(0, len(touched), _PART):  # parts that stay in a core's cache
+            t, change = touched[a : a + _PART], slope[a : a + _PART]
+            change *= step[a : a + _PART]
+            moved = np.subtract(model.weights.take(t, axis=0, out=part[: len(t)], mode="clip"), change, out=change)
+            whole[t] = moved.view(_ROW).ravel()
 
 
 def _round(shared):
@@ -339,27 +436,17 @@ _SCORED_DDL = (
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hashes, counts = shared.value
-        logs = np.log10(counts + SMOOTH)
+        scorer, frequent = Scorer(model), Known(hashes)
+        logs = np.append(np.log10(counts + SMOOTH), 0.0)  # the last for place -1
         ids = row_ids()
         for b in batches:
             for words in chunks(b["text"], lower=True):
                 t = tokens(words)
                 kind, rows = model.features(t)
-                gain = np.empty(len(kind))
-                for at in range(0, len(kind), BATCH):
-                    y = kind[at : at + BATCH]
-                    logits = model.logits(rows[:, at : at + BATCH])
-                    chosen = logits[np.arange(len(y)), y]
-                    total = np.log(np.einsum("ij->i", np.exp(logits, out=logits)))
-                    gain[at : at + BATCH] = (chosen - total) / np.log(10)
-                gain += model.inside[kind]
+                gain = scorer.gains(rows, kind) + model.inside[kind]
                 own = t.hashes[t.at]
-                if len(hashes):
-                    place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                    found = hashes[place] == own
-                    log = np.where(found, logs[place], 0.0)
-                else:
-                    found, log = np.zeros(len(own), bool), np.zeros(len(own))
+                place = frequent.places(own)
+                found, log = place >= 0, logs.take(place)
                 first = t.bounds[:-1]
                 slim = b.slice(words.first, len(words))
                 lost = np.concatenate([[0], np.cumsum(~found)])[t.bounds]

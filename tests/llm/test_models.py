@@ -120,6 +120,69 @@ def test_lm_logits_beyond_the_range_of_exp():
     assert np.all(np.isfinite(total)) and np.all(total > 0)
 
 
+def _plain_gains(model, rows, kind):
+    """log10 P(class | history) as scored at first: one exponential a token and class."""
+    gain = np.empty(len(kind))
+    for at in range(0, len(kind), lm_score.BATCH):
+        y = kind[at : at + lm_score.BATCH]
+        logits = model.logits(rows[:, at : at + lm_score.BATCH])
+        chosen = logits[np.arange(len(y)), y]
+        total = np.log(np.einsum("ij->i", np.exp(logits, out=logits)))
+        gain[at : at + lm_score.BATCH] = (chosen - total) / np.log(10)
+    return gain
+
+
+def test_lm_gains_equal_plain_ones_in_less_time():
+    for n in (0, 1, 10 * lm_score.BATCH + 77):
+        model, kind, rows = _random_tokens(n)
+        scorer, taken = lm_score.Scorer(model), defaultdict(list)
+        assert scorer.plain
+        for _ in range(5):
+            for way in (_plain_gains, lambda _, *tokens: scorer.gains(*tokens)):
+                start = time.thread_time()
+                found = way(model, rows, kind)
+                taken[way is _plain_gains].append((time.thread_time() - start, found))
+        assert np.allclose(taken[True][0][1], taken[False][0][1], atol=1e-5)
+    assert min(taken[False])[0] < 0.85 * min(taken[True])[0]
+
+
+def test_lm_gains_and_shares_beyond_the_range_of_exp():
+    model, kind, rows = _random_tokens(700)
+    for factor, shift in ((100, 0), (1, 200), (1, -200), (1e-3, -100)):
+        mine = lm_score.Model(**{**model.__dict__, "weights": model.weights * np.float32(factor) + np.float32(shift)})
+        logits = (sum(mine.weights[r].astype(float) for r in rows) + mine.prior).astype(float)
+        logits -= logits.max(axis=1, keepdims=True)
+        p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        out, more = np.empty((2, len(kind), lm_score.CLASSES), np.float32)
+        mine.shares(rows, out, more)
+        assert np.allclose(out, p, atol=2e-3) and np.allclose(out.sum(axis=1), 1, atol=1e-5)
+        scorer = lm_score.Scorer(mine)
+        assert scorer.plain == (factor != 100)  # a constant that all classes share is no range
+        gain = logits[np.arange(len(kind)), kind] - np.log(np.exp(logits).sum(axis=1))
+        assert np.allclose(scorer.gains(rows, kind), gain / np.log(10), atol=2e-3)
+
+
+def test_lm_places_of_known_words():
+    draw = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 1000):
+        hashes = np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64))
+        # Neighbours share their leading bits; the ends of the range have buckets too.
+        near = np.concatenate([hashes[:100] + np.uint64(1), hashes[:100] - np.uint64(1)])
+        hashes = np.unique(np.concatenate([hashes, near[::3]]))
+        wanted = np.concatenate([hashes, near, np.array([0, (1 << 64) - 1], np.uint64), hashes[::2]])
+        at = {h: i for i, h in enumerate(hashes.tolist())}
+        assert lm_score.Known(hashes).places(wanted).tolist() == [at.get(h, -1) for h in wanted.tolist()]
+
+
+def test_lm_distinct_words_of_a_chunk():
+    draw = np.random.default_rng(6)
+    h = draw.integers(0, 1 << 64, 50, dtype=np.uint64)[draw.integers(0, 50, 400)]
+    found, endings, counts = lm_score._distinct(h, (h % np.uint64(1 << 16)).astype(np.int64))
+    every, times = np.unique(h, return_counts=True)
+    assert np.array_equal(found, every) and np.array_equal(counts, times)
+    assert np.array_equal(endings, (every % np.uint64(1 << 16)).astype(np.int64))
+
+
 def test_gradient_of_the_attention_network():
     draw = np.random.default_rng(3)
     x, bounds, y = draw.normal(size=(9, 6)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
